@@ -147,3 +147,11 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else np.float64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the cluster's shared checkpoint folder."""
+    import uuid
+
+    cut(spark.range(0)) if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else None
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -26,11 +26,27 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_compression_bands": op3_compression_bands,
+    "op9_warc_segments": op9_warc_segments,
     "op6_hilbert_sharding": op6_hilbert_sharding,
 }
 
 #: DuckDB equivalents, where SQL can express the whole query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc_segments": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as g from pages),
+             m as (select g, min(page_id) as first_id from p where n >= 100 group by g)
+        select p.page_id, p.n::bigint as payload_bytes, p.g as payload_digest,
+               case when m.first_id < p.page_id then 'revisit' else 'response' end as record_type,
+               case when m.first_id < p.page_id then m.first_id end as refers_to
+        from p left join m on p.g = m.g and p.n >= 100
+    """,
+}
