@@ -38,7 +38,14 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
+    "op10_minmax_near_dedup": op10_minmax_near_dedup,
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_compression_bands": op3_compression_bands,
