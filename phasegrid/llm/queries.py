@@ -26,6 +26,18 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op4_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_labels import quality_classifier
+
+    return quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import hilbert_shards
 
@@ -45,6 +57,8 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_bigru_toxicity": op4_bigru_toxicity,
+    "op5_weak_label_quality": op5_weak_label_quality,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
