@@ -44,6 +44,30 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op7_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_piece_coding(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every text encoded and decoded again: number of ids, their digest, and whether the text came back (U+2581 as a blank)."""
+    from .common import text_of
+    from .pieces import decode, encode, load
+
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = load(model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.translate(text_of("text"), "\u2581", " ")).alias("mark"))
+    coded = encode(docs, pieces, keep=("doc_id", "mark"))
+    ids = F.col("ids")
+    coded = coded.select("doc_id", "mark", "ids", F.size(ids).cast("long").alias("n_ids"), F.sha2(F.array_join(ids, " ").cast("binary"), 256).alias("ids_sha256"))
+    back = decode(coded, pieces, keep=("doc_id", "mark", "n_ids", "ids_sha256"))
+    return back.select("doc_id", "n_ids", "ids_sha256", (F.xxhash64("text") == F.col("mark")).alias("restored"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -57,6 +81,8 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_threshold_topk": op7_threshold_topk,
+    "op8_piece_coding": op8_piece_coding,
     "op4_bigru_toxicity": op4_bigru_toxicity,
     "op5_weak_label_quality": op5_weak_label_quality,
     "op10_minmax_near_dedup": op10_minmax_near_dedup,
@@ -69,6 +95,14 @@ QUERIES = {
 
 #: DuckDB equivalents, where SQL can express the whole query.
 ORACLES: dict[str, str] = {
+    "op7_threshold_topk": """
+        with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as q from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+             s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::bigint as score
+                   from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+             r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+        select query_id, n::int as rank, vec_id, score from r where n <= 5
+    """,
     "op9_warc_segments": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as g from pages),
              m as (select g, min(page_id) as first_id from p where n >= 100 group by g)
