@@ -113,7 +113,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows with about `most` bytes of text, so that memory stays small."""
     sizes = np.diff(buffers(batch.column(text))[1])
     start, held = 0, 0

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spans, buffers, cut, lowered, mix, slices, text_of, words
@@ -189,11 +189,13 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int, block: int =
     return components(near.unionByName(more))
 
 
+def _node(doc_id: str, text: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_of(text)).bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_mark): one row for each row of docs; text_mark is xxhash64 of the text."""
-    body = text_of(text)
-    own = F.col(doc_id).cast("long")
-    base = docs.select(own.alias("doc_id"), F.coalesce(own, F.xxhash64(body).bitwiseOR(1 << 62).bitwiseAND((1 << 63) - 1)).alias("nid"), body.cast("binary").alias("_text"))
+    """(doc_id, n_shingles, component_id, kept, nid): one row for each row of docs; nid is doc_id, or for rows without one a number made of the text."""
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _node(doc_id, text).alias("nid"), text_of(text).cast("binary").alias("_text"))
     signed = cut(base.mapInArrow(_sign(k), SIGNED))
     roots = links(base.select("nid", "_text"), signed, k, percent)
     classes = signed.where("n > 0").groupBy("mark1", "mark2", "n").agg(F.min("nid").alias("first"), F.min("doc_id").alias("first_id"))
@@ -202,3 +204,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     rows = signed.drop("bands").join(classes, ["mark1", "mark2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < (1 << 62), F.col("root")).otherwise(F.col("first_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "nid")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each component (and one of rows that share a doc_id)."""
+    dropped = near_duplicates(docs, k, percent, doc_id, text).where(~F.col("kept")).select(F.col("nid").alias("_node")).distinct()
+    return docs.withColumn("_node", _node(doc_id, text)).join(dropped, "_node", "left_anti").dropDuplicates(["_node"]).select(*docs.columns)

@@ -96,9 +96,9 @@ QUERIES = {
 #: DuckDB equivalents, where SQL can express the whole query.
 ORACLES: dict[str, str] = {
     "op7_threshold_topk": """
-        with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as q from embeddings
-                   where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-             s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::bigint as score
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+             s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
                    from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
              r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
         select query_id, n::int as rank, vec_id, score from r where n <= 5

@@ -352,6 +352,32 @@ def _constructed(parts: DataFrame, length: int) -> DataFrame:
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _trimmed(batch: pa.RecordBatch, text: int, spans: int, whole_characters: bool) -> Iterator[tuple[memoryview, np.ndarray, np.ndarray]]:
+    """(bytes, starts, ends of removed runs) of every row."""
+    data, bounds = buffers(batch.column(text))
+    lists = batch.column(spans)
+    flat = lists.flatten()
+    each = [flat.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1)]
+    ends = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]
+    raw = memoryview(np.ascontiguousarray(data))
+    for i in range(batch.num_rows):
+        s, e = merged(*(x[ends[i] : ends[i + 1]] for x in each))
+        own = raw[bounds[i] : bounds[i + 1]]
+        if whole_characters and len(s):
+            inner = lambda at: at < len(own) and own[at] & 0xC0 == 0x80
+            for k in range(len(s)):
+                while s[k] < e[k] and inner(s[k]):
+                    s[k] += 1
+                while e[k] > s[k] and inner(e[k]):
+                    e[k] -= 1
+            s, e = s[e > s], e[e > s]
+        yield own, s, e
+
+
+def _left(own: memoryview, s: np.ndarray, e: np.ndarray) -> bytes:
+    return b"".join(own[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(own)]))
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, whole_characters: bool = False, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): and, with_text, kept (binary) and spans.
 
@@ -363,38 +389,38 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = buffers(batch.column("_text"))
-            lists = batch.column("spans")
-            flat = lists.flatten()
-            each = [flat.field(j).to_numpy(zero_copy_only=False) for j in (0, 1)]
-            ends = np.cumsum(np.r_[0, np.where(lists.is_valid().to_numpy(zero_copy_only=False), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)])
-            raw = memoryview(np.ascontiguousarray(data))
-            removed, runs, shas, kept, gone = [], [], [], [], []
-            for i in range(batch.num_rows):
-                s, e = merged(*(x[ends[i] : ends[i + 1]].astype(np.int64) for x in each))
-                own = data[bounds[i] : bounds[i + 1]]
-                if whole_characters and len(s):
-                    inner = lambda at: at < len(own) and own[at] & 0xC0 == 0x80
-                    for k in range(len(s)):
-                        while s[k] < e[k] and inner(s[k]):
-                            s[k] += 1
-                        while e[k] > s[k] and inner(e[k]):
-                            e[k] -= 1
-                    s, e = s[e > s], e[e > s]
-                at = bounds[i]
-                parts = [raw[at + a : at + b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(own)])]
-                sha = hashlib.sha256()
-                for p in parts:
-                    sha.update(p)
+            sizes, removed, runs, shas, kept, gone = [], [], [], [], [], []
+            for own, s, e in _trimmed(batch, 1, 2, whole_characters):
+                rest = _left(own, s, e)
+                sizes.append(len(own))
                 removed.append(int((e - s).sum()))
                 runs.append(len(s))
-                shas.append(sha.hexdigest())
+                shas.append(hashlib.sha256(rest).hexdigest())
                 if with_text:
-                    kept.append(b"".join(parts))
+                    kept.append(rest)
                     gone.append([{"s": a, "e": b} for a, b in zip(s.tolist(), e.tolist())])
-            cols = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string())]
+            cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(shas, pa.string())]
             if with_text:
                 cols += [pa.array(kept, pa.binary()), pa.array(gone, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(cols, names=[*_names(KEPT), *(["kept", "spans"] if with_text else [])])
 
     return base.join(spans, ["_id", "_th"], "left").select("doc_id", "_text", "spans").mapInArrow(apply, schema)
+
+
+def without_repeats(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, their text without repeated passages (cut at whole characters). A null text stays null."""
+    spans = repeated_spans(_base(docs, doc_id, text).select("_id", "_th", "_text"), length)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text_of(text))})
+    joined = keyed.join(spans, ["_id", "_th"], "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    place = docs.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [bytes(_left(*x)) for x in _trimmed(batch, place, batch.num_columns - 1, True)]
+            mask = batch.column(place).is_null().to_numpy(zero_copy_only=False)
+            cols = list(batch.columns[:-1])
+            cols[place] = pa.array(rest, pa.binary(), mask=mask).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=list(docs_names))
+
+    docs_names = tuple(docs.columns)
+    return joined.mapInArrow(apply, docs.schema)

@@ -307,3 +307,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, how: Fi
     own = F.col(doc_id).cast("long")
     held = F.coalesce(F.crc32(own.cast("string")) % 3 == 1, F.lit(False))
     return docs.select(own.alias("doc_id"), held.alias("held_out"), text_of(text).cast("binary").alias("_text")).mapInArrow(score, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, how: Fit = Fit(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, how, doc_id, text))
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for whole in batches:
+            for batch in slices(whole, place, 1 << 19):
+                yield batch.filter(pa.array(model.scores(Tokens(*buffers(batch.column(place)))) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

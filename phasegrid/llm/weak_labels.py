@@ -163,16 +163,15 @@ def fit(bodies: list[bytes], target: np.ndarray, how: Fit = Fit()) -> Scorer:
 SCHEMA = "doc_id long, score double, posterior double, kept boolean"
 
 
-def quality_classifier(docs: DataFrame, threshold: float = 0.5, how: Fit = Fit(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score, posterior, kept): one row for each row of docs."""
-
+def learn(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> tuple[Scorer, np.ndarray, np.ndarray]:
+    """The scorer, and the vote patterns that occur with their posteriors."""
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
                 yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array(Features(*buffers(batch.column("_text"))).patterns())], names=["_at", "pattern"])
 
     body = text_of(text)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.cast("binary").alias("_text"), F.xxhash64(body).alias("_at"))
+    base = docs.select(body.cast("binary").alias("_text"), F.xxhash64(body).alias("_at"))
     votes = cut(base.select("_at", "_text").mapInArrow(vote, "_at long, pattern long"))
     histogram = votes.groupBy("pattern").count().collect()  # 3**8 rows at most
     patterns, counts = (np.array([r[i] for r in histogram], np.int64) for i in (0, 1))
@@ -186,7 +185,12 @@ def quality_classifier(docs: DataFrame, threshold: float = 0.5, how: Fit = Fit()
     sample = base.select("_at", "_text").join(few.select("_at", "pattern"), "_at").dropDuplicates(["_at"]).orderBy("_at").select("_text", "pattern").toLocalIterator()
     chance = dict(zip(patterns.tolist(), post.tolist()))
     pairs = [(bytes(r[0]), chance[r[1]]) for r in sample]
-    shared = docs.sparkSession.sparkContext.broadcast((fit([p[0] for p in pairs], np.array([p[1] for p in pairs]), how), patterns, post))  # fixed size
+    return fit([p[0] for p in pairs], np.array([p[1] for p in pairs]), how), patterns, post
+
+
+def quality_classifier(docs: DataFrame, threshold: float = 0.5, how: Fit = Fit(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, score, posterior, kept): one row for each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, how, text))  # fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, chances = shared.value
@@ -197,4 +201,18 @@ def quality_classifier(docs: DataFrame, threshold: float = 0.5, how: Fit = Fit()
                 p = chances[np.minimum(np.searchsorted(known, f.patterns()), len(known) - 1)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(p), pa.array(s >= threshold)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return base.select("doc_id", "_text").mapInArrow(score, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("_text")).mapInArrow(score, SCHEMA)
+
+
+def only_good(docs: DataFrame, threshold: float = 0.5, how: Fit = Fit(), text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, how, text))
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value[0]
+        for whole in batches:
+            for batch in slices(whole, place):
+                yield batch.filter(pa.array(model.scores(Features(*buffers(batch.column(place)))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
