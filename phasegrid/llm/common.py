@@ -115,15 +115,20 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 def slices(batch: pa.RecordBatch, text: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows with about `most` bytes of text, so that memory stays small."""
-    sizes = np.diff(buffers(batch.column(text))[1])
+    for at in portions(np.diff(buffers(batch.column(text))[1]).tolist(), most):
+        yield batch.slice(at.start, at.stop - at.start)
+
+
+def portions(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Slices of consecutive items with about `most` bytes each."""
     start, held = 0, 0
-    for i, size in enumerate(sizes.tolist()):
+    for i, size in enumerate(sizes):
         if held and held + size > most:
-            yield batch.slice(start, i - start)
+            yield slice(start, i)
             start, held = i, 0
         held += size + 64
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, cut, slices, sums, text_of, words
+from .common import Spans, buffers, cut, portions, slices, sums, text_of, words
 from .quality_rules import text_counts
 
 #: What each labeller measures, with limits (bad, good): "rising" labellers call high values bad.
@@ -129,26 +129,32 @@ class Scorer:
 def fit(bodies: list[bytes], target: np.ndarray, how: Fit = Fit()) -> Scorer:
     """The scorer for texts with these chances of being good; both classes weigh alike."""
     model, r = Scorer(), np.random.default_rng(how.seed)
-    f = Features(np.frombuffer(b"".join(bodies), np.uint8), np.r_[0, np.cumsum([len(b) for b in bodies])].astype(np.int64))
-    use = np.flatnonzero(f.n > 0)
+    width, parts, n = (1 << WORD_BITS) + SHAPES, [], []
+    for at in portions([len(b) for b in bodies]):
+        f = Features(np.frombuffer(b"".join(bodies[at]), np.uint8), np.r_[0, np.cumsum([len(b) for b in bodies[at]])].astype(np.int64))
+        rows = np.repeat(np.arange(at.start, at.stop), f.n) * width
+        parts.append(np.unique(np.concatenate([rows + f.word, rows + (1 << WORD_BITS) + f.shape]), return_counts=True))
+        n.append(f.n)
+    if not parts:
+        return model
+    n = np.concatenate(n)
+    use = np.flatnonzero(n > 0)
     if not len(use):
         return model
-    rows = np.repeat(np.arange(len(f.n)), f.n)
-    key = np.concatenate([rows * ((1 << WORD_BITS) + SHAPES) + f.word, rows * ((1 << WORD_BITS) + SHAPES) + (1 << WORD_BITS) + f.shape])
-    key, count = np.unique(key, return_counts=True)
-    row, col = key // ((1 << WORD_BITS) + SHAPES), key % ((1 << WORD_BITS) + SHAPES)
-    value = count / f.n[row]
-    first = np.searchsorted(row, np.arange(len(f.n) + 1))
+    key, count = (np.concatenate(x) for x in zip(*parts))
+    row, col = key // width, key % width
+    value = count / n[row]
+    first = np.searchsorted(row, np.arange(len(n) + 1))
     good = target[use].sum()
-    weight = np.where(True, target / max(good, 1e-3) + (1 - target) / max(len(use) - good, 1e-3), 0) * len(use) / 2
+    weight = (target / max(good, 1e-3) + (1 - target) / max(len(use) - good, 1e-3)) * len(use) / 2
     weight = np.minimum(weight, 20)
-    w, b, seen, seen_b = np.zeros((1 << WORD_BITS) + SHAPES), 0.0, np.full((1 << WORD_BITS) + SHAPES, 1e-8), 1e-8
+    w, b, seen, seen_b = np.zeros(width), 0.0, np.full(width, 1e-8), 1e-8
     pull = np.r_[np.full(1 << WORD_BITS, 3e-4), np.full(SHAPES, 1e-6)]
     for _ in range(how.epochs):
         for at in np.array_split(r.permutation(use), max(1, len(use) // how.batch)):
-            n = np.diff(first)[at]
-            j = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            of = np.repeat(np.arange(len(at)), n)
+            many = np.diff(first)[at]
+            j = np.repeat(first[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            of = np.repeat(np.arange(len(at)), many)
             z = np.bincount(of, value[j] * w[col[j]], len(at)) + b
             e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target[at]) * weight[at] / len(at)
             g = np.bincount(col[j], value[j] * e[of], len(w)) + pull * w
