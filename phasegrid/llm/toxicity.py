@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, slices, text_of, words
+from .common import Spans, buffers, portions, slices, text_of, words
 
 WIDTH, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS = 14, 14
@@ -183,11 +183,47 @@ def _tables(bodies: list[bytes]) -> Tokens:
     return Tokens(data, np.r_[0, np.cumsum([len(b) for b in bodies])].astype(np.int64))
 
 
-def telling(ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+class Sample:
+    """The tokens of some texts in portions, and the same end to end."""
+
+    def __init__(self, bodies: list[bytes]):
+        self.parts = [_tables(bodies[at]) for at in portions([len(b) for b in bodies], 1 << 19)]
+        self.word, self.gram = (np.concatenate([getattr(t, x) for t in self.parts]) for x in ("word", "gram"))
+        self.counts = np.concatenate([np.diff(t.at) for t in self.parts])
+        self.at = np.r_[0, np.cumsum(self.counts)]
+        windows, rows, before = [], 0, 0
+        for t in self.parts:
+            row, start, n = t.windows()
+            windows.append((row + rows, start + before, n))
+            rows, before = rows + len(t.first) - 1, before + len(t.word)
+        self.row, self.start, self.n = (np.concatenate(x) for x in zip(*windows))
+
+    def logits(self, net: Network, use: np.ndarray) -> np.ndarray:
+        """Of the windows in `use`, which rises."""
+        out, before, place = np.zeros(len(use)), 0, 0
+        for t in self.parts:
+            end = place + np.searchsorted(self.start[use[place:]], before + max(len(t.word), 1))
+            end = max(end, place)
+            at = use[place:end]
+            out[place:end] = net.forward(net.inputs(t), self.start[at] - before, self.n[at])
+            place, before = end, before + len(t.word)
+        return out
+
+    def text_logits(self, net: Network) -> np.ndarray:
+        return np.concatenate([net.text_logits(t) for t in self.parts])
+
+
+def telling(sample: Sample, labels: np.ndarray, name: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A start for the first input: how far each entry's share of toxic texts and of clean ones differ, in standard errors above three. And the texts with each entry."""
-    pair = np.unique(rows.astype(np.int64) * size + ids)
-    toxic = labels[pair // size] == 1
-    a, b = (np.bincount(pair[x] % size, minlength=size) for x in (toxic, ~toxic))
+    a, b, rows = np.zeros(size), np.zeros(size), 0
+    for t in sample.parts:
+        ids = t.word if name == "word" else t.gram
+        word = np.arange(len(t.word)) if name == "word" else np.repeat(np.arange(len(t.word)), np.diff(t.at))
+        pair = np.unique((np.searchsorted(t.first, word, "right") - 1 + rows).astype(np.int64) * size + ids)
+        toxic = labels[pair // size] == 1
+        a += np.bincount(pair[toxic] % size, minlength=size)
+        b += np.bincount(pair[~toxic] % size, minlength=size)
+        rows += len(t.first) - 1
     na, nb = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
     p = (a + b + 1) / (na + nb + 2)
     z = (a / na - b / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
@@ -204,19 +240,20 @@ def fit(bodies: list[bytes], labels: np.ndarray, how: Fit = Fit()) -> Network:
     if len(set(labels[~held])) < 2 or len(set(labels[held])) < 2:
         held[:] = False
     train = np.flatnonzero(~held)
-    tokens = _tables([bodies[i] for i in train])
+    tokens = Sample([bodies[i] for i in train])
     own = labels[train]
     known = {}
-    for name, ids, of in (("word", tokens.word, np.arange(len(tokens.word))), ("gram", tokens.gram, np.repeat(np.arange(len(tokens.word)), np.diff(tokens.at)))):
-        start, texts = telling(ids, np.searchsorted(tokens.first, of, "right") - 1, own, len(net.p[name]))
-        net.p[name][:, 0] += start
+    for name in ("word", "gram"):
+        lean, texts = telling(tokens, own, name, len(net.p[name]))
+        net.p[name][:, 0] += lean
         known[name] = (texts >= how.least_texts)[:, None].astype(np.float32)
         net.p[name] *= known[name]
-    row, start, n = tokens.windows()
+    row, start, n = tokens.row, tokens.start, tokens.n
     # At most windows_of_text of each text, spread evenly.
     count = np.bincount(row)
     place = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(count)[:-1]], count)
     use = (place * how.windows_of_text) // np.maximum(count[row], how.windows_of_text) != ((place - 1) * how.windows_of_text) // np.maximum(count[row], how.windows_of_text)
+    use = np.flatnonzero(use)
     row, start, n = row[use], start[use], n[use]
     mean, var = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
@@ -238,7 +275,7 @@ def fit(bodies: list[bytes], labels: np.ndarray, how: Fit = Fit()) -> Network:
                 # Only the words of this batch.
                 idx = np.minimum(lo[:, None] + np.arange(WIDTH), len(tokens.word) - 1)
                 flat = idx.ravel()
-                counts = np.diff(tokens.at)[flat]
+                counts = tokens.counts[flat]
                 grams = tokens.gram[np.repeat(tokens.at[:-1][flat] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())]
                 edge = np.r_[0, np.cumsum(counts)[:-1]]
                 seen = (r.random(len(flat)) > 0.3).astype(np.float32)[:, None]
@@ -253,11 +290,10 @@ def fit(bodies: list[bytes], labels: np.ndarray, how: Fit = Fit()) -> Network:
                     mean[name] += 0.1 * (v - mean[name])
                     var[name] += 0.01 * (v * v - var[name])
                     net.p[name] -= rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(var[name] / (1 - 0.99**step)) + 1e-6)
-        x = net.inputs(tokens)
-        logit = np.concatenate([net.forward(x, start[s : s + 8192], n[s : s + 8192]) for s in range(0, len(row), 8192)])
+        logit = tokens.logits(net, use)
     # Platt's scaling on the texts held back.
     at = np.flatnonzero(held) if held.any() else train
-    z = net.text_logits(_tables([bodies[i] for i in at])).astype(np.float64)
+    z = Sample([bodies[i] for i in at]).text_logits(net).astype(np.float64)
     y = labels[at].astype(np.float64)
     middle, spread = float(np.median(z)), float(z.std()) + 1e-6
     z = np.clip((z - middle) / spread, -8, 8)
