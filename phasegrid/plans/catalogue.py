@@ -1,10 +1,620 @@
-"""The registered queries over the driver's tables, each with its SQL."""
+"""The registered queries over the driver's tables, each with its SQL where SQL can express it.
+
+Roles: in events a subject is user_id, an environment event_type, a minute the day of the month; in lineitem a
+subject is a supplier, an environment the return flag and a phase the line status. Doubles are rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import inference, linear, order, phase, rank, scale, series, validity
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals (never -0.0), counts to long."""
+    out = {c: F.round(c, 6) + 0.0 for c, t in df.dtypes if t in ("double", "float") or t.startswith("decimal")}
+    return df.withColumns({c: v.cast("double") for c, v in out.items()})
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(lambda name: table(spark, sf_dir, name)))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def minutes(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "user_id", "event_type", "ts", "value", F.dayofmonth("ts").alias("minute"))
+
+
+M = "m as (select event_id, user_id, event_type, ts, value, dayofmonth(ts) as minute from events)"
+PHASE = "case when minute between 1 and 10 then 'static' when minute between 11 and 20 then 'dynamic' end"
+
+
+def R(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0.0 as {name}"
+
+
+# ---- features of phases ----
+
+
+@query(f"with {M}, d as (select user_id, event_type, avg(value) filter (minute between 11 and 20) - avg(value) filter (minute between 1 and 10) as delta from m where user_id is not null and event_type is not null group by 1, 2) select user_id, {R('stddev_samp(delta)', 'reactivity_sd')}, count(delta) as n_env from d group by 1")
+def reactivity_sd(t):
+    return phase.reactivity(minutes(t("events")), "user_id", "event_type", C.minute_phase(F.col("minute")))
+
+
+@query(f"with {M} select user_id, event_type, {R('avg(value) filter (minute between 1 and 10)', 'static_mean')}, {R('avg(value) filter (minute between 11 and 20)', 'dynamic_mean')}, {R('avg(value) filter (minute between 11 and 20) - avg(value) filter (minute between 1 and 10)', 'delta')} from m group by 1, 2")
+def phase_delta_pivot(t):
+    return phase.phase_means(minutes(t("events")), ["user_id", "event_type"], C.minute_phase(F.col("minute")))
+
+
+@query(f"with {M}, d as (select user_id, event_type, avg(value) filter (minute = 20) - avg(value) filter (minute = 10) as delta from m where minute in (10, 20) group by 1, 2) select user_id, {R('stddev_samp(delta)', 'delta_sd')}, count(delta) as n_env from d group by 1")
+def timepoint_20_10_sd(t):
+    return phase.point_difference(minutes(t("events")), "user_id", "event_type", "minute", 10, 20, F.col("value"))
+
+
+@query(f"with e as (select l_suppkey, l_returnflag, avg(l_quantity) as v from lineitem where l_suppkey is not null and l_returnflag is not null group by 1, 2) select l_suppkey, {R('avg(v)', 'mean_env')}, {R('stddev_samp(v)', 'sd_env')}, count(v) as n_env from e group by 1")
+def raw_mean_env_sd(t):
+    return phase.dispersion(t("lineitem"), "l_suppkey", "l_returnflag", F.col("l_quantity"))
+
+
+@query(f"with d as (select l_suppkey, l_returnflag, avg(l_quantity) filter (l_linestatus = 'O') - avg(l_quantity) filter (l_linestatus = 'F') as delta from lineitem group by 1, 2) select l_suppkey, {R('stddev_samp(delta)', 'reactivity_sd')}, count(delta) as n_env from d group by 1")
+def phase_pivot_delta_sd(t):
+    p = F.when(F.col("l_linestatus") == "F", "static").when(F.col("l_linestatus") == "O", "dynamic")
+    return phase.reactivity(t("lineitem"), "l_suppkey", "l_returnflag", p, "l_quantity")
+
+
+@query(f"select l_suppkey, {R('avg(l_tax * 100 - l_discount * 100) filter (l_linestatus = $$O$$) - avg(l_tax * 100 - l_discount * 100) filter (l_linestatus = $$F$$)', 'delta_gap')} from lineitem group by 1")
+def delta_gap(t):
+    p = F.when(F.col("l_linestatus") == "F", "static").when(F.col("l_linestatus") == "O", "dynamic")
+    return phase.gap_change(t("lineitem"), ["l_suppkey"], p, F.col("l_discount") * 100, F.col("l_tax") * 100)
+
+
+@query(f"with {M} select event_id, {R('value - avg(value) filter (minute in (1, 2, 3)) over (partition by user_id, event_type)', 'corrected')} from m")
+def baseline_correct(t):
+    return phase.baseline_corrected(minutes(t("events")), ["user_id", "event_type"], (1, 2, 3)).select("event_id", "corrected")
+
+
+SERIES = f"{M}, s as (select user_id, event_type, minute, avg(value) as value from m group by 1, 2, 3)"
+DYNAMIC = f"{SERIES}, p as (select *, (value + lag(value) over w) / 2 * (minute - lag(minute) over w) as area from s where minute between 11 and 20 and value is not null window w as (partition by user_id, event_type order by minute))"
+
+
+def minute_series(t):
+    return minutes(t("events")).groupBy("user_id", "event_type", "minute").agg(F.avg("value").alias("value"))
+
+
+@query(f"with {DYNAMIC} select user_id, event_type, {R('case when count(value) > 1 then regr_slope(value, minute) end', 'slope')}, {R('sum(area)', 'auc')}, {R('stddev_samp(value)', 'sd')}, count(value) as n_points from p group by 1, 2")
+def dynamic_slope_auc_sd(t):
+    return phase.dynamics(minute_series(t), ["user_id", "event_type"])
+
+
+@query("select o_custkey, arg_min(o_orderpriority, o_orderkey) filter (o_orderpriority is not null) as o_orderpriority, arg_min(o_totalprice, o_orderkey) filter (o_totalprice > 100000) as big from orders group by 1")
+def first_nonnull_by_id(t):
+    rows = t("orders").withColumn("big", F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")))
+    return phase.first_known(rows, ["o_custkey"], ["o_orderpriority", "big"], "o_orderkey")
+
+
+@query("with s(scenario, letter) as (values ('first', 'A'), ('second', 'N'), ('third', 'R')) select scenario, l_returnflag, count(*) as n from lineitem, s where contains(l_returnflag, letter) group by 1, 2")
+def scenario_fanout(t):
+    rows = t("lineitem")
+    s = rows.sparkSession.createDataFrame([("first", "A"), ("second", "N"), ("third", "R")], "scenario string, segment string")
+    return phase.scenario_rows(rows, "l_returnflag", s).groupBy("scenario", "l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query(f"with {M}, w as (select user_id, event_type, minute, avg(value) as v from m group by 1, 2, 3) select user_id, event_type, " + ", ".join(R(f"max(v) filter (minute = {k})", f"ev_{k}") for k in (1, 5, 10)) + " from w group by 1, 2")
+def minute_pivot_wide(t):
+    return phase.pivot_minutes(minutes(t("events")), ["user_id", "event_type"], (1, 5, 10), "ev")
+
+
+# ---- series ----
+
+
+@query("select user_id, minute, " + R("avg(value)", "mean_value") + ", count(value) as n from (select user_id, unnest(range(1, 21))::int as minute from (select distinct user_id from events)) g left join (select user_id as u, (hour(ts) + 1)::int as h, value from events) e on g.user_id = e.u and g.minute = e.h group by 1, 2")
+def minute_bucket_grid(t):
+    return series.minute_grid(t("events").select("user_id", "ts", "value"), ["user_id"], F.hour("ts") * 60, "value")
+
+
+@query("with q as (select user_id, value, ntile(4) over (partition by user_id order by ts, event_id) as quarter, count(*) over (partition by user_id) as c from events) select user_id, quarter, " + R("case when max(c) >= 4 then avg(value) end", "mean_value") + ", count(*) as n from q group by 1, 2")
+def quarter_means(t):
+    return series.quarter_means(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("quarter", F.col("quarter").cast("long"))
+
+
+@query(
+    "with p as (select *, row_number() over w as i, count(*) over (partition by user_id) as n, first_value(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as a, last_value(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and unbounded following) as b, "
+    "sum(value) over (partition by user_id order by ts, event_id rows between 3 preceding and 2 following) as s from events window w as (partition by user_id order by ts, event_id)) "
+    f"select event_id, {R('(s + greatest(3 - (i - 1), 0) * a + greatest(2 - (n - i), 0) * b) / 6', 'smooth')} from p"
+)
+def centered_moving_avg_edge(t):
+    return series.moving_average_edges(t("events"), ["user_id"], ["ts", "event_id"], "value", 6).select("event_id", "smooth")
+
+
+@query(
+    "with p as (select *, case when count(value) over f = 5 then avg(value) over f end as m from events window f as (partition by user_id order by ts, event_id rows between 2 preceding and 2 following)) "
+    f"select event_id, {R('coalesce(first_value(m ignore nulls) over (partition by user_id order by ts, event_id rows between current row and unbounded following), last_value(m ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row))', 'smooth')} from p"
+)
+def rolling_mean_filled(t):
+    return series.rolling_mean_filled(t("events"), ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", "smooth")
+
+
+@query(
+    "with v as (select event_id, user_id, ts, case when value <= 60 then value end as value, row_number() over (partition by user_id order by ts, event_id) as i from events), "
+    "k as (select *, case when value is not null then i end as ki from v), "
+    "g as (select *, last_value(value ignore nulls) over b as bv, last_value(ki ignore nulls) over b as bi, first_value(value ignore nulls) over a as av, first_value(ki ignore nulls) over a as ai from k "
+    "window b as (partition by user_id order by i rows between unbounded preceding and current row), a as (partition by user_id order by i rows between current row and unbounded following)) "
+    f"select event_id, {R('coalesce(value, bv + (av - bv) * (i - bi) / nullif(ai - bi, 0), bv, av)', 'filled')} from g"
+)
+def gap_interpolate(t):
+    rows = t("events").withColumn("value", F.when(F.col("value") <= 60, F.col("value")))
+    return series.interpolated(rows, ["user_id"], ["ts", "event_id"], "value").select("event_id", "filled")
+
+
+GAPS = "g as (select user_id, event_id, ts, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts, event_id) as rr from events)"
+
+
+def gaps(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return t("events").select("user_id", "event_id", "ts", (sec - F.lag(sec).over(w)).alias("rr"))
+
+
+@query(
+    f"with {GAPS}, d as (select *, rr - lag(rr) over (partition by user_id order by ts, event_id) as d from g where rr is not null), a as (select user_id, count(rr) as n, avg(rr) as m, stddev_pop(rr) as s, sqrt(avg(d * d)) as r, 100 * avg(case when abs(d) > 50 then 1.0 when d is not null then 0.0 end) as p from d group by 1) "
+    f"select user_id, n, {R('case when n >= 5 then 60000 / m end', 'hr')}, {R('case when n >= 5 then m end', 'mean_rr')}, {R('case when n >= 5 then s end', 'sdnn')}, {R('case when n >= 5 then r end', 'rmssd')}, {R('case when n >= 5 then p end', 'pnn50')} from a"
+)
+def diff_rmssd_pnn(t):
+    return series.variability(gaps(t).where("rr is not null"), ["user_id"], ["ts", "event_id"])
+
+
+@query(
+    "with p as (select l_orderkey, l_linenumber, l_suppkey, l_extendedprice / 30 as rr from lineitem), s as (select *, avg(case when rr between 300 and 2000 then 1.0 else 0.0 end) over (partition by l_suppkey) as share from p), "
+    "k as (select * from s where case when share >= 0.6 then rr between 300 and 2000 else rr between 250 and 2500 end), m as (select *, median(rr) over (partition by l_suppkey) as med from k), d as (select *, median(abs(rr - med)) over (partition by l_suppkey) as mad from m), "
+    "o as (select *, abs(rr - med) <= 3 * 1.4826 * mad as ok from d), c as (select *, sum(ok::int) over (partition by l_suppkey) as n from o) "
+    f"select l_suppkey, count(*) as n_kept, {R('avg(rr)', 'mean_rr')} from c where ok or n < 10 group by 1"
+)
+def mad_clean(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_extendedprice") / 30).alias("rr"))
+    return series.clean_intervals(rows, ["l_suppkey"]).groupBy("l_suppkey").agg(F.count("*").alias("n_kept"), F.avg("rr").alias("mean_rr"))
+
+
+@query(
+    "with q as (select user_id, quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events where value >= 0 group by 1) "
+    f"select user_id, count(*) as n_all, count(case when value >= 0 and (b = a or value between a - 1.5 * (b - a) and b + 1.5 * (b - a)) then 1 end) as n_kept, {R('avg(case when value >= 0 and (b = a or value between a - 1.5 * (b - a) and b + 1.5 * (b - a)) then value end)', 'mean_kept')} from events left join q using (user_id) group by 1"
+)
+def iqr_fence(t):
+    kept = series.fence(t("events"), ["user_id"], "value", 1.5)
+    return kept.groupBy("user_id").agg(F.count("*").alias("n_all"), F.count("fenced").alias("n_kept"), F.avg("fenced").alias("mean_kept"))
+
+
+@query(f"select user_id, {R('case when count(ts) > 1 and max(ts) > min(ts) then round((count(ts) - 1) / ((epoch(max(ts)) - epoch(min(ts))) / 86400)) end', 'fs')} from events group by 1")
+def sampling_rate(t):
+    return series.sampling_rate(t("events").withColumn("t_sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 86400), ["user_id"])
+
+
+@query(f"select c_custkey, {R('case when stddev_pop(c_acctbal) over w = 0 then 0 else (c_acctbal - avg(c_acctbal) over w) / stddev_pop(c_acctbal) over w end', 'z')} from customer window w as (partition by c_mktsegment)")
+def within_group_z(t):
+    return t("customer").select("c_custkey", series.within_group_z(F.col("c_acctbal"), ["c_mktsegment"]).alias("z"))
+
+
+@query(
+    "with s as (select n_nationkey, sum(c_acctbal) as v from customer join nation on c_nationkey = n_nationkey group by 1), c as (select *, sum(v) over (order by v desc, n_nationkey rows unbounded preceding) / sum(v) over () as cumulative from s) "
+    "select (count(*) filter (cumulative < 0.8)) + 1 as needed, count(*) as n from c"
+)
+def cum_threshold(t):
+    s = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.sum("c_acctbal").alias("v"))
+    placed = order.running_sum(order.positions(s, [F.desc("v"), F.asc("n_nationkey")]), "position", "v", "upto")
+    total = s.agg(F.sum("v").alias("all"))
+    return placed.join(F.broadcast(total), F.lit(True)).agg((F.count(F.when(F.col("upto") / F.col("all") < 0.8, 1)) + 1).alias("needed"), F.count("*").alias("n"))
+
+
+# ---- cleaning and encoding ----
+
+
+@query("select event_id, case when lower(trim(p)) in ('-', '', 'n/a') then null else try_cast(trim(p) as double) end as number from (select event_id, case event_id % 4 when 0 then ' ' || value::varchar when 1 then '-' when 2 then 'N/A' else props end as p from (select event_id, floor(value) as value, props from events))")
+def try_numeric_tokens(t):
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" "), F.floor("value").cast("double").cast("string"))).when(F.col("event_id") % 4 == 1, "-").when(F.col("event_id") % 4 == 2, "N/A").otherwise(F.col("props"))
+    return t("events").select("event_id", C.number(text).alias("number"))
+
+
+@query(f"with {M} select event_type, case when minute in (0, 5, 10) then 'static' when minute in (10, 15, 20) then 'dynamic' end as survey, {PHASE} as phase, count(*) as n from m group by 1, 2, 3")
+def dim_map_phase(t):
+    m = minutes(t("events")).select("event_type", C.survey_phase(F.col("minute")).alias("survey"), C.minute_phase(F.col("minute")).alias("phase"))
+    return m.groupBy("event_type", "survey", "phase").agg(F.count("*").alias("n"))
+
+
+@query("with s as (select upper(trim(substr(c_mktsegment, 1, 1))) as code from customer), c as (select code, case when code in ('A', 'B') then 'AB' when code in ('C', 'D') then 'CD' when code in ('E', 'F') then 'EF' when code in ('G', 'H') then 'GH' end as condition from s) select code, condition, case when code in ('A', 'C', 'E', 'G') then 'static' when code in ('B', 'D', 'F', 'H') then 'dynamic' end as phase, (case when condition in ('AB', 'GH') then -1 when condition in ('CD', 'EF') then 1 end)::int as direction, count(*) as n from c group by 1, 2, 3, 4")
+def dim_map_direction(t):
+    code = F.lower(F.substring("c_mktsegment", 1, 1))
+    rows = t("customer").select(C.environment(code).alias("code"), C.condition(code).alias("condition"), C.segment_phase(code).alias("phase"), C.direction(code).alias("direction"))
+    return rows.groupBy("code", "condition", "phase", "direction").agg(F.count("*").alias("n"))
+
+
+@query("select c_custkey, case when c_acctbal > 9000 then null when c_acctbal >= 4500 then 'high' when c_acctbal <= 4400 then 'low' end as label, case when c_acctbal > 9000 then 0.0 when c_acctbal >= 4500 then 1.0 else 0.0 end as bit, (case when c_acctbal < 0 and c_nationkey <= 12 and c_acctbal <= 9000 then 1 else 0 end)::int as flag from customer")
+def tie_policy_binarise(t):
+    x = F.when(F.col("c_acctbal") <= 9000, F.col("c_acctbal"))
+    return t("customer").select("c_custkey", C.two_sided(x, 4500, 4400, "high", "low").alias("label"), C.at_least(x, 4500).alias("bit"), C.flag((x < 0) & (F.col("c_nationkey") <= 12)).alias("flag"))
+
+
+@query(f"select l_orderkey, l_linenumber, {R('l_quantity * l_tax', 'l_quantity_x_l_tax')}, {R('(l_quantity + l_tax) / 2', 'mean_two')} from lineitem")
+def products_and_row_mean(t):
+    p = C.products(["l_quantity", "l_tax"])
+    return t("lineitem").select("l_orderkey", "l_linenumber", *(v.alias(n) for n, v in p.items()), C.row_mean(F.col("l_quantity"), F.col("l_tax"), F.lit(None).cast("double")).alias("mean_two"))
+
+
+@query("select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders) where n = 1")
+def keyed_dedupe(t):
+    return rank.first_per_key(t("orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("select feature, (sum(gap))::bigint as n_null, count(*) as n_rows, " + R("100.0 * sum(gap) / count(*)", "pct_null") + " from (select 'value' as feature, (case when value <= 60 then 0 else 1 end) as gap from events union all select 'props', (props is null)::int from events) group by 1")
+def missing_summary(t):
+    return scale.missing_summary(t("events").withColumn("value", F.when(F.col("value") <= 60, F.col("value"))), ["value", "props"])
+
+
+@query("select p_partkey, upper(trim(p_name)) as name, regexp_replace(lower(trim(p_type)), '\\W+', '_', 'g') as kind from part")
+def text_normalise(t):
+    return t("part").select("p_partkey", C.environment(F.col("p_name")).alias("name"), F.regexp_replace(F.lower(F.trim("p_type")), r"\W+", "_").alias("kind"))
+
+
+# ---- joins and sets ----
+
+
+@query(
+    "with a as (select o_custkey as id, count(*) as n_orders from orders group by 1), b as (select c_custkey as id, c_acctbal from customer), c as (select user_id as id, avg(value) as v from events group by 1) "
+    f"select id, n_orders, c_acctbal, {R('v', 'mean_value')} from a full join b using (id) full join c using (id)"
+)
+def outer_chain(t):
+    a = t("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n_orders"))
+    b = t("customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    c = t("events").groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("mean_value"))
+    # One aggregate over the union of the long forms, in place of a chain of outer joins.
+    return rank.same_columns(a, b, c).groupBy("id").agg(F.max("n_orders").alias("n_orders"), F.max("c_acctbal").alias("c_acctbal"), F.max("mean_value").alias("mean_value"))
+
+
+@query("with a as (select l_suppkey, l_returnflag, count(*) as n_open from lineitem where l_linestatus = 'O' group by 1, 2), b as (select l_suppkey, l_returnflag, count(*) as n_done from lineitem where l_linestatus = 'F' group by 1, 2) select l_suppkey, l_returnflag, n_open, n_done from a full join b using (l_suppkey, l_returnflag)")
+def composite_outer(t):
+    rows = t("lineitem")
+    a = rows.where("l_linestatus = 'O'").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n_open"))
+    b = rows.where("l_linestatus = 'F'").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n_done"))
+    return a.join(b, ["l_suppkey", "l_returnflag"], "outer")
+
+
+@query("select o_orderkey, c_mktsegment, n_name from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey")
+def left_dim(t):
+    people = t("customer").join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return t("orders").join(people, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_mktsegment", "n_name")
+
+
+@query("select doc_id, quality, lang, source from labels join documents using (doc_id)")
+def inner_label(t):
+    return t("labels").join(t("documents").select("doc_id", "lang", "source"), "doc_id").select("doc_id", "quality", "lang", "source")
+
+
+@query("select o_custkey as id from orders union all select c_custkey from customer")
+def union_all(t):
+    return rank.same_columns(t("orders").select(F.col("o_custkey").alias("id")), t("customer").select(F.col("c_custkey").alias("id")))
+
+
+@query("select distinct l_returnflag, l_linestatus from lineitem")
+def distinct_pairs(t):
+    return t("lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
+@query("select o_custkey as id from orders intersect select c_custkey from customer where c_acctbal > 5000")
+def intersect_keys(t):
+    return t("orders").select(F.col("o_custkey").alias("id")).intersect(t("customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id")))
+
+
+@query("select c_custkey as id from customer except select o_custkey from orders")
+def except_keys(t):
+    return t("customer").select(F.col("c_custkey").alias("id")).subtract(t("orders").select(F.col("o_custkey").alias("id")))
+
+
+@query("select a.label as label_a, b.label as label_b, count(*) as n from (select distinct label from embeddings) a, (select distinct label from embeddings) b where a.label < b.label group by 1, 2")
+def unordered_pairs(t):
+    a = t("embeddings").select(F.col("label").alias("label_a")).distinct()
+    return a.join(a.withColumnRenamed("label_a", "label_b"), F.col("label_a") < F.col("label_b")).groupBy("label_a", "label_b").agg(F.count("*").alias("n"))
+
+
+# ---- aggregation ----
+
+
+@query("select lang, quality, count(d.doc_id) as n from (select distinct lang from documents) l cross join (select distinct quality from labels) q left join (select doc_id, lang, quality from labels join documents using (doc_id)) d using (lang, quality) group by 1, 2")
+def crosstab_long(t):
+    # Every language has labelled documents of the tables, so margins of the joined rows give all cells.
+    rows = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id").select("lang", "quality")
+    grid = t("documents").select("lang").distinct().join(t("labels").select("quality").distinct(), F.lit(True))
+    return grid.join(rows.groupBy("lang", "quality").agg(F.count("*").alias("n")), ["lang", "quality"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+@query(f"select lang, {R('avg(toxic)', 'rate')}, count(*) as n from labels join documents using (doc_id) group by 1")
+def rate_by_group(t):
+    return t("labels").join(t("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("toxic").alias("rate"), F.count("*").alias("n"))
+
+
+@query("select label, string_agg(vec_id::varchar, ',' order by vec_id) as members from embeddings group by 1")
+def collect_members(t):
+    return t("embeddings").groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("vec_id")), ",").alias("members"))
+
+
+@query("with n as (select l_linestatus, l_returnflag, count(*) as n from lineitem group by 1, 2) select l_linestatus, string_agg('C' || l_returnflag || ':' || n::varchar, ', ' order by l_returnflag) as sizes, min(n) as min_size, max(n) as max_size from n group by 1")
+def sizes_string(t):
+    return validity.sizes_text(t("lineitem"), ["l_linestatus"], "l_returnflag")
+
+
+@query(f"select event_type, {R('avg(value)', 'mean')}, {R('median(value)', 'median')}, {R('quantile_cont(value, 0.1)', 'p10')}, {R('min(value)', 'min')}, {R('max(value)', 'max')}, {R('stddev_pop(value)', 'sd')}, count(value) as n from events group by 1")
+def spread_stats(t):
+    return t("events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.expr("percentile(value, 0.1)").alias("p10"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
+
+
+@query("select count(distinct user_id) as n_users, count(distinct event_type) as n_types, count(distinct dayofmonth(ts)) as n_days from events")
+def distinct_counts(t):
+    return t("events").agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("event_type").alias("n_types"), F.count_distinct(F.dayofmonth("ts")).alias("n_days"))
+
+
+# ---- ranks ----
+
+
+@query("with s as (select s_suppkey, case when s_acctbal >= 0 then floor(s_acctbal / 100) end as v from supplier), r as (select *, case when v is not null then rank() over (order by v desc nulls last) end as r from s) select s_suppkey, coalesce(r, max(r) over ()) as place from r")
+def rank_min_mask(t):
+    rows = t("supplier").select("s_suppkey", F.when(F.col("s_acctbal") >= 0, F.floor(F.col("s_acctbal") / 100)).alias("v"))
+    return order.global_rank(rows, "v", "place", descending=True).select("s_suppkey", "place")
+
+
+@query(
+    "with p as (select p_brand, p_partkey, p_retailprice as up, case when p_size > 3 then p_size end as down from part), a as (select *, rank() over (partition by p_brand order by up desc nulls last) as ru, case when down is not null then rank() over (partition by p_brand order by down asc nulls last) end as rd from p) "
+    "select p_partkey, (ru + coalesce(rd, max(rd) over (partition by p_brand), 0))::double + (case when up < 1000 then 3 else 0 end) as score from a"
+)
+def composite_rank(t):
+    rows = t("part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("up"), F.when(F.col("p_size") > 3, F.col("p_size")).alias("down"))
+    return rank.composite_rank(rows, ["up"], ["down"], ["p_brand"], penalty=F.when(F.col("up") < 1000, 3.0).otherwise(0.0)).select("p_partkey", "score")
+
+
+@query("select l_returnflag, l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_returnflag order by l_extendedprice, l_orderkey, l_linenumber) as n from lineitem) where n = 1")
+def argmin_per_group(t):
+    best = F.min(F.struct("l_extendedprice", "l_orderkey", "l_linenumber")).alias("b")
+    return t("lineitem").groupBy("l_returnflag").agg(best).select("l_returnflag", "b.l_orderkey", "b.l_linenumber", "b.l_extendedprice")
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc nulls last, o_orderkey limit 10")
+def top_rows(t):
+    return rank.top_rows(t("orders").select("o_orderkey", "o_totalprice"), rank.nulls_last("-o_totalprice", "o_orderkey"), 10)
+
+
+@query(
+    "with f as (select l_orderkey, l_linenumber, unnest([{'feature': 'discount', 'value': l_discount}, {'feature': 'quantity', 'value': l_quantity / 500}, {'feature': 'tax', 'value': l_tax}]) as s from lineitem) "
+    f"select l_orderkey, l_linenumber, feature, {R('value', 'value')}, place from (select l_orderkey, l_linenumber, s.feature as feature, s.value as value, row_number() over (partition by l_orderkey, l_linenumber order by s.value desc nulls last, s.feature) as place from f) where place <= 2"
+)
+def row_top_features(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("discount"), (F.col("l_quantity") / 500).alias("quantity"), F.col("l_tax").alias("tax"))
+    return rank.extreme_features(rows, ["l_orderkey", "l_linenumber"], ["discount", "quantity", "tax"], 2).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    "with p as (select n_nationkey as i, (n_nationkey * 7 % 25 + 1) / 500.0 as p, n_regionkey as g from nation), r as (select *, (count(*) over (partition by g) - row_number() over (partition by g order by p, i) + 1) * p as s from p) "
+    f"select i, {R('least(1.0, max(s) over (partition by g order by p, i rows unbounded preceding))', 'p_holm')} from r"
+)
+def holm_step_down(t):
+    rows = t("nation").select(F.col("n_nationkey").alias("i"), ((F.col("n_nationkey") * 7 % 25 + 1) / 500.0).alias("p"), F.col("n_regionkey").alias("g"))
+    return rank.holm(rows, "p", ["g"], ["i"]).select("i", "p_holm")
+
+
+# ---- scaling and correlation ----
+
+SUPPLIER = "x as (select l_suppkey, avg(l_quantity) as q, avg(l_extendedprice) as e, case when l_suppkey % 7 <> 0 then avg(l_discount) end as d, avg(l_tax) as t from lineitem group by 1)"
+NAMES = ("q", "e", "d", "t")
+
+
+def supplier(t):
+    return t("lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_extendedprice").alias("e"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t")).withColumn("d", F.when(F.col("l_suppkey") % 7 != 0, F.col("d")))
+
+
+@query(f"with {SUPPLIER} select l_suppkey, {R('coalesce(d, (select avg(d) from x))', 'd')} from x")
+def mean_impute(t):
+    return scale.impute(supplier(t), ["d"]).select("l_suppkey", "d")
+
+
+@query(f"with {SUPPLIER} select l_suppkey, {R('coalesce(d, (select median(d) from x))', 'd')} from x")
+def median_impute(t):
+    return scale.impute(supplier(t), ["d"], "median").select("l_suppkey", "d")
+
+
+@query(f"with {SUPPLIER} select l_suppkey, {R('(q - avg(q) over ()) / (stddev_pop(q) over () * sqrt(2))', 'q')}, {R('(e - avg(e) over ()) / (stddev_pop(e) over () * sqrt(2))', 'e')}, {R('(t - avg(t) over ()) / stddev_pop(t) over ()', 't')} from x")
+def block_z_sqrtp(t):
+    return scale.block_standardise(supplier(t), {"one": ["q", "e"], "two": ["t"]}).select("l_suppkey", "q", "e", "t")
+
+
+@query(f"with {SUPPLIER} select l_suppkey, {R('(q - (select median(q) from x)) / (select quantile_cont(q, 0.75) - quantile_cont(q, 0.25) from x)', 'q')} from x")
+def robust_scale(t):
+    return scale.robust_scale(supplier(t), ["q"]).select("l_suppkey", "q")
+
+
+@query(f"with {SUPPLIER} select l_suppkey, {R('(d - avg(d) over ()) / stddev_samp(d) over ()', 'd')} from x")
+def z_sample(t):
+    return scale.standardise(supplier(t), ["d"], sample=True).select("l_suppkey", "d")
+
+
+@query(f"with x as (select l_quantity as a, l_extendedprice / 1000 as b, l_tax * 100 as c from lineitem) select {R('3 / 2.0 * (1 - (var_samp(a) + var_samp(b) + var_samp(c)) / var_samp(a + b + c))', 'alpha')}, count(*) as n, 3::int as k from x")
+def cronbach_alpha(t):
+    rows = t("lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_tax") * 100).alias("c"))
+    return linear.cronbach_alpha(rows, ["a", "b", "c"])
+
+
+@query(f"with {SUPPLIER} " + " union all ".join(f"select '{a}' as a, '{b}' as b, {R(f'corr({a}, {b}) filter ({a} is not null and {b} is not null)', 'r')}, count(*) filter ({a} is not null and {b} is not null) as n from x" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]))
+def pearson_long(t):
+    return linear.pearson_long(supplier(t), list(NAMES))
+
+
+@query(f"with {SUPPLIER} select row, col, {R('r', 'r')} from (" + " union all ".join(f"select '{b}' as row, '{a}' as col, corr({a}, {b}) as r from x" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]) + ")")
+def lower_triangle(t):
+    return linear.lower_triangle(linear.pearson_long(supplier(t), list(NAMES)), list(NAMES))
+
+
+@query(f"with c as (select c_custkey, floor(c_acctbal / 50) as x, c_nationkey as y from customer), r as (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as y from c) select 'x' as a, 'y' as b, {R('corr(x, y)', 'rho')}, count(*) as n from r")
+def spearman_rho(t):
+    return linear.spearman(t("customer").select("c_custkey", F.floor(F.col("c_acctbal") / 50).alias("x"), F.col("c_nationkey").alias("y")), "c_custkey", "x", "y")
+
+
+@query(f"with {SUPPLIER} select {R('avg(sqrt(q * q + e * e))', 'mean_norm')}, {R('stddev_pop(sqrt(q * q + e * e))', 'sd_norm')} from x")
+def block_energy(t):
+    return linear.row_energy(supplier(t), ["q", "e"])
+
+
+# ---- clusters ----
+
+VEC = "v as (select vec_id, label, list_transform(embedding[1:8], lambda z: z::double) as x from embeddings), l as (select vec_id, label, unnest(range(1, 9)) as d, unnest(x) as v from v)"
+GAP = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+CENTRE = f"{VEC}, cd as (select label, d, avg(v) as m, count(*) as size from l group by 1, 2), c as (select label, list(m order by d) as m, max(size) as size from cd group by 1)"
+
+
+def vectors(t):
+    return t("embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+
+
+@query(f"with {VEC}, g as (select label, d, sum(v) as s, sum(v * v) as q, count(*) as n from l group by 1, 2), e as (select d, sum(q) - sum(s * s / n) as w, sum(s * s / n) - sum(s) * sum(s) / sum(n) as b, sum(n)::bigint as n, count(*) as k from g group by 1) select {R('(sum(b) / (max(k) - 1)) / (sum(w) / (max(n) - max(k)))', 'ch')}, max(n) as n, max(k) as k from e")
+def calinski_harabasz(t):
+    return validity.calinski_harabasz(vectors(t))
+
+
+@query(f"with {CENTRE}, s as (select label, avg({GAP.format('x', 'm')}) as s from v join c using (label) group by 1), cs as (select * from c join s using (label)), w as (select a.label, max((a.s + b.s) / {GAP.format('a.m', 'b.m')}) as r from cs a join cs b on a.label <> b.label group by 1) select {R('avg(r)', 'db')} from w")
+def davies_bouldin(t):
+    return validity.davies_bouldin(vectors(t))
+
+
+@query(f"with {VEC}, d as (select a.vec_id, a.label, b.label as other, avg({GAP.format('a.x', 'b.x')}) as d from v a join v b on a.vec_id <> b.vec_id group by 1, 2, 3), e as (select vec_id, label, max(d) filter (other = label) as a, min(d) filter (other <> label) as b from d group by 1, 2) select {R('avg(case when b is null then null when a is null then 0 else (b - a) / greatest(a, b) end)', 'silhouette')}, count(case when b is null then null when a is null then 0 else 1 end) as n from e")
+def silhouette_exact(t):
+    return validity.silhouette(vectors(t), "vec_id")
+
+
+@query(f"with {VEC}, d as (select a.vec_id, a.label, b.label as other, avg({GAP.format('a.x', 'b.x')} ** 2) as d from v a join v b on a.vec_id <> b.vec_id group by 1, 2, 3), e as (select vec_id, label, max(d) filter (other = label) as a, min(d) filter (other <> label) as b from d group by 1, 2) select {R('avg(case when b is null then null when a is null then 0 else (b - a) / greatest(a, b) end)', 'silhouette2')}, count(case when b is null then null when a is null then 0 else 1 end) as n from e")
+def silhouette_squared(t):
+    return validity.squared_silhouette(vectors(t), "vec_id")
+
+
+@query("with c as (select label as a, vec_id % 10 as b, count(*) as n from embeddings group by 1, 2), r as (select sum(n * (n - 1) / 2) as r from (select sum(n) as n from c group by a)), q as (select sum(n * (n - 1) / 2) as q from (select sum(n) as n from c group by b)), p as (select sum(n * (n - 1) / 2) as c, sum(n)::bigint as n from c) select round(case when (r + q) / 2 = r * q / (n * (n - 1) / 2) then 1 else (c - r * q / (n * (n - 1) / 2)) / ((r + q) / 2 - r * q / (n * (n - 1) / 2)) end, 6) + 0.0 as ari, n from p, r, q")
+def adjusted_rand(t):
+    return validity.agreement(t("embeddings").select(F.col("label").alias("a"), (F.col("vec_id") % 10).alias("b")), "a", "b")
+
+
+@query(f"with f as (select c_mktsegment as cluster, c_acctbal as v from customer), g as (select cluster, sum(v) as s, sum(v * v) as q, count(*) as n from f group by 1), t as (select sum(s * s / n) - sum(s) * sum(s) / sum(n) as b, sum(q) - sum(s * s / n) as w, count(*) - 1 as df1, (sum(n) - count(*))::bigint as df2 from g) select 'c_acctbal' as feature, {R('(b / df1) / (w / df2)', 'f')}, {R('b / (b + w)', 'eta2')}, df1, df2 from t")
+def anova_f_eta2(t):
+    return validity.discriminability(t("customer").withColumnRenamed("c_mktsegment", "cluster"), ["c_acctbal"])
+
+
+@query(f"with {CENTRE}, d as (select vec_id, label as cluster, size, {GAP.format('x', 'm')} as distance from v join c using (label)), z as (select *, case when stddev_pop(distance) over w = 0 then 0 else (distance - avg(distance) over w) / stddev_pop(distance) over w end as z from d window w as (partition by cluster)) select vec_id, cluster, {R('distance', 'distance')}, {R('z', 'z')}, size, z > 2.0 as outlier from z")
+def centroid_outliers(t):
+    return validity.distance_outliers(vectors(t), "vec_id", 2.0)
+
+
+TINY = "case when vec_id < 4 then 90 when vec_id < 9 then 91 else label end"
+
+
+def tiny(t):
+    return vectors(t).withColumn("cluster", F.when(F.col("vec_id") < 4, 90).when(F.col("vec_id") < 9, 91).otherwise(F.col("cluster")))
+
+
+@query(f"select vec_id, cluster, size from (select *, count(*) over (partition by cluster) as size from (select vec_id, ({TINY})::int as cluster from embeddings)) where size <= 6")
+def tiny_clusters(t):
+    return validity.tiny_members(tiny(t), "vec_id")
+
+
+@query(
+    f"with v as (select vec_id, ({TINY})::int as label, list_transform(embedding[1:8], lambda z: z::double) as x from embeddings), l as (select vec_id, label, unnest(range(1, 9)) as d, unnest(x) as v from v), cd as (select label, d, avg(v) as m, count(*) as size from l group by 1, 2), c as (select label, list(m order by d) as m, max(size) as size from cd group by 1), "
+    f"p as (select a.label as cluster, a.size, b.label as other, {GAP.format('a.m', 'b.m')} as d from c a join c b on a.label <> b.label), m as (select avg(d) as md from p), n as (select cluster, size, arg_min(other, d) as nearest, min(d) as d from p group by 1, 2) "
+    f"select cluster, size, nearest, {R('d / md', 'ratio')}, case when d / md < 0.5 then 'borderline' when d / md > 1.5 then 'outlier' else 'distinct' end as cause from n, m where size <= 6"
+)
+def tiny_cause(t):
+    return validity.tiny_causes(tiny(t))
+
+
+RUNS = "r as (select run, vec_id as id, (vec_id * (run + 3)) % 7 % 3 as cluster from (select vec_id from embeddings where vec_id < 100) e, (select unnest(range(0, 6)) as run) where (vec_id + run) % 5 <> 0)"
+
+
+def runs(t):
+    ids = t("embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("run"))
+    return ids.where("(id + run) % 5 <> 0").withColumn("cluster", F.col("id") * (F.col("run") + 3) % 7 % 3)
+
+
+@query(f"with {RUNS} select a.id as id_a, b.id as id_b, {R('avg((a.cluster = b.cluster)::int)', 'together')} from r a join r b on a.run = b.run and a.id <= b.id group by 1, 2")
+def coclustering_share(t):
+    return validity.coclustering(runs(t))
+
+
+@query(f"with {VEC}, p as (select label as cluster, 'e' || d::varchar as feature, avg(v) as m from l where d <= 3 group by 1, 2), g as (select 'e' || d::varchar as feature, avg(v) as gm, stddev_pop(v) as s from l where d <= 3 group by 1) select cluster, feature, {R('m', 'mean_value')}, {R('(m - gm) / s', 'z_value')} from p join g using (feature)")
+def cluster_profile(t):
+    rows = t("embeddings").select(F.col("label").alias("cluster"), *(F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(3)))
+    return validity.profile(rows, ["e1", "e2", "e3"])
+
+
+@query(f"with {VEC}, p as (select label as cluster, 'e' || d::varchar as feature, avg(v) as m from l group by 1, 2) select feature, {R('var_samp(m)', 'var_means')} from p group by 1 order by var_samp(m) desc, feature limit 3")
+def telling_features(t):
+    rows = t("embeddings").select(F.col("label").alias("cluster"), *(F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(8)))
+    return validity.telling_features(validity.profile(rows, [f"e{i + 1}" for i in range(8)]), 3)
+
+
+# ---- inference ----
+
+SEGMENTS = "g as (select c_mktsegment as g, count(*) as n, avg(c_acctbal) as m, var_samp(c_acctbal) as v from customer group by 1)"
+
+
+def segments(t):
+    return inference.group_moments(t("customer"), "c_mktsegment", "c_acctbal")
+
+
+@query(f"with {SEGMENTS}, w as (select *, n / v as w from g), q as (select sum(w) as tw, sum(w * m) / sum(w) as tm, count(*) as k from w), s as (select k, sum(w * (m - tm) ** 2) as s, sum((1 - w / tw) ** 2 / (n - 1)) as t from w, q group by 1) select {R('(s / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * t)', 'f')}, k - 1 as df1, {R('(k * k - 1) / (3 * t)', 'df2')} from s")
+def welch_f(t):
+    return inference.welch(segments(t), [])
+
+
+@query(f"with {SEGMENTS}, t as (select sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) as b, sum((n - 1) * v) as w from g) select {R('b / (b + w)', 'eta2')} from t")
+def eta_squared(t):
+    return inference.eta_squared(segments(t), [])
+
+
+@query(f"with {SEGMENTS} select a.g as a, b.g as b, {R('a.m - b.m', 'diff')}, {R('abs(a.m - b.m) / sqrt((a.v / a.n + b.v / b.n) / 2)', 'q')}, {R('(a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1))', 'df')} from g a join g b on a.g < b.g")
+def games_howell_t(t):
+    return inference.games_howell(segments(t), "c_mktsegment", [])
+
+
+@query(f"with f as (select c_mktsegment as g, unnest([c_acctbal / 1000, c_nationkey]) as v, unnest([1, 2]) as d from customer), c as (select g, d, sum(v) as s, sum(v * v) as q, count(*) as n from f group by 1, 2), e as (select d, sum(s * s / n) - sum(s) * sum(s) / sum(n) as b, sum(q) - sum(s * s / n) as w, sum(n)::bigint as n, count(*) as k from c group by 1) select {R('(sum(b) / (max(k) - 1)) / (sum(w) / (max(n) - max(k)))', 'f')}, max(n) as n, max(k) as k from e")
+def pseudo_f(t):
+    return inference.pseudo_f(t("customer").select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").cast("double").alias("b")), "c_mktsegment", ["a", "b"])
+
+
+CROSS = "t as (select quality as a, toxic as b from labels), c as (select r.a, q.b, nr, nc, na, count(t.a) as n from (select a, count(*) as nr from t group by 1) r cross join (select b, count(*) as nc from t group by 1) q cross join (select count(*) as na from t) s left join t on t.a = r.a and t.b = q.b group by 1, 2, 3, 4, 5), e as (select *, nr * nc / na::double as x from c)"
+
+
+@query(f"with {CROSS} select {R('sum((abs(n - x) - least(0.5, abs(n - x))) ** 2 / x)', 'chi2')}, 1::bigint as df, {R('min(x)', 'least_expected')} from e")
+def chi2_yates(t):
+    return inference.chi_square(inference.contingency(t("labels"), "quality", "toxic"))
+
+
+@query(f"with g as (select count(*) filter (quality = 1) as n1, sum(toxic) filter (quality = 1) as x1, count(*) filter (quality = 0) as n2, sum(toxic) filter (quality = 0) as x2 from labels), p as (select *, (x1 + x2) / (n1 + n2) as p from g) select {R('(x1 / n1 - x2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2))', 'z')} from p")
+def two_prop_z(t):
+    n = lambda q, x: F.sum(F.when(F.col("quality") == q, x)).cast("double")
+    g = t("labels").agg(n(1, F.lit(1)).alias("n1"), n(1, F.col("toxic")).alias("x1"), n(0, F.lit(1)).alias("n2"), n(0, F.col("toxic")).alias("x2"))
+    return g.select(inference.two_proportions(*(F.col(c) for c in ("n1", "x1", "n2", "x2"))).alias("z"))
+
+
+BLOCKS = {"QUANTITY": ["q", "e"], "RATE": ["d", "t"]}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reactivity of every subject with its number of environments, imputed and block-scaled."""
+    got = phase.reactivity(minutes(table(spark, sf_dir, "events")), "user_id", "event_type", C.minute_phase(F.col("minute")))
+    got = got.withColumn("n_env", F.col("n_env").cast("double"))
+    return scale.block_standardise(scale.impute(got, ["reactivity_sd", "n_env"]), {"R": ["reactivity_sd", "n_env"]})
