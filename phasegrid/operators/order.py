@@ -43,15 +43,16 @@ def global_rank(df: DataFrame, column: str, out: str, descending: bool = False,
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(worst).cast("long")))
 
 
-def running_sum(df: DataFrame, position: str, value: str, out: str, block: int = 4096) -> DataFrame:
+def running_sum(df: DataFrame, position: str, value: str, out: str, block: int = 4096, _depth: int = 0) -> DataFrame:
     """Sum of value up to each position: within blocks of positions by a window, before them by sums of blocks."""
     from pyspark.sql import Window
 
-    df = df.withColumn("_block", F.floor((F.col(position) - 1) / block))
-    sums = df.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    own, total, upto, inside, base = (f"_{x}{_depth}" for x in ("block", "sum", "upto", "in", "base"))
+    df = df.withColumn(own, F.floor((F.col(position) - 1) / block))
+    sums = df.groupBy(own).agg(F.sum(value).alias(total))
     if sums.count() > block:
-        sums = running_sum(sums.withColumn("_at", F.col("_block") + 1), "_at", "_sum", "_upto", block)
+        sums = running_sum(sums.withColumn("_at", F.col(own) + 1), "_at", total, upto, block, _depth + 1)
     else:  # a bounded number of rows
-        sums = sums.withColumn("_upto", F.sum("_sum").over(Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)))
-    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_in", inside).join(sums.select("_block", (F.col("_upto") - F.col("_sum")).alias("_base")), "_block").withColumn(out, F.col("_base") + F.col("_in")).drop("_block", "_in", "_base")
+        sums = sums.withColumn(upto, F.sum(total).over(Window.partitionBy(F.lit(0)).orderBy(own).rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.sum(value).over(Window.partitionBy(own).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(inside, here).join(sums.select(own, (F.col(upto) - F.col(total)).alias(base)), own).withColumn(out, F.col(base) + F.col(inside)).drop(own, inside, base)

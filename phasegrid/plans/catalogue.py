@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import inference, linear, order, phase, rank, scale, series, validity
+from ..operators import cluster, inference, linear, order, phase, rank, scale, series, signal, validity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -618,3 +618,137 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = phase.reactivity(minutes(table(spark, sf_dir, "events")), "user_id", "event_type", C.minute_phase(F.col("minute")))
     got = got.withColumn("n_env", F.col("n_env").cast("double"))
     return scale.block_standardise(scale.impute(got, ["reactivity_sd", "n_env"]), {"R": ["reactivity_sd", "n_env"]})
+
+
+# ---- beyond SQL: fitted models, recordings, streams ----
+
+
+def supplier_matrix(t) -> DataFrame:
+    return order.cut(scale.standardise(scale.impute(order.cut(supplier(t)), list(NAMES)), list(NAMES)))
+
+
+@query()
+def kmeans_partition(t):
+    s = cluster.kmeans(supplier_matrix(t), "l_suppkey", list(NAMES), 3, n_init=5)
+    return s.labels.withColumn("inertia", F.lit(s.objective))
+
+
+@query()
+def ward_partition(t):
+    return cluster.ward(supplier_matrix(t), "l_suppkey", list(NAMES), 3).labels
+
+
+@query()
+def gmm_diag_partition(t):
+    s = cluster.gmm(supplier_matrix(t), "l_suppkey", list(NAMES), 2, "diag")
+    return s.labels.withColumns({"bic": F.lit(s.extra["bic"]), "aic": F.lit(s.extra["aic"])})
+
+
+@query()
+def gmm_grid_best(t):
+    x = supplier_matrix(t)
+    rows = [(s.extra["kind"], s.k, s.extra["bic"], s.extra["aic"]) for s in cluster.gmm_grid(x, "l_suppkey", list(NAMES), range(2, 4), rounds=15)]
+    return x.sparkSession.createDataFrame(rows, "kind string, k int, bic double, aic double")
+
+
+@query()
+def component_scores(t):
+    x = supplier(t).dropna()
+    c = linear.components(x, list(NAMES))
+    return linear.scores(x, list(NAMES), c["vectors"][:, :2], c["mean"], c["sd"]).select("l_suppkey", "pc1", "pc2")
+
+
+@query()
+def block_validity(t):
+    x = supplier(t)
+    v = linear.validity(x, list(NAMES))
+    return x.sparkSession.createDataFrame([(v["n"], v["kmo"], v["bartlett_p"], v["mean_abs_r"], v["valid"])], "n long, kmo double, bartlett_p double, mean_abs_r double, valid boolean")
+
+
+@query()
+def polychoric_pair(t):
+    rows = t("part").select(F.least(F.floor(F.col("p_size") / 13), F.lit(3)).alias("a"), F.floor(F.log10(F.col("p_retailprice"))).alias("b"))
+    return rows.agg(F.count("*").alias("n")).withColumn("rho", F.lit(linear.polychoric(rows, "a", "b")))
+
+
+@query()
+def subsample_agreement(t):
+    x = supplier_matrix(t)
+    picks = order.cut(validity.subsamples(x, "l_suppkey", 4, 0.8))
+    runs = None
+    for r in range(4):
+        own = x.join(picks.where(F.col("run") == r), "l_suppkey", "left_semi")
+        one = cluster.ward(own, "l_suppkey", list(NAMES), 2).labels.select(F.lit(r).alias("run"), F.col("l_suppkey").alias("id"), "cluster")
+        runs = one if runs is None else runs.unionByName(one)
+    return validity.spread(validity.run_agreement(order.cut(runs), "id"))
+
+
+@query()
+def permutation_profile(t):
+    rows = t("customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+    got = inference.permutation_profile(rows, "c_custkey", "c_mktsegment", ["a", "b"], 99)
+    return rows.agg(F.count("*").alias("n")).withColumns({"f": F.lit(got["f"]), "p": F.lit(got["p"])})
+
+
+@query()
+def trait_tests(t):
+    rows = t("customer").select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    return inference.trait_tests(rows, "c_mktsegment", ["balance", "nation"])[0]
+
+
+@query()
+def pairwise_shares(t):
+    rows = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id")
+    got = inference.pairwise_shares(rows, "lang", "toxic")
+    return rows.sparkSession.createDataFrame([(g["a"], g["b"], g["test"], g["p"]) for g in got], "a string, b string, test string, p double")
+
+
+@query()
+def least_squares(t):
+    rows = t("lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("price"))
+    g = linear.least_squares(rows, "price", ["l_quantity", "l_discount"])
+    return rows.sparkSession.createDataFrame([(n, float(c), float(s), float(p), float(g["r2"])) for n, c, s, p in zip(g["names"], g["coef"], g["se"], g["p"])], "term string, coef double, se double, p double, r2 double")
+
+
+@query()
+def random_intercept(t):
+    m = minutes(t("events")).withColumn("minute", F.col("minute").cast("double"))
+    g = linear.random_intercept(m, "value", ["minute"], "user_id")
+    return m.sparkSession.createDataFrame([(n, float(c), float(s), float(g["var_group"]), float(g["var_residual"])) for n, c, s in zip(g["names"], g["coef"], g["se"])], "term string, coef double, se double, var_group double, var_residual double")
+
+
+@query()
+def logistic_gee(t):
+    m = minutes(t("events")).select("user_id", (F.col("minute") / 31).alias("minute"), (F.col("value") > 50).cast("double").alias("high"))
+    g = inference.odds_table(linear.logistic_gee(m, "high", ["minute"], "user_id", rounds=8))
+    return m.sparkSession.createDataFrame([(r["term"], r["odds"], r["low"], r["high"], r["note"]) for r in g], "term string, odds double, low double, high double, note string")
+
+
+def recordings(t) -> DataFrame:
+    """Values of a subject in order of time, taken as samples at 4 Hz."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select(F.col("user_id").alias("subject"), (F.row_number().over(w) / 4).alias("t_sec"), "value")
+
+
+@query()
+def signal_quality(t):
+    return signal.quality(recordings(t), ["subject"])
+
+
+@query()
+def skin_measures(t):
+    return signal.skin_measures(signal.skin_parts(recordings(t), ["subject"], 4.0), ["subject"])
+
+
+@query()
+def interval_spectrum(t):
+    rr = gaps(t).where("rr is not null").select(F.col("user_id").alias("subject"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_sec"), (600 + F.col("rr") % 500).alias("rr"))
+    return signal.heart_spectrum(rr, ["subject"])
+
+
+@query()
+def fourier_resample(t):
+    return signal.resampled(recordings(t), ["subject"], 1.0)
+
+
+QUERIES["flagship"] = flagship
