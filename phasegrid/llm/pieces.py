@@ -326,7 +326,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_piece_text", 3 << 20):
+            for batch in slices(whole, "_piece_text"):
                 ids, edges = shared.value.encode(*buffers(batch.column("_piece_text")))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))], names=[*keep, "ids"])
 
