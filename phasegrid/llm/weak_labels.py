@@ -96,6 +96,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     good, bad = (v == 1).sum(1), (v == 0).sum(1)
     post = np.where(bad > 0, 0.1, np.where(good > 0, 0.9, 0.5))
     rates, share = np.zeros((2, len(LABELLERS), 3)), 0.5
+    if not len(patterns):
+        return rates, share, post
     for _ in range(rounds):
         before = post
         weight = np.stack([counts * (1 - post), counts * post])
