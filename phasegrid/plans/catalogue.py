@@ -629,7 +629,7 @@ def supplier_matrix(t) -> DataFrame:
 
 @query()
 def kmeans_partition(t):
-    s = cluster.kmeans(supplier_matrix(t), "l_suppkey", list(NAMES), 3, n_init=5)
+    s = cluster.kmeans(supplier_matrix(t), "l_suppkey", list(NAMES), 3, n_init=2, rounds=15)
     return s.labels.withColumn("inertia", F.lit(s.objective))
 
 
@@ -640,14 +640,14 @@ def ward_partition(t):
 
 @query()
 def gmm_diag_partition(t):
-    s = cluster.gmm(supplier_matrix(t), "l_suppkey", list(NAMES), 2, "diag")
+    s = cluster.gmm(supplier_matrix(t), "l_suppkey", list(NAMES), 2, "diag", rounds=4)
     return s.labels.withColumns({"bic": F.lit(s.extra["bic"]), "aic": F.lit(s.extra["aic"])})
 
 
 @query()
 def gmm_grid_best(t):
     x = supplier_matrix(t)
-    rows = [(s.extra["kind"], s.k, s.extra["bic"], s.extra["aic"]) for s in cluster.gmm_grid(x, "l_suppkey", list(NAMES), range(2, 4), rounds=15)]
+    rows = [(s.extra["kind"], s.k, s.extra["bic"], s.extra["aic"]) for s in cluster.gmm_grid(x, "l_suppkey", list(NAMES), range(2, 3), kinds=("diag", "full"), rounds=3)]
     return x.sparkSession.createDataFrame(rows, "kind string, k int, bic double, aic double")
 
 
