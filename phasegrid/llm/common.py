@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
+    """df in fewer partitions where it has few rows, so that the next exchange leaves fewer files."""
+    return df.coalesce(max(8, rows // per))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, cut, lowered, mix, slices, text_of, words
+from .common import Spans, buffers, compact, cut, lowered, mix, slices, text_of, words
 from .graph import components
 
 BANDS, PAIRS = 44, 3
@@ -162,17 +162,20 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int, block: int =
     classes = cut(classes)
     hubs = classes.groupBy("key").agg(F.min("nid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
     pairs = cut(classes.join(hubs, "key").where("nid <> hub").select("nid", "hub").distinct())
-    groups = cut(components(pairs.select(F.col("nid").alias("a"), F.col("hub").alias("b"))))
+    n_pairs = pairs.count()
+    pairs = compact(pairs, n_pairs)
+    groups = components(pairs.select(F.col("nid").alias("a"), F.col("hub").alias("b")))
     members = groups.select(F.col("node").alias("nid"))
     # A node's sets: several only if a doc_id repeats with other texts.
     sets = cut(docs.join(members, "nid", "left_semi").select("nid", "_text").mapInArrow(_sets(k), "nid long, items array<long>").dropDuplicates(["nid", "items"]))
+    sets = compact(sets, n_pairs, 2000)
     held = pairs.join(sets, "nid").join(sets.select(F.col("nid").alias("hub"), F.col("items").alias("others")), "hub")
     common = F.size(F.array_intersect("items", "others"))
     near = held.where(100 * common >= percent * (F.size("items") + F.size("others") - common)).select(F.col("nid").alias("a"), F.col("hub").alias("b"))
-    near = cut(near)
+    near = compact(cut(near), n_pairs)
     first = components(near).withColumnRenamed("node", "nid")
     # Groups of three or more that the links with hubs leave apart.
-    state = cut(groups.select(F.col("node").alias("nid"), F.col("root").alias("grp")).join(first, "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    state = compact(cut(groups.select(F.col("node").alias("nid"), F.col("root").alias("grp")).join(first, "nid", "left").withColumn("root", F.coalesce("root", "nid"))), n_pairs)
     sizes = state.groupBy("grp", "root").agg(F.count("*").alias("c"))
     apart = sizes.groupBy("grp").agg(F.sum("c").alias("total"), F.count("*").alias("parts"), F.max(F.struct("c", "root")).alias("most")).where("parts > 1 and total > 2").select("grp", F.col("most.root").alias("core"))
     open_ = state.join(apart, "grp").withColumn("rest", F.col("root") != F.col("core"))
@@ -185,8 +188,8 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int, block: int =
     rest_right = placed.where("rest").select("nid", "grp", "root", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, at)")).alias("i"), F.col("at").alias("j"))
     core_right = placed.where("not rest").select("nid", "grp", "root", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, r - 1)")).alias("i"), (F.col("r") + F.col("at")).alias("j"))
     blocks = as_left.unionByName(rest_right).unionByName(core_right).join(sets, "nid")
-    more = blocks.groupBy("grp", "i", "j").applyInArrow(_across(percent), "a long, b long")
-    return components(near.unionByName(more))
+    more = compact(cut(blocks.groupBy("grp", "i", "j").applyInArrow(_across(percent), "a long, b long")), n_pairs)
+    return first.withColumnRenamed("nid", "node") if more.isEmpty() else components(near.unionByName(more))
 
 
 def _node(doc_id: str, text: str) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, cut, mix, text_of
+from .common import Spans, buffers, compact, cut, mix, text_of
 
 #: Bytes of the grams that windows are filed under.
 GRAM = 80
@@ -318,21 +318,23 @@ def repeated_spans(base: DataFrame, length: int, most_blocks: int = MOST_BLOCKS)
     parts = base.select("_id", "_th", "_text").join(wanted, ["_id", "_th"], "left").mapInArrow(cut_out(length), PARTS)
     parts = cut(parts.dropDuplicates(["key", "hash"]).join(sizes_of(blocks), "key"))
     found = blocks.where("copies > 1").select(F.col("key").alias("block"), F.col("hash").alias("mark"), F.lit(0).alias("start"), F.col("at.n").alias("stop"))
+    n_parts = parts.count()
+    parts = compact(parts, n_parts, 2000)
     small = parts.where(F.col("different") <= most_blocks).drop("different")
     large = parts.where(F.col("different") > most_blocks).drop("different")
     found = found.unionByName(_constructed(small, length))
     width = 1 << (length - GRAM).bit_length()
-    while width > 1 and not large.isEmpty():
+    while width > 1 and (n_large := large.count()):
         width //= 2
-        split = cut(large.mapInArrow(halve(length, width), PARTS))
+        split = compact(cut(compact(large, n_large, 2000).mapInArrow(halve(length, width), PARTS)), 2 * n_large, 2000)
         kinds = split.groupBy("key", "hash").agg(F.count("*").alias("copies"), F.min(F.struct("block", "mark")).alias("one"))
         number = kinds.groupBy("key").agg(F.count("*").alias("different"))
-        kinds = cut(kinds.join(number, "key"))
+        kinds = compact(cut(kinds.join(number, "key")), 2 * n_large, 20_000)
         # Copies of one part: all its windows are repeated.
         twice = kinds.where("copies > 1").select("key", "hash")
         found = found.unionByName(split.join(twice, ["key", "hash"]).select("block", "mark", F.col("base").alias("start"), (F.col("base") + F.col("n")).alias("stop")))
         left = split.join(kinds.where("different > 1").select("key", "hash", "one", "different"), ["key", "hash"]).where("one.block = block and one.mark = mark").drop("one")
-        left = cut(left)
+        left = compact(cut(left), 2 * n_large, 2000)
         found = found.unionByName(_constructed(left.where(F.col("different") <= most_blocks).drop("different"), length))
         large = left.where(F.col("different") > most_blocks).drop("different")
     found = found.withColumnRenamed("block", "key").withColumnRenamed("mark", "hash")
