@@ -629,7 +629,7 @@ def supplier_matrix(t) -> DataFrame:
 
 @query()
 def kmeans_partition(t):
-    s = cluster.kmeans(supplier_matrix(t), "l_suppkey", list(NAMES), 3, n_init=2, rounds=15)
+    s = cluster.kmeans(supplier_matrix(t), "l_suppkey", list(NAMES), 3)
     return s.labels.withColumn("inertia", F.lit(s.objective))
 
 
@@ -640,14 +640,14 @@ def ward_partition(t):
 
 @query()
 def gmm_diag_partition(t):
-    s = cluster.gmm(supplier_matrix(t), "l_suppkey", list(NAMES), 2, "diag", rounds=4)
+    s = cluster.gmm(supplier_matrix(t), "l_suppkey", list(NAMES), 2, "diag")
     return s.labels.withColumns({"bic": F.lit(s.extra["bic"]), "aic": F.lit(s.extra["aic"])})
 
 
 @query()
 def gmm_grid_best(t):
     x = supplier_matrix(t)
-    rows = [(s.extra["kind"], s.k, s.extra["bic"], s.extra["aic"]) for s in cluster.gmm_grid(x, "l_suppkey", list(NAMES), range(2, 3), kinds=("diag", "full"), rounds=3)]
+    rows = [(s.extra["kind"], s.k, s.extra["bic"], s.extra["aic"]) for s in cluster.gmm_grid(x, "l_suppkey", list(NAMES))]
     return x.sparkSession.createDataFrame(rows, "kind string, k int, bic double, aic double")
 
 
@@ -674,19 +674,15 @@ def polychoric_pair(t):
 @query()
 def subsample_agreement(t):
     x = supplier_matrix(t)
-    picks = order.cut(validity.subsamples(x, "l_suppkey", 4, 0.8))
-    runs = None
-    for r in range(4):
-        own = x.join(picks.where(F.col("run") == r), "l_suppkey", "left_semi")
-        one = cluster.ward(own, "l_suppkey", list(NAMES), 2).labels.select(F.lit(r).alias("run"), F.col("l_suppkey").alias("id"), "cluster")
-        runs = one if runs is None else runs.unionByName(one)
+    picks = validity.subsamples(x, "l_suppkey", 100, 0.8)
+    runs = cluster.ward_runs(x.join(picks, "l_suppkey"), "l_suppkey", list(NAMES), 2).withColumnRenamed("l_suppkey", "id")
     return validity.spread(validity.run_agreement(order.cut(runs), "id"))
 
 
 @query()
 def permutation_profile(t):
     rows = t("customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") / 1000).alias("a"), F.col("c_nationkey").cast("double").alias("b"))
-    got = inference.permutation_profile(rows, "c_custkey", "c_mktsegment", ["a", "b"], 99)
+    got = inference.permutation_profile(rows, "c_custkey", "c_mktsegment", ["a", "b"], 5000)
     return rows.agg(F.count("*").alias("n")).withColumns({"f": F.lit(got["f"]), "p": F.lit(got["p"])})
 
 
@@ -720,7 +716,7 @@ def random_intercept(t):
 @query()
 def logistic_gee(t):
     m = minutes(t("events")).select("user_id", (F.col("minute") / 31).alias("minute"), (F.col("value") > 50).cast("double").alias("high"))
-    g = inference.odds_table(linear.logistic_gee(m, "high", ["minute"], "user_id", rounds=8))
+    g = inference.odds_table(linear.logistic_gee(m, "high", ["minute"], "user_id"))
     return m.sparkSession.createDataFrame([(r["term"], r["odds"], r["low"], r["high"], r["note"]) for r in g], "term string, odds double, low double, high double, note string")
 
 
