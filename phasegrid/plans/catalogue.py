@@ -720,31 +720,38 @@ def logistic_gee(t):
     return m.sparkSession.createDataFrame([(r["term"], r["odds"], r["low"], r["high"], r["note"]) for r in g], "term string, odds double, low double, high double, note string")
 
 
+SEGMENT_S = 600  # a recording is ten minutes of a subject, so its length is bounded by the sampling rate
+RECORDING = ["subject", "segment"]
+
+
 def recordings(t) -> DataFrame:
-    """Values of a subject in order of time, taken as samples at 4 Hz."""
+    """Values of a subject in order of time, taken as samples at 4 Hz, in segments of ten minutes."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select(F.col("user_id").alias("subject"), (F.row_number().over(w) / 4).alias("t_sec"), "value")
+    rows = t("events").select(F.col("user_id").alias("subject"), ((F.row_number().over(w) - 1) / 4).alias("t_sec"), "value")
+    return rows.withColumn("segment", F.floor(F.col("t_sec") / SEGMENT_S))
 
 
 @query()
 def signal_quality(t):
-    return signal.quality(recordings(t), ["subject"])
+    return signal.quality(recordings(t), RECORDING)
 
 
 @query()
 def skin_measures(t):
-    return signal.skin_measures(signal.skin_parts(recordings(t), ["subject"], 4.0), ["subject"])
+    return signal.skin_measures(signal.skin_parts(recordings(t), RECORDING, 4.0), RECORDING, last=float("inf"))
 
 
 @query()
 def interval_spectrum(t):
-    rr = gaps(t).where("rr is not null").select(F.col("user_id").alias("subject"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_sec"), (600 + F.col("rr") % 500).alias("rr"))
-    return signal.heart_spectrum(rr, ["subject"])
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rr = gaps(t).where("rr is not null").withColumn("rr", 600 + F.col("rr") % 500).withColumn("t_sec", F.sum("rr").over(w) / 1000)
+    rr = rr.select(F.col("user_id").alias("subject"), F.floor(F.col("t_sec") / SEGMENT_S).alias("segment"), "t_sec", "rr")
+    return signal.heart_spectrum(rr, RECORDING)
 
 
 @query()
 def fourier_resample(t):
-    return signal.resampled(recordings(t), ["subject"], 1.0)
+    return signal.resampled(recordings(t), RECORDING, 1.0)
 
 
 QUERIES["flagship"] = flagship
