@@ -28,7 +28,7 @@ class Bands:
     least: tuple[float, ...] = (0.50, 0.90, 1.15, 1.30, 1.45, 1.55, 1.60, 1.65, 1.70)
     most: tuple[float, ...] = (1.9, 2.5, 2.5, 2.6, 2.7, 2.8, 2.9, 3.0, 3.2)
     chunk: int = 2048
-    #: Most ratio of any chunk of full length, and least ratio of the median chunk.
+    #: Most ratio of any chunk of full length, and least ratio of any such chunk.
     chunk_most: float = 3.0
     chunk_least: float = 1.45
     level: int = 3
@@ -94,19 +94,20 @@ def text_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": sums(repeated, first)}
 
 
-def ratios(body: memoryview | bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Ratio of the whole, the highest of full chunks, and the median of full chunks (those of the whole if none is full)."""
+def ratios(body: memoryview | bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float, float, float, float]:
+    """Ratio of the whole, and the highest, the median and the lowest of full chunks (those of the whole if none is full). The last chunk ends at the text's end."""
     n = len(body)
     if not n:
-        return 0.0, 0.0, 0.0
+        return 0.0, 0.0, 0.0, 0.0
     whole = n / len(press.compress(body))
-    if n < 2 * bands.chunk:
-        return whole, whole, whole
-    each = sorted(bands.chunk / len(press.compress(body[i : i + bands.chunk])) for i in range(0, n - bands.chunk + 1, bands.chunk))
-    return whole, each[-1], each[len(each) // 2]
+    if n < bands.chunk:
+        return whole, whole, whole, whole
+    starts = [*range(0, n - bands.chunk + 1, bands.chunk), *([n - bands.chunk] if n % bands.chunk else [])]
+    each = sorted(bands.chunk / len(press.compress(body[i : i + bands.chunk])) for i in starts)
+    return whole, each[-1], each[len(each) // 2], each[0]
 
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, reason string, whole_ratio double, chunk_most double, chunk_mid double"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, reason string, whole_ratio double, chunk_most double, chunk_mid double, chunk_least double"
 
 
 def compression_bands(docs: DataFrame, bands: Bands = Bands(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,13 +121,13 @@ def compression_bands(docs: DataFrame, bands: Bands = Bands(), doc_id: str = "do
                 data, bounds = buffers(batch.column("_text"))
                 c = text_counts(data, bounds)
                 view = memoryview(np.ascontiguousarray(data))
-                r = np.array([ratios(view[s:e], bands, press) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]).reshape(-1, 3)
+                r = np.array([ratios(view[s:e], bands, press) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]).reshape(-1, 4)
                 band = np.minimum(np.searchsorted(upto, np.diff(bounds)), len(upto) - 1)
                 base = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
                 high = (r[:, 0] > np.array(bands.most)[band]) | (r[:, 1] > bands.chunk_most)
-                low = (r[:, 0] < np.array(bands.least)[band]) | (r[:, 2] < bands.chunk_least) & (np.diff(bounds) >= 2 * bands.chunk)
+                low = (r[:, 0] < np.array(bands.least)[band]) | (r[:, 3] < bands.chunk_least) & (np.diff(bounds) >= bands.chunk)
                 reason = np.where(base, "base", np.where(high, "repetitive", np.where(low, "incompressible", "")))
-                cols = [batch.column("doc_id"), *(pa.array(c[x].astype(np.int64)) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(base), pa.array(~(base | high | low)), pa.array(reason), *(pa.array(r[:, i]) for i in range(3))]
+                cols = [batch.column("doc_id"), *(pa.array(c[x].astype(np.int64)) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(base), pa.array(~(base | high | low)), pa.array(reason), *(pa.array(r[:, i]) for i in range(4))]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).mapInArrow(judge, SCHEMA)
