@@ -26,6 +26,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_groups(df: DataFrame, keys: list[str], salt: Column, each: dict[str, Column], joint: dict[str, Column], where: str = "true", n: int = 32) -> DataFrame:
+    """df beside what its groups hold: `each` aggregates rows of a group, `joint` the results of these.
+
+    Groups are dealt over n salts, before the aggregate and for the join, so a group of a third of all rows is no single task's work.
+    """
+    salted = df.withColumn("_salt", F.pmod(salt, F.lit(n)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(*(c.alias(x) for x, c in each.items()))
+    whole = parts.groupBy(*keys).agg(*(c.alias(x) for x, c in joint.items()), F.collect_set("_salt").alias("_salts")).where(where)  # n salts at most
+    return salted.join(whole.withColumn("_salt", F.explode("_salts")).drop("_salts"), [*keys, "_salt"]).drop("_salt")
+
+
+def beside(df: DataFrame, other: DataFrame, key: str, salt: Column, n: int = 32) -> DataFrame:
+    """Inner join of df with other, whose keys are unique; rows of one key are dealt over n salts."""
+    salted = df.withColumn("_salt", F.pmod(salt, F.lit(n)).cast("int"))
+    used = salted.select(key, "_salt").distinct()
+    return salted.join(other.join(used, key), [key, "_salt"]).drop("_salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with lines below put before it until no column of df has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def compact(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
     """df in fewer partitions where it has few rows, so that the next exchange leaves fewer files."""
     return df.coalesce(max(8, rows // per))
@@ -60,25 +86,13 @@ def text_of(col: str | Column) -> Column:
 
 # ---- text as numpy, inside tasks ----
 
-_ODD = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_ODD, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-#: 256 random words, one for each byte value.
-_BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        x = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
-        x[0] = 1
-        _POWERS[base] = np.multiply.accumulate(x)
-    return _POWERS[base][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(31))
@@ -89,13 +103,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Spans:
-    """Hashes of any [start, end) of a byte array in constant time each."""
+_INV = pow(_ODD, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+#: Chunks of eight bytes that one step of the hash joins.
+_FAN = 8
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each [start, end) of a byte array, in time proportional to their length.
+
+    Eight bytes at a time are mixed, then eight of these at a time, and so on. Nothing is summed or multiplied through by powers, so
+    texts of regular structure do not collide as they do under a polynomial modulo 2**64.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at_byte = np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+    size = end - start
+    count = np.maximum(1, -(-size // 8))
+    first = np.cumsum(count) - count
+    k = np.arange(int(count.sum())) - np.repeat(first, count)
+    left = np.repeat(size, count) - 8 * k
+    values = mix((at_byte[np.repeat(start, count) + 8 * k] & _TAIL[np.clip(left, 0, 8)]) + np.uint64(_ODD))
+    while len(values) > len(count):
+        groups = -(-count // _FAN)
+        begin = np.cumsum(groups) - groups
+        place = np.arange(int(groups.sum())) - np.repeat(begin, groups)
+        lead = np.repeat(first, groups) + _FAN * place
+        held = np.minimum(np.repeat(count, groups) - _FAN * place, _FAN)
+        out = values[lead]
+        for j in range(1, _FAN):
+            more = np.flatnonzero(held > j)
+            if not len(more):
+                break
+            out[more] = mix(out[more] * np.uint64(_ODD) + values[lead[more] + j] + np.uint64(j))
+        values, first, count = out, begin, groups
+    return mix(values + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if len(_POWERS.get(base, ())) < n:
+        x = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
+        x[0] = 1
+        _POWERS[base] = np.multiply.accumulate(x)
+    return _POWERS[base][:n]
+
+
+class Rolling:
+    """Keys of any [start, end) of a sequence in constant time each. Equal spans have equal keys, but unequal ones may too: keys only
+    bring together what is then compared symbol by symbol (or by `hashed`, or a digest)."""
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _powers(_ODD, n), out=self.sums[1:])
+        np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(0x1234567)) * _powers(_ODD, n), out=self.sums[1:])
         self.back = _powers(_INV, n + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

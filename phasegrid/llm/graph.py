@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, cut
+from .common import compact, cut, with_groups
+
+
+def _least(edges: DataFrame, u: str, v: str) -> DataFrame:
+    """edges with m, the least v of each u; neighbours of a hub are dealt over several tasks."""
+    return with_groups(edges, [u], F.xxhash64(v), {"m": F.min(v)}, {"m": F.min("m")})
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node gives its larger neighbours its least neighbour (or itself)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _least(both, "u", "v").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node gives its smaller neighbours and itself the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionByName(least.select("a", F.col("m").alias("b")))
+    own = F.explode(F.array("a", "b")).alias("a")
+    return _least(edges, "a", "b").select(own, F.col("m").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:

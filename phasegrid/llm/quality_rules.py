@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, mix, slices, sums, words
+from .common import buffers, hashed, mix, slices, sums, words
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,6 @@ def repeats(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def text_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """Counts of each row: words, code points in them, symbols, repeated lines, words in repeated 8-word windows."""
     n = len(bounds) - 1
-    spans = Spans(data)
     starts, ends, first = words(data, bounds)
     n_words = np.diff(first)
     rows = np.repeat(np.arange(n), n_words)
@@ -71,13 +70,13 @@ def text_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     last = np.r_[line_row[1:] != line_row[:-1], True] if len(line_row) else np.zeros(0, bool)
     line_to[last] = bounds[1:][line_row[last]]
     wordy = np.searchsorted(starts, line_to) > np.searchsorted(starts, line_from)
-    keys, of = mix(spans.of(line_from[wordy], line_to[wordy])), line_row[wordy]
+    keys, of = hashed(data, line_from[wordy], line_to[wordy]), line_row[wordy]
     both = mix(keys ^ mix(of.astype(np.uint64) + np.uint64(77)))
     distinct, at = np.unique(both, return_index=True)
     lines = np.bincount(of, minlength=n) - np.bincount(of[at], minlength=n)
     # Windows of 8 words.
     k = 8
-    word = spans.of(starts, ends)
+    word = hashed(data, starts, ends)
     repeated = np.zeros(len(starts), np.int64)
     if len(word) >= k:
         window = np.zeros(len(word) - k + 1, np.uint64)

@@ -1,14 +1,17 @@
 """Suffix-array dedup: cover every byte of a string of `length` bytes that starts at another place too.
 
 Each window of `length` bytes is filed under its least gram (a minimiser), so equal windows meet under one key and
-at one offset from it. Runs of windows with one key form a block. Keys that occur once are dropped; blocks that are alike
-count once, with their number. What is left is decided by a column-wise construction over the blocks of whole keys, lined
-up at their gram: every round inserts one symbol of each block, from the right, and derives the next
-column of the collection's Burrows-Wheeler transform, its order and its common prefixes from the last ones alone, reading and
-writing them as sequential files. (Symbols count as tagged with their column, so a round adds a segment and leaves
-earlier ones as they are.) A window is repeated if a neighbour in its column shares `length` symbols. Keys with many
-different blocks are divided by half their windows and the bytes these share, again and again, until each part is small or
-its strings are equal.
+at one offset from it. Runs of windows with one key form a block. Keys that occur once are dropped; blocks of equal bytes (by a
+digest of them) count once, with their number. What is left is decided by a column-wise construction over collections of
+blocks: the blocks of whole keys, lined up at their gram. Every round inserts one symbol of each block, from the right. It extends the
+collection's Burrows-Wheeler transform by the symbols before the suffixes of the last round, in their order, finds the place of each
+new suffix from these symbols alone, and extends the common prefixes likewise. Symbols count as tagged with their column, so the
+suffixes of a column stand together in the transform: a round adds its segment at the end and leaves earlier ones as they are.
+Transform and prefixes are sequential files in the shared folder; memory holds a few numbers for each block. Reading both files from front to
+back then gives the windows: one is repeated if a neighbour in its column shares `length` symbols.
+
+A key with more than MOST_BLOCKS different blocks is divided before that, so that a collection fits a task: each block in two, filed under the
+bytes that all windows of a half share, again where needed. The construction decides each part as it does whole keys.
 
 Defined cases: null and empty texts have no bytes; texts below `length` bytes lose none; repeated rows, with equal doc_id or a
 null one, count as copies of each other; an empty table gives no rows; columns with other names are ignored.
@@ -17,31 +20,39 @@ null one, count as copies of each other; an empty table gives no rows; columns w
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, compact, cut, mix, text_of
+from .common import Rolling, beside, buffers, compact, cut, free_name, mix, scratch, text_of, with_groups
 
 #: Bytes of the grams that windows are filed under.
 GRAM = 80
-#: Different blocks of a key that one task takes together.
-MOST_BLOCKS = 96
+#: Different blocks of a key that one collection takes (about 2.5 MB of text).
+MOST_BLOCKS = 4096
 #: No UTF-8 text holds this byte.
 PAD = 0xFF
 _PIECE = 1 << 21
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A digest of the bytes of each [start, end) and of where its gram is."""
+    raw = memoryview(np.ascontiguousarray(data))
+    each = (hashlib.blake2b(raw[a:b], digest_size=8, salt=o.to_bytes(4, "little")).digest() for a, b, o in zip(start.tolist(), end.tolist(), off.tolist()))
+    return np.frombuffer(b"".join(each), np.uint64)
+
+
 def blocks_of(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(key, hash, lo, off, n): runs of n windows from lo on whose least gram is the one at lo + off."""
     parts = []
     for at in range(0, max(0, len(data) - length + 1), _PIECE):
         piece = data[at : at + _PIECE + length - 1]
-        spans = Spans(piece)
+        spans = Rolling(piece)
         i = np.arange(len(piece) - gram + 1)
         grams = spans.of(i, i + gram)
         packed = (grams & np.uint64(0xFFFFFFFFFF000000)) | i.astype(np.uint64)
@@ -55,7 +66,7 @@ def blocks_of(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarr
         lo = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1]
         n = np.diff(np.r_[lo, len(place)])
         off = place[lo] - lo
-        parts.append((grams[place[lo]], mix(spans.of(lo, lo + n - 1 + length) + off.astype(np.uint64)), lo + at, off, n))
+        parts.append((grams[place[lo]], digests(piece, lo, lo + n - 1 + length, off), lo + at, off, n))
     if not parts:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts))
@@ -71,25 +82,6 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[fresh], np.r_[end[:-1][fresh[1:]], end[-1]]
 
 
-class _Sequential:
-    """A file of equal records that is written once from front to back, then read the same way; small ones stay in memory."""
-
-    def __init__(self, dtype: type):
-        self.file, self.dtype = tempfile.SpooledTemporaryFile(max_size=32 << 20), np.dtype(dtype)
-
-    def append(self, values: np.ndarray) -> None:
-        self.file.write(values.astype(self.dtype, copy=False).data)
-
-    def rewind(self) -> None:
-        self.file.seek(0)
-
-    def take(self, n: int) -> np.ndarray:
-        return np.frombuffer(self.file.read(n * self.dtype.itemsize), self.dtype)
-
-    def close(self) -> None:
-        self.file.close()
-
-
 def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(values[lo+1 .. hi]) for each lo < hi."""
     out = values[hi].copy()
@@ -107,49 +99,79 @@ def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndar
     return out
 
 
-def repeated_starts(blocks: list[bytes], offs: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """For blocks of whole keys: matrix[window, block], true where that window occurs in another of the blocks.
-
-    offs: where in a block its gram is; counts: its number of windows.
-    """
-    m, left = len(blocks), int(offs.max(initial=0))
-    width = max(left - int(o) + len(b) for o, b in zip(offs, blocks))
-    symbols = np.full((m, width), PAD, np.uint8)
-    for i, (b, o) in enumerate(zip(blocks, offs)):
-        symbols[i, left - o : left - o + len(b)] = np.frombuffer(b, np.uint8)
-    columns = _Sequential(np.uint8)
-    for c in range(width - 1, -1, -1):  # in the order of the rounds
-        columns.append(np.ascontiguousarray(symbols[:, c]))
-    del symbols
-    columns.rewind()
-    state = _Sequential(np.int32)
-    state.append(np.arange(m))
-    state.append(np.zeros(m, np.int32))
-    out = np.zeros((int(counts.max(initial=0)), m), bool)
-    first, n = left - offs, counts
-    for c in range(width - 1, -1, -1):
-        state.rewind()
-        order, common = state.take(m), state.take(m)
-        state.close()
-        transform = columns.take(m)[order]  # this column's segment of the transform
-        moved = np.argsort(transform, kind="stable")
-        order, symbol = order[moved], transform[moved]
-        prefix = np.zeros(m, np.int32)
-        same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != PAD)) + 1
-        prefix[same] = np.minimum(least_between(common, moved[same - 1], moved[same]) + 1, length)
-        full = prefix >= length
-        if full.any():
-            full[:-1] |= full[1:]
-            # full[i] now marks both sides of a pair; position i - 1 was set from i above.
-            hit = order[full]
-            at = c - first[hit]
-            ok = (at >= 0) & (at < n[hit])
-            out[at[ok], hit[ok]] = True
-        state = _Sequential(np.int32)
-        state.append(order)
-        state.append(prefix)
-    state.close()
-    columns.close()
+class Collection:
+    """The transform of blocks of whole keys, lined up at their grams, in sequential files of a folder of its own."""
+
+    def __init__(self, blocks: list[bytes], offs: np.ndarray, length: int, folder: str):
+        """offs: where in a block its gram is; the folder is a path or URI."""
+        self.length, self.count, self.left = length, len(blocks), int(offs.max(initial=0))
+        self.width = max((self.left - int(o) + len(b) for o, b in zip(offs, blocks)), default=0)
+        self.first = self.left - offs
+        uri = folder.replace("file:", "file://", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+        self.files, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+        self.path = f"{path}/{uuid.uuid4().hex}"
+        self.files.create_dir(self.path)
+        symbols = np.full((self.count, self.width), PAD, np.uint8)
+        for i, (b, o) in enumerate(zip(blocks, self.first.tolist())):
+            symbols[i, o : o + len(b)] = np.frombuffer(b, np.uint8)
+        with self._write("columns") as out:
+            for c in range(self.width - 1, -1, -1):  # in the order of the rounds
+                out.write(np.ascontiguousarray(symbols[:, c]).data)
+
+    def _write(self, name: str):
+        return self.files.open_output_stream(f"{self.path}/{name}", buffer_size=1 << 20)
+
+    def _read(self, name: str):
+        return self.files.open_input_stream(f"{self.path}/{name}", buffer_size=1 << 20)
+
+    def _take(self, stream, kind: type) -> np.ndarray:
+        return np.frombuffer(stream.read(self.count * np.dtype(kind).itemsize), kind)
+
+    def insert_columns(self) -> "Collection":
+        """Round by round, one symbol of each block."""
+        m = self.count
+        order, common = np.arange(m), np.zeros(m, np.int32)  # of the empty suffixes
+        with self._read("columns") as columns, self._write("transform") as transform, self._write("prefixes") as prefixes:
+            for _ in range(self.width):
+                segment = self._take(columns, np.uint8)[order]
+                transform.write(segment.data)
+                # A suffix goes after those with smaller first symbols and, among those with its own, as the suffixes behind them stand.
+                moved = np.argsort(segment, kind="stable")
+                symbol = segment[moved]
+                prefix = np.zeros(m, np.int32)
+                same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != PAD)) + 1
+                prefix[same] = np.minimum(least_between(common, moved[same - 1], moved[same]) + 1, self.length)
+                order, common = order[moved], prefix
+                prefixes.write(prefix.data)
+        return self
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(column, blocks in the order of their suffixes from there, common prefix of each suffix with the one before it), read back from the files."""
+        order = np.arange(self.count)
+        with self._read("transform") as transform, self._read("prefixes") as prefixes:
+            for c in range(self.width - 1, -1, -1):
+                order = order[np.argsort(self._take(transform, np.uint8), kind="stable")]
+                yield c, order, self._take(prefixes, np.int32)
+
+    def remove(self) -> None:
+        self.files.delete_dir(self.path)
+
+
+def repeated_starts(blocks: list[bytes], offs: np.ndarray, counts: np.ndarray, length: int, folder: str) -> np.ndarray:
+    """For different blocks of whole keys: matrix[window, block], true where that window occurs in another of the blocks. counts: windows of each."""
+    held = Collection(blocks, offs, length, folder)
+    out = np.zeros((int(counts.max(initial=0)), len(blocks)), bool)
+    try:
+        for c, order, prefix in held.insert_columns().rows():
+            full = prefix >= length
+            if full.any():
+                full[:-1] |= full[1:]  # both sides of a pair
+                hit = order[full]
+                at = c - held.first[hit]
+                ok = (at >= 0) & (at < counts[hit])
+                out[at[ok], hit[ok]] = True
+    finally:
+        held.remove()
     return out
 
 
@@ -159,7 +181,7 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 ANCHORS = "_id long, _th long, key long, hash long, lo int, off int, n int, copies long"
-PARTS = "key long, hash long, block long, mark long, base int, off int, n int, body binary"
+PARTS = "key long, hash long, block long, mark long, base int, off int, n int, different long, body binary"
 FOUND = "block long, mark long, start int, stop int"
 
 
@@ -180,8 +202,7 @@ def find_anchors(length: int):
             size = 0
             for i in np.flatnonzero(np.diff(bounds) >= length).tolist():
                 key, hash_, lo, off, n = blocks_of(data[bounds[i] : bounds[i + 1]], length)
-                both = mix(key) ^ hash_
-                _, at, of, copies = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+                _, at, of, copies = np.unique(hash_, return_index=True, return_inverse=True, return_counts=True)
                 rows = len(at)
                 held.append((np.full(rows, ids[i]), np.full(rows, ths[i]), _signed(key[at]), _signed(hash_[at]), lo[at], off[at], n[at], copies, np.ones(rows, bool)))
                 again = copies[of] > 1
@@ -210,20 +231,17 @@ def cut_out(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = batch.filter(pa.compute.is_valid(batch.column("wants")))
-            if not keep.num_rows:
-                continue
-            data, bounds = buffers(keep.column("_text"))
-            wants = keep.column("wants")
+            data, bounds = buffers(batch.column("_text"))
+            wants = batch.column("wants")
             flat = wants.flatten()
-            row = np.repeat(np.arange(keep.num_rows), np.diff(wants.offsets.to_numpy()))
-            f = {c: flat.field(j).to_numpy() for j, c in enumerate(("key", "hash", "lo", "off", "n"))}
+            row = np.repeat(np.arange(batch.num_rows), np.diff(wants.offsets.to_numpy()))
+            f = {c: flat.field(j).to_numpy() for j, c in enumerate(("key", "hash", "lo", "off", "n", "different"))}
             start = bounds[row] + f["lo"]
             view = memoryview(np.ascontiguousarray(data))
             for s in range(0, len(row), 8192):
                 e = slice(s, s + 8192)
                 bodies = [bytes(view[a : a + n - 1 + length]) for a, n in zip(start[e].tolist(), f["n"][e].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(f["key"][e]), pa.array(f["hash"][e]), pa.array(f["key"][e]), pa.array(f["hash"][e]), pa.array(np.zeros(len(bodies), np.int32)), pa.array(f["off"][e].astype(np.int32)), pa.array(f["n"][e].astype(np.int32)), pa.array(bodies, pa.binary())], names=_names(PARTS))
+                yield pa.RecordBatch.from_arrays([pa.array(f["key"][e]), pa.array(f["hash"][e]), pa.array(f["key"][e]), pa.array(f["hash"][e]), pa.array(np.zeros(len(bodies), np.int32)), pa.array(f["off"][e].astype(np.int32)), pa.array(f["n"][e].astype(np.int32)), pa.array(f["different"][e]), pa.array(bodies, pa.binary())], names=_names(PARTS))
 
     return run
 
@@ -241,7 +259,7 @@ def halve(length: int, width: int):
                 rows = batch.slice(s, 2048)
                 key, block, mark, base, off, n = (rows.column(c).to_numpy() for c in ("key", "block", "mark", "base", "off", "n"))
                 data, bounds = buffers(rows.column("body"))
-                spans = Spans(data)
+                spans = Rolling(data)
                 out = []
                 split = off // (2 * width) * (2 * width) + width
                 first = np.clip(off - split + 1, 0, n)  # windows with d >= split
@@ -252,26 +270,27 @@ def halve(length: int, width: int):
                     gram = bounds[at] + off[at]
                     core = spans.of(gram - d0, gram - d1 + length)
                     new = mix(core ^ mix(key[at].view(np.uint64) + d1.astype(np.uint64)))
-                    body = spans.of(bounds[at] + lo, bounds[at] + hi - 1 + length)
-                    own = mix(body + (off[at] - lo).astype(np.uint64))
+                    own = digests(data, bounds[at] + lo, bounds[at] + hi - 1 + length, off[at] - lo)
                     raw = memoryview(np.ascontiguousarray(data))
                     out.append((_signed(new), _signed(own), block[at], mark[at], base[at] + lo, off[at] - lo, hi - lo, [bytes(raw[a:b]) for a, b in zip((bounds[at] + lo).tolist(), (bounds[at] + hi - 1 + length).tolist())]))
                 cols = [np.concatenate([o[j] for o in out]) for j in range(7)]
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array(out[0][7] + out[1][7], pa.binary())], names=_names(PARTS))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.nulls(len(cols[0]), pa.int64()), pa.array(out[0][7] + out[1][7], pa.binary())], names=_names(PARTS))
 
     return run
 
 
-def construct(length: int, most: int = 4096):
-    """Column-wise construction over whole keys, which come one after another."""
+def construct(length: int, folder: str, most: int = 4096):
+    """Column-wise construction over whole keys, which come one after another, equal blocks side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
+            key, own = rows["key"].to_numpy(), rows["hash"].to_numpy()
+            rows = rows.filter(pa.array(np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]))
             offs, n = rows["off"].to_numpy(), rows["n"].to_numpy()
-            flags = repeated_starts(rows["body"].to_pylist(), offs, n, length)
+            flags = repeated_starts(rows["body"].to_pylist(), offs, n, length, folder)
             which, starts, stops = [], [], []
             for i in np.flatnonzero(flags.any(0)).tolist():
                 s, e = _runs(flags[: n[i], i])
@@ -304,51 +323,48 @@ def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(body).alias("_th"), body.cast("binary").alias("_text"))
 
 
-def repeated_spans(base: DataFrame, length: int, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def repeated_spans(base: DataFrame, length: int, most_blocks: int | None = None) -> DataFrame:
     """(_id, _th, spans): the covered [s, e) of each text that has any, not merged."""
+    most_blocks = most_blocks or MOST_BLOCKS
+    folder = scratch(base.sparkSession, "collections")
     anchors = cut(base.select("_id", "_th", "_text").mapInArrow(find_anchors(length), ANCHORS))
-    filed = anchors.where("key is not null")
-    keys = filed.groupBy("key").agg(F.sum("copies").alias("m")).where("m > 1").select("key")
-    known = cut(filed.join(keys, "key"))
+    known = cut(with_groups(anchors.where("key is not null"), ["key"], F.xxhash64("_id", "_th", "lo"), {"m": F.sum("copies")}, {"m": F.sum("m")}, "m > 1").drop("m"))
     blocks = known.groupBy("key", "hash").agg(F.sum("copies").alias("copies"), F.min(F.struct("_id", "_th", "lo", "off", "n")).alias("at"))
-    sizes = blocks.groupBy("key").agg(F.count("*").alias("different"))
-    blocks = cut(blocks.join(sizes, "key"))
-    # Text of one row for each of the different blocks of keys that have several.
-    wanted = blocks.where("different > 1").groupBy("at._id", "at._th").agg(F.collect_list(F.struct("key", "hash", "at.lo", "at.off", "at.n")).alias("wants"))
-    parts = base.select("_id", "_th", "_text").join(wanted, ["_id", "_th"], "left").mapInArrow(cut_out(length), PARTS)
-    parts = cut(parts.dropDuplicates(["key", "hash"]).join(sizes_of(blocks), "key"))
+    blocks = cut(with_groups(blocks, ["key"], F.col("hash"), {"different": F.count("*")}, {"different": F.sum("different")}))
     found = blocks.where("copies > 1").select(F.col("key").alias("block"), F.col("hash").alias("mark"), F.lit(0).alias("start"), F.col("at.n").alias("stop"))
-    n_parts = parts.count()
-    parts = compact(parts, n_parts, 2000)
-    small = parts.where(F.col("different") <= most_blocks).drop("different")
-    large = parts.where(F.col("different") > most_blocks).drop("different")
-    found = found.unionByName(_constructed(small, length))
+    # Text of one row for each of the different blocks of keys that have several.
+    several = blocks.where("different > 1")
+    n_parts, widest = several.agg(F.count("*"), F.max("different")).first()
+    wanted = several.groupBy("at._id", "at._th").agg(F.collect_list(F.struct("key", "hash", "at.lo", "at.off", "at.n", "different")).alias("wants"))
+    parts = base.select("_id", "_th", "_text").join(wanted, ["_id", "_th"]).mapInArrow(cut_out(length), PARTS)
+    divided = (widest or 0) > most_blocks
+    if divided:
+        parts = compact(cut(parts), n_parts, 2000)
+    found = found.unionByName(_constructed(parts.where(F.col("different") <= most_blocks), length, folder, n_parts))
+    large = parts.where(F.col("different") > most_blocks).dropDuplicates(["key", "hash"])
     width = 1 << (length - GRAM).bit_length()
-    while width > 1 and (n_large := large.count()):
+    while divided and width > 1 and (n_large := large.count()):
         width //= 2
-        split = compact(cut(compact(large, n_large, 2000).mapInArrow(halve(length, width), PARTS)), 2 * n_large, 2000)
+        split = compact(cut(compact(large, n_large, 2000).mapInArrow(halve(length, width), PARTS)), 2 * n_large, 2000).drop("different")
         kinds = split.groupBy("key", "hash").agg(F.count("*").alias("copies"), F.min(F.struct("block", "mark")).alias("one"))
-        number = kinds.groupBy("key").agg(F.count("*").alias("different"))
-        kinds = compact(cut(kinds.join(number, "key")), 2 * n_large, 20_000)
+        kinds = compact(cut(with_groups(kinds, ["key"], F.col("hash"), {"different": F.count("*")}, {"different": F.sum("different")})), 2 * n_large, 20_000)
         # Copies of one part: all its windows are repeated.
         twice = kinds.where("copies > 1").select("key", "hash")
         found = found.unionByName(split.join(twice, ["key", "hash"]).select("block", "mark", F.col("base").alias("start"), (F.col("base") + F.col("n")).alias("stop")))
         left = split.join(kinds.where("different > 1").select("key", "hash", "one", "different"), ["key", "hash"]).where("one.block = block and one.mark = mark").drop("one")
         left = compact(cut(left), 2 * n_large, 2000)
-        found = found.unionByName(_constructed(left.where(F.col("different") <= most_blocks).drop("different"), length))
-        large = left.where(F.col("different") > most_blocks).drop("different")
-    found = found.withColumnRenamed("block", "key").withColumnRenamed("mark", "hash")
-    marks = known.join(found, ["key", "hash"]).select("_id", "_th", (F.col("lo") + F.col("start")).alias("s"), (F.col("lo") + F.col("stop") - 1 + length).alias("e"))
+        found = found.unionByName(_constructed(left.where(F.col("different") <= most_blocks), length, folder, 2 * n_large))
+        large = left.where(F.col("different") > most_blocks)
+    runs = found.groupBy(F.struct(F.col("block").alias("key"), F.col("mark").alias("hash")).alias("of")).agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    hit = beside(known.select(F.struct("key", "hash").alias("of"), "_id", "_th", "lo"), runs, "of", F.xxhash64("_id", "_th", "lo"))
+    marks = hit.select("_id", "_th", "lo", F.explode("runs").alias("r")).select("_id", "_th", (F.col("lo") + F.col("r.start")).alias("s"), (F.col("lo") + F.col("r.stop") - 1 + length).alias("e"))
     inside = anchors.where("key is null").select("_id", "_th", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e"))
     return marks.unionByName(inside).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
-def sizes_of(blocks: DataFrame) -> DataFrame:
-    return blocks.where("different > 1").groupBy("key").agg(F.first("different").alias("different"))
-
-
-def _constructed(parts: DataFrame, length: int) -> DataFrame:
-    return parts.select(*_names(PARTS)).repartition("key").sortWithinPartitions("key").mapInArrow(construct(length), FOUND)
+def _constructed(parts: DataFrame, length: int, folder: str, n_parts: int) -> DataFrame:
+    filed = parts.select(*_names(PARTS)).repartition("key") if n_parts > 50_000 else parts.select(*_names(PARTS)).repartition(max(8, n_parts // 500), "key")
+    return filed.sortWithinPartitions("key", "hash").mapInArrow(construct(length, folder), FOUND)
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -380,7 +396,7 @@ def _left(own: memoryview, s: np.ndarray, e: np.ndarray) -> bytes:
     return b"".join(own[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(own)]))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, whole_characters: bool = False, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, whole_characters: bool = False, most_blocks: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): and, with_text, kept (binary) and spans.
 
     whole_characters: spans shrink to full UTF-8 characters, so that what is kept is valid text.
@@ -410,10 +426,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
 
 
 def without_repeats(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, their text without repeated passages (cut at whole characters). A null text stays null."""
+    """The rows of docs, all columns, their text without repeated passages (cut at whole characters). A null text stays null; columns may have any names."""
     spans = repeated_spans(_base(docs, doc_id, text).select("_id", "_th", "_text"), length)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text_of(text))})
-    joined = keyed.join(spans, ["_id", "_th"], "left").select(*docs.columns, F.col("spans").alias("_spans"))
+    keys = [free_name(docs, "_id"), free_name(docs, "_th")]
+    own, names = free_name(docs, "_spans"), tuple(docs.columns)
+    keyed = docs.withColumns({keys[0]: F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), keys[1]: F.xxhash64(text_of(text))})
+    joined = keyed.join(spans.select(F.col("_id").alias(keys[0]), F.col("_th").alias(keys[1]), F.col("spans").alias(own)), keys, "left").select(*(F.col(f"`{c}`") for c in names), own)
     place = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +440,6 @@ def without_repeats(docs: DataFrame, length: int, doc_id: str = "doc_id", text:
             mask = batch.column(place).is_null().to_numpy(zero_copy_only=False)
             cols = list(batch.columns[:-1])
             cols[place] = pa.array(rest, pa.binary(), mask=mask).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=list(docs_names))
+            yield pa.RecordBatch.from_arrays(cols, names=list(names))
 
-    docs_names = tuple(docs.columns)
     return joined.mapInArrow(apply, docs.schema)

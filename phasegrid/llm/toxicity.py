@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, portions, slices, text_of, words
+from .common import buffers, hashed, portions, slices, text_of, words
 
 WIDTH, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS = 14, 14
@@ -57,7 +57,7 @@ class Tokens:
         own[lead] = _FOLD[data]
         edges = bounds + np.arange(n + 1)
         starts, ends, self.first = words(own, np.r_[edges[:-1], len(own)]) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
-        self.word = (Spans(own).of(starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+        self.word = (hashed(own, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
         wide = own.astype(np.uint32)
         grams = np.zeros(len(own), np.uint32)
         grams[:-3] = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)

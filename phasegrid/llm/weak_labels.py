@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, buffers, cut, portions, slices, sums, text_of, words
+from .common import buffers, cut, hashed, portions, slices, sums, text_of, words
 from .quality_rules import text_counts
 
 #: What each labeller measures, with limits (bad, good): "rising" labellers call high values bad.
@@ -53,7 +53,7 @@ class Features:
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         c = text_counts(data, bounds)
         starts, ends, self.first = words(data, bounds)
-        word = Spans(data).of(starts, ends)
+        word = hashed(data, starts, ends)
         n = self.n = np.diff(self.first)
         rows = np.repeat(np.arange(len(n)), n)
         total = lambda flags: np.r_[0, np.cumsum(flags)]
