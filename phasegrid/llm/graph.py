@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         # The number of edges never grows, so the partitions that fit now still do after the round.
         fit = lambda df: compact(df.distinct(), state[0])
-        edges = cut(fit(_small(fit(_large(compact(edges, state[0])))).where("a <> b")))
+        edges = cut(fit(_small(_large(compact(edges, state[0]))).where("a <> b")))
         now = mark(edges)
         if now == state:
             break

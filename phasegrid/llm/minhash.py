@@ -198,6 +198,8 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int, block: int |
     met = with_groups(classes, ["key"], F.xxhash64("nid"), {"hub": F.min("nid"), "c": F.count("*")}, {"hub": F.min("hub"), "c": F.sum("c")}, "c > 1")
     pairs = cut(met.where("nid <> hub").select("nid", "hub").distinct())
     n_pairs = pairs.count()
+    if not n_pairs:
+        return pairs.select(F.col("nid").alias("node"), F.col("hub").alias("root"))
     pairs = compact(pairs, n_pairs)
     groups = components(pairs.select(F.col("nid").alias("a"), F.col("hub").alias("b")))
     members = groups.select(F.col("node").alias("nid"))
@@ -214,7 +216,9 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int, block: int |
     apart = sizes.groupBy("grp").agg(F.sum("c").alias("total"), F.count("*").alias("parts"), F.max(F.struct("c", "root")).alias("most")).where("parts > 1 and total > 2")
     # Rows of a group are spread over blocks by hash; the core, its largest part, only meets the rest.
     split = lambda c: F.ceil(c / block).cast("int")
-    apart = apart.select("grp", F.col("most.root").alias("core"), split(F.col("total") - F.col("most.c")).alias("r"), split(F.col("most.c")).alias("c"))
+    apart = cut(apart.select("grp", F.col("most.root").alias("core"), split(F.col("total") - F.col("most.c")).alias("r"), split(F.col("most.c")).alias("c")))
+    if apart.isEmpty():
+        return first.withColumnRenamed("nid", "node")
     placed = beside(state, apart, "grp", F.xxhash64("nid")).withColumn("rest", F.col("root") != F.col("core"))
     placed = placed.withColumn("at", F.pmod(F.xxhash64("nid"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("c"))).cast("int"))
     # Block i of the rest meets blocks of the rest from i on (right side), and all blocks of the core (numbered after them).

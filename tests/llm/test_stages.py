@@ -1,7 +1,5 @@
 """Filters that keep whole rows: no loss, no clash of names, nulls and empties."""
 
-import pytest
-
 from phasegrid.llm.minhash import near_duplicates, one_of_each
 from phasegrid.llm.suffix_dedup import without_repeats
 
@@ -17,14 +15,17 @@ def test_one_row_of_each_component_and_no_other_text_lost(spark):
     assert kept == ["a", "b", "e", "f", "g", "i"]
 
 
-@pytest.mark.parametrize("extra", ["_id", "_th", "_node", "_once", "_text", "_spans", "_salt", "nid"])
-def test_columns_of_any_name_come_back(spark, extra):
+def test_columns_of_any_name_come_back(spark):
+    extra = ["_id", "_th", "_node", "_once", "_text", "_spans", "_salt", "nid", "key", "spans"]
     long = "x y " * 150
-    docs = spark.createDataFrame([(1, long + "tail", 77), (2, "some words that stay as they are here", 88), (3, None, 99)], f"doc_id long, text string, `{extra}` long")
-    assert sorted((x[0], x[2]) for x in one_of_each(docs).collect()) == [(1, 77), (2, 88), (3, 99)]
-    got = {x[0]: x for x in without_repeats(docs, 240).collect()}
-    assert {i: x[2] for i, x in got.items()} == {1: 77, 2: 88, 3: 99}
-    assert got[3].text is None and got[1].text.endswith("tail") and len(got[1].text) < 60
+    texts = [(1, long + "tail"), (2, "some words that stay as they are here"), (3, None)]
+    docs = spark.createDataFrame([(i, t, *(10 * i + k for k in range(len(extra)))) for i, t in texts], "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in extra))
+    want = [(i, *(10 * i + k for k in range(len(extra)))) for i, _ in texts]
+    assert sorted((x[0], *x[2:]) for x in one_of_each(docs).collect()) == want
+    got = without_repeats(docs, 240).collect()
+    assert sorted((x[0], *x[2:]) for x in got) == want
+    got = {x[0]: x.text for x in got}
+    assert got[3] is None and got[1].endswith("tail") and len(got[1]) < 60
 
 
 def test_empty_tables(spark):
