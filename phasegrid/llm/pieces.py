@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-Texts are cut where no piece crosses; each different unit is solved once for a batch. Units of one length advance together, one
-end position at a time: hashes of the substrings that end there probe the sorted keys of the pieces, and the best
-predecessor is stored as back-pointer. For a model of type BPE the score of a path is 1 if all its neighbouring pieces
-are stable next to each other (their merge history holds side by side) and 0 otherwise; just one path has that for each prefix, and it is the
-segmentation by merges. So ids equal those of the SentencePiece library, which plain sums of piece scores would not give.
+Texts are cut where no piece crosses; each different unit is solved once for a batch. Units of one length advance together (those above
+MANY code points in batches of falling length), one end position at a time: keys of the substrings probe the sorted keys of the pieces, hits are
+compared code point by code point, and the predecessor of highest score is stored as back-pointer. For a model of type BPE the score of a
+path is the product over its borders: 1 where the merges of both pieces hold side by side (they are stable), else 0. Just one path of
+each prefix has score 1, and it is the segmentation by merges. So ids equal those of the SentencePiece library, which plain sums of piece scores would not give.
 
-Only models with identity normalisation, dummy prefix and byte fallback are taken. Defined cases: null and empty texts have no ids; U+2581
+Only BPE models with identity normalisation, dummy prefix and byte fallback are taken, others raise ValueError. Defined cases: null and empty texts have no ids; U+2581
 in a text reads as a blank (as in the library); repeated rows are coded alike; an empty table gives no rows; columns with
 other names are ignored unless named in `keep`.
 """
@@ -21,25 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INV, _ODD, _powers, buffers, mix, slices, text_of
+from .common import Rolling, buffers, hashed, mix, slices, text_of
 
 BLANK = 0x2581
-LONGEST_BATCHED = 40
+#: Units of up to MANY code points come in batches of one length; a batch has CELLS end positions at most.
+MANY, CELLS = 48, 1 << 18
 _COMMON = 1024
 
 
-class CodeSpans:
-    """Hashes of spans of code points."""
-
-    def __init__(self, codes: np.ndarray):
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x1234567)) * _powers(_ODD, len(codes)), out=self.sums[1:])
-        self.back = _powers(_INV, len(codes) + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
-
-
 def codes_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -74,6 +63,11 @@ class Pieces:
         keys = self._keys([pieces[i] for i in alive])
         place = np.argsort(keys)
         self.keys, self.ids = keys[place], np.array(alive, np.int64)[place]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one key")
+        self.codes = np.zeros((n, self.most), np.uint32)
+        for i in alive:
+            self.codes[i, : len(pieces[i])] = [ord(c) for c in pieces[i]]
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         joined = np.flatnonzero(self.left >= 0)
@@ -109,7 +103,7 @@ class Pieces:
     def _keys(texts: list[str]) -> np.ndarray:
         codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         end = np.cumsum([len(t) for t in texts])
-        return CodeSpans(codes).of(end - np.array([len(t) for t in texts]), end)
+        return Rolling(codes).of(end - np.array([len(t) for t in texts]), end)
 
     def merge(self, unit: str, rank: dict[str, float] | None = None) -> tuple[int, list[str]]:
         """(number of parts after all merges, parts before the last one if that left a single part, else the parts)."""
@@ -190,45 +184,58 @@ class Pieces:
             live = live[going]
         return out
 
+    def matches(self, codes: np.ndarray, spans: Rolling, start: np.ndarray, size: int) -> np.ndarray:
+        """Ids of the pieces that are the `size` code points from each start, -1 for none."""
+        ids = self.find(spans.of(start, start + size))
+        hit = np.flatnonzero(ids >= 0)
+        same = (codes[start[hit][:, None] + np.arange(size)] == self.codes[ids[hit], :size]).all(1)
+        if size < self.most:
+            same &= self.codes[ids[hit], size] == 0
+        ids[hit[~same]] = -1
+        return ids
+
+    def _advance(self, codes: np.ndarray, spans: Rolling, start: np.ndarray, length: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(units, ids) of the pieces of each unit, from the last to the first. Lengths fall."""
+        m, n, wide = len(start), int(length[0]), min(self.most, int(length[0]))
+        found = np.full((n + 1, wide, m), -1, np.int32)  # by end, size (longest first) and unit
+        for size in range(1, wide + 1):
+            end = np.repeat(np.arange(size, n + 1), m).reshape(-1, m)
+            here = end <= length
+            found[size:, wide - size][here] = self.matches(codes, spans, (start + end - size)[here], size)
+        last, came, score = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int8)
+        score[0] = 1
+        for e in range(1, n + 1):
+            row, unit = np.nonzero(found[e] >= 0)
+            ids, back = found[e, row, unit].astype(np.int64), e - (wide - row)
+            inner = np.flatnonzero(back > 0)
+            path = score[back, unit]
+            inner = inner[path[inner] > 0]
+            path[inner] *= self.stable(last[back[inner], unit[inner]], ids[inner])
+            np.maximum.at(score[e], unit, path)
+            best = np.flatnonzero((path == score[e, unit]) & (path > 0))
+            last[e, unit[best]], came[e, unit[best]] = ids[best], back[best]
+        out, place, active = [], length.copy(), np.arange(m)
+        while len(active):
+            out.append((active, last[place[active], active]))
+            place[active] = came[place[active], active]
+            active = active[place[active] > 0]
+        return out
+
     def encode_units(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units end to end, and their bounds. An id below 0 stands for the code point -1 - id."""
         length = end - start
-        spans = CodeSpans(codes)
+        spans = Rolling(codes)
         back: list[tuple[np.ndarray, np.ndarray]] = []  # (unit, ids from the last to the first)
         one = np.flatnonzero(length == 1)
         ids = self.single[self.number[codes[start[one]]]]
         back.append((one, np.where(ids < 0, -1 - codes[start[one]].astype(np.int64), ids)))
-        for n in np.unique(length[length > 1]).tolist():
-            unit = np.flatnonzero(length == n)
-            if n > LONGEST_BATCHED:
-                for u in unit.tolist():
-                    parts = self.merge(codes[start[u] : end[u]].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass"))
-                    parts = ["".join(parts[1])] if parts[0] == 1 else parts[1]
-                    got = np.array([self.id[p] if p in self.id else -1 - ord(p) for p in parts], np.int64)
-                    back.append((np.full(len(got), u), got[::-1]))
-                continue
-            s, m = start[unit], len(unit)
-            last, came = np.full((n + 1, m), -1, np.int64), np.zeros((n + 1, m), np.int64)
-            for e in range(1, n + 1):
-                best = np.zeros(m, np.int8)
-                for size in range(min(e, self.most), 0, -1):
-                    open_ = np.flatnonzero(best == 0)
-                    if not len(open_):
-                        break
-                    ids = self.find(spans.of(s[open_] + e - size, s[open_] + e))
-                    hit = np.flatnonzero(ids >= 0)
-                    at, ids = open_[hit], ids[hit]
-                    if e > size:
-                        before = last[e - size][at]
-                        good = (before >= 0) & self.stable(np.maximum(before, 0), ids)
-                        at, ids = at[good], ids[good]
-                    best[at] = 1
-                    last[e, at], came[e, at] = ids, e - size
-            place, active = np.full(m, n), np.arange(m)
-            while len(active):
-                back.append((unit[active], last[place[active], active]))
-                place[active] = came[place[active], active]
-                active = active[place[active] > 0]
+        groups = [np.flatnonzero(length == n) for n in range(2, MANY + 1)] + [np.flatnonzero(length > MANY)]
+        for group in groups:
+            group = group[np.argsort(-length[group], kind="stable")]
+            while len(group):
+                most = max(1, CELLS // int(length[group[0]]))
+                now, group = group[:most], group[most:]
+                back += [(now[u], i) for u, i in self._advance(codes, spans, start[now], length[now])]
         unit = np.concatenate([b[0] for b in back])
         ids = np.concatenate([b[1] for b in back])
         # Of one unit, later entries come first in the text.
@@ -261,7 +268,7 @@ class Pieces:
         begin[edges[:-1][full]] = True
         start = np.flatnonzero(begin)
         end = np.r_[start[1:], len(own)]
-        key = CodeSpans(own).of(start, end)
+        key = hashed(own.view(np.uint8), 4 * start, 4 * end)
         _, at, which = np.unique(key, return_index=True, return_inverse=True)
         ids, bound = self.encode_units(own, start[at], end[at])
         count = np.diff(bound)[which]
@@ -309,10 +316,48 @@ class Pieces:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
+#: Fields of a SentencePiece model file that are read here, by number: trainer (2) with its model type (3; 2 is BPE) and
+#: byte fallback (35), normaliser (3) with its name (1) and dummy prefix (3).
+TRAINER, NORMALISER, MODEL_TYPE, BPE, BYTE_FALLBACK, NAME, DUMMY_PREFIX = 2, 3, 3, 2, 35, 1, 3
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
 def load(path: str) -> Pieces:
-    """The vocabulary of a SentencePiece model file of type BPE."""
+    """The vocabulary of a SentencePiece model file. Raises ValueError if the model is not of type BPE or prepares texts otherwise than supported here."""
     import sentencepiece
 
+    with open(path, "rb") as f:
+        parts = {n: v for n, v in _fields(f.read()) if n in (TRAINER, NORMALISER)}
+    trainer, normaliser = (dict(_fields(parts.get(n, b""))) for n in (TRAINER, NORMALISER))
+    if trainer.get(MODEL_TYPE, 1) != BPE:
+        raise ValueError("the model is not of type BPE")
+    if normaliser.get(NAME, b"identity") not in (b"identity", b"") or not normaliser.get(DUMMY_PREFIX, 1) or not trainer.get(BYTE_FALLBACK, 0):
+        raise ValueError("only identity normalisation with dummy prefix and byte fallback is supported")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     kinds = ["byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "piece" for i in range(m.get_piece_size())]
     return Pieces([m.id_to_piece(i) for i in range(len(kinds))], [m.get_score(i) for i in range(len(kinds))], kinds)
