@@ -1,8 +1,8 @@
 """Hilbert-curve sharding: quantise metadata, sort by curve index, cut the order into equal runs.
 
-Only DataFrame functions are used. Defined cases: a null text has size 0 plus the overhead and sorts as
-empty; nulls of a hashed dimension fall in cell 0; repeated rows are rows of their own; an
-empty table gives an empty result; further columns of the input are kept if asked for, else ignored.
+Equal texts stand side by side: all take the cells of the one with the least doc_id. Only DataFrame functions are used. Defined
+cases: a null text has size 0 plus the overhead and counts as the empty one; nulls of a hashed dimension fall in cell 0; null doc_ids come
+last among equal texts; repeated rows are rows of their own; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, text_of
+from .common import ranked, text_of, with_groups
 
 
 def log_cell(x: Column, bits: int, steps: int = 3) -> Column:
@@ -57,24 +57,34 @@ def hilbert(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*(F.lit(b) for b in range(bits - 1, -1, -1))), F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("index")), step)["index"]
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = 24, bits: int = 6, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("source", "lang"), overhead: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, curve, shard, slot): runs of the curve whose row counts differ by one at most."""
+def _placed(docs: DataFrame, n_shards: int, bits: int, doc_id: str, text: str, names: tuple[str, ...], overhead: int, whole: bool) -> DataFrame:
     body = text_of(text)
     size = F.octet_length(body).cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (size + overhead).alias("size"), F.crc32(body).cast("long").alias("text_crc32"), log_cell(size, bits).alias("_c0"), *(hash_cell(F.col(c), bits).alias(f"_c{i}") for i, c in enumerate(names, 1)))
-    rows = rows.withColumn("curve", hilbert([F.col(f"_c{i}") for i in range(len(names) + 1)], bits)).withColumn("_tie", F.monotonically_increasing_id())
-    order, total = ranked(rows.select("doc_id", "size", "text_crc32", "curve", "_tie"), ["curve", "text_crc32", "size", "doc_id", "_tie"])
+    cells = [hash_cell(F.col(c), bits).alias(f"c{i}") for i, c in enumerate(names)]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (size + overhead).alias("size"), F.crc32(body).cast("long").alias("text_crc32"), F.xxhash64(body).alias("_same"), F.struct(*cells).alias("_cells"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if whole else []))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_cells"))
+    rows = with_groups(rows, ["_same", "text_crc32", "size"], F.xxhash64("doc_id"), {"_least": least}, {"_least": F.min("_least")})
+    rows = rows.withColumn("_at", log_cell(F.col("size") - overhead, bits)).withColumn("curve", hilbert([F.col("_at"), *(F.col(f"_least._cells.c{i}") for i in range(len(names)))], bits))
+    rows = rows.drop("_at", "_least", "_cells").withColumn("_tie", F.monotonically_increasing_id())
+    order, total = ranked(rows, ["curve", "text_crc32", "size", "_same", "doc_id", "_tie"])
     shard = F.expr(f"_rank * {n_shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {max(total, 1)} + {n_shards - 1}) div {n_shards}")
-    return order.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long")).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+    return order.withColumn("shard", shard.cast("int")).withColumn("slot", (F.col("_rank") - first).cast("long"))
+
+
+def hilbert_shards(docs: DataFrame, n_shards: int = 24, bits: int = 6, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("source", "lang"), overhead: int = 8) -> DataFrame:
+    """(doc_id, size, text_crc32, curve, shard, slot): runs of the curve whose row counts differ by one at most."""
+    return _placed(docs, n_shards, bits, doc_id, text, names, overhead, False).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", **options) -> DataFrame:
-    """Write docs under one folder for each shard, rows in slot order; returns the bounds of each shard for pruning.
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, bits: int = 6, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("source", "lang"), overhead: int = 8) -> DataFrame:
+    """Write every row of docs under one folder for each shard, rows in slot order; returns the bounds of each shard for pruning.
 
-    doc_id must be unique here, as it joins rows to their places.
+    Ids may be null or repeat. The folder's partition column is `shard`, so docs must not have one.
     """
-    places = hilbert_shards(docs, doc_id=doc_id, **options)
-    placed = docs.join(places.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    if any(c.lower() == "shard" for c in docs.columns):
+        raise ValueError("docs have a column named shard")
+    places = _placed(docs, n_shards, bits, doc_id, text, names, overhead, True)
+    placed = places.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("_row.*", "shard")
+    placed.write.mode("overwrite").partitionBy("shard").parquet(path)
     return places.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("bytes"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), F.min("curve").alias("min_curve"), F.max("curve").alias("max_curve"))
