@@ -3,7 +3,7 @@
 A text is cut into overlapping windows of words; each window gets a logit, and the greatest decides. The
 network learns from labelled texts alone: first every window bears its text's label, then only the windows of a toxic text
 that score highest count as toxic (and the highest of clean texts as clean). Scores are calibrated on texts held back from
-the fit. The fit uses a bounded sample (Fit.most_toxic, Fit.most_clean); scoring reads every whole text.
+the fit. The fit uses a bounded sample (Fit.most_toxic, Fit.most_clean, Fit.longest); scoring reads every whole text.
 
 Defined cases: null and empty texts are one empty window and get a score; unlabelled rows are scored alike; null labels and labels of
 unknown texts are ignored; without any label of either kind every score is 0.5; repeated rows score alike; an empty
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import buffers, hashed, portions, slices, text_of, words
 
-WIDTH, STRIDE = 32, 24
+WIDTH, STRIDE = 32, 16
 WORD_BITS, GRAM_BITS = 14, 14
 DIM, HID, ATT = 8, 8, 8
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -32,10 +32,13 @@ _FOLD[[i for i in range(128) if not chr(i).isalnum()]] = 32
 
 @dataclass(frozen=True)
 class Fit:
-    """most_toxic, most_clean: greatest numbers of labelled texts the fit sees."""
+    """most_toxic, most_clean: greatest numbers of labelled texts the fit sees; longest: bytes of the longest of them, so that the driver holds a bounded amount."""
 
     most_toxic: int = 2000
     most_clean: int = 3000
+    longest: int = 16384
+    #: Toxic texts held back that the calibration needs.
+    least_held: int = 30
     windows_of_text: int = 24
     windows: int = 5000
     #: Entries of the input tables that fewer texts use stay zero, so that rare words are not learnt by heart.
@@ -44,6 +47,8 @@ class Fit:
     epochs: int = 2
     batch: int = 256
     rate: float = 0.02
+    #: The input tables move by this share of the rate, as each entry is seen by few texts.
+    table_rate: float = 0.03
     seed: int = 7
 
 
@@ -87,7 +92,8 @@ class Network:
         self.p = {"word": make(1 << WORD_BITS, DIM, k=0.05), "gram": make(1 << GRAM_BITS, DIM, k=0.05), "Wa": make(2 * HID, ATT, k=0.4), "ba": np.zeros(ATT, np.float32), "va": make(ATT, k=0.4), "wo": make(2 * HID, k=0.4), "bo": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": make(2 * DIM, 3 * HID, k=0.35), f"U{d}": make(HID, 3 * HID, k=0.35), f"b{d}": np.zeros(3 * HID, np.float32)}
-        self.scale, self.shift = 1.0, 0.0
+        #: Logits and the scores they stand for, both rising; scores between are interpolated.
+        self.knots, self.values = np.zeros(1), np.full(1, 0.5)
 
     def inputs(self, t: Tokens) -> np.ndarray:
         chars = np.add.reduceat(self.p["gram"][t.gram], t.at[:-1], axis=0) * np.float32(0.5) if len(t.word) else np.zeros((0, DIM), np.float32)
@@ -175,7 +181,9 @@ class Network:
         return out
 
     def scores(self, t: Tokens) -> np.ndarray:
-        return _sigmoid(self.scale * self.text_logits(t).astype(np.float64) + self.shift)
+        z = self.text_logits(t).astype(np.float64)
+        # A hundredth of the plain sigmoid keeps the order where the calibration is flat.
+        return 0.99 * np.interp(z, self.knots, self.values) + 0.01 * _sigmoid(z - self.knots.mean()) if len(self.knots) > 1 else np.full(len(z), float(self.values[0]))
 
 
 def _tables(bodies: list[bytes]) -> Tokens:
@@ -234,7 +242,6 @@ def fit(bodies: list[bytes], labels: np.ndarray, how: Fit = Fit()) -> Network:
     """The network for these labelled texts."""
     net, r = Network(how.seed), np.random.default_rng(how.seed)
     if not len(labels) or labels.min() == labels.max():
-        net.scale = 0.0
         return net
     held = r.permutation(len(labels)) % 5 == 0
     if len(set(labels[~held])) < 2 or len(set(labels[held])) < 2:
@@ -289,38 +296,37 @@ def fit(bodies: list[bytes], labels: np.ndarray, how: Fit = Fit()) -> Network:
                         v = (v + 2e-6 * net.p[name]) * known[name]
                     mean[name] += 0.1 * (v - mean[name])
                     var[name] += 0.01 * (v * v - var[name])
-                    net.p[name] -= rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(var[name] / (1 - 0.99**step)) + 1e-6)
+                    net.p[name] -= rate * (how.table_rate if name in ("word", "gram") else 1.0) * (mean[name] / (1 - 0.9**step)) / (np.sqrt(var[name] / (1 - 0.99**step)) + 1e-6)
         logit = tokens.logits(net, use)
-    # Platt's scaling on the texts held back.
-    at = np.flatnonzero(held) if held.any() else train
+    # Calibrated on the texts held back, or on all of the sample where these hold too few toxic ones to tell.
+    at = np.flatnonzero(held) if labels[held].sum() >= how.least_held else np.arange(len(labels))
     z = Sample([bodies[i] for i in at]).text_logits(net).astype(np.float64)
-    y = labels[at].astype(np.float64)
-    middle, spread = float(np.median(z)), float(z.std()) + 1e-6
-    z = np.clip((z - middle) / spread, -8, 8)
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    a, b = 1.0, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    loss = lambda a, b: float(np.logaddexp(0, a * z + b).sum() - (target * (a * z + b)).sum()) + 0.01 * a * a
-    for _ in range(50):
-        p = _sigmoid(a * z + b)
-        w, e = p * (1 - p) + 1e-9, p - target
-        m = np.array([[(w * z * z).sum() + 0.02, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
-        move, size = np.linalg.solve(m, [(e * z).sum() + 0.02 * a, e.sum()]), 1.0
-        while size > 1e-6 and loss(a - size * move[0], b - size * move[1]) > loss(a, b):
-            size /= 2
-        a, b = a - size * move[0], b - size * move[1]
-    a = max(a, 0.05)
-    net.scale, net.shift = float(a / spread), float(b - a * middle / spread)
+    net.knots, net.values = rising_share(z, labels[at])
     return net
 
 
+def rising_share(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(middles of blocks of z, smoothed shares of y = 1 in them): neighbouring blocks are joined until the shares rise (isotonic regression)."""
+    order = np.argsort(z, kind="stable")
+    blocks: list[list[float]] = []  # (positives, rows, sum of z)
+    for x, hit in zip(z[order].tolist(), y[order].tolist()):
+        blocks.append([hit, 1, x])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
+    knots = np.array([b[2] / b[1] for b in blocks])
+    values = np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+    return knots, np.maximum.accumulate(values)
+
+
 def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Network:
     """Fit on labelled rows whose crc32(doc_id as text) is not 1 modulo 3; a bounded number of them reaches the driver."""
     marks = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and crc32(cast(_id as string)) % 3 <> 1").groupBy("_id").agg(F.max("_y").alias("_y"))
     rank = F.xxhash64("_id")
     # The bound is applied to ids that exist, before texts are read.
-    known = marks.join(docs.select(F.col(doc_id).cast("long").alias("_id")), "_id", "left_semi")
+    known = marks.join(docs.where(F.octet_length(text_of(text)) <= how.longest).select(F.col(doc_id).cast("long").alias("_id")), "_id", "left_semi")
     few = known.where("_y = 1").orderBy(rank, "_id").limit(how.most_toxic).unionByName(known.where("_y = 0").orderBy(rank, "_id").limit(how.most_clean))
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_of(text).cast("binary").alias("_text")).join(few, "_id").orderBy(rank, "_id").select("_text", "_y").toLocalIterator()
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), text_of(text).cast("binary").alias("_text")).where(F.octet_length("_text") <= how.longest).join(few, "_id").orderBy(rank, "_id").select("_text", "_y").toLocalIterator()
     pairs = [(bytes(x[0]), x[1]) for x in rows]
     return fit([p[0] for p in pairs], np.array([p[1] for p in pairs], np.int64), how)
 
