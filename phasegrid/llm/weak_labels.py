@@ -2,7 +2,7 @@
 histogram of vote patterns estimates how each votes on either class, and the posteriors train a hashed linear scorer.
 
 No labelled row is used. The histogram covers all rows and has at most 3**8 entries; the scorer is fitted on a bounded sample
-(Fit.most_texts) and scores every whole text. Defined cases: null and empty texts have no words, score 0 and are not kept; repeated rows score alike;
+(Fit.most_texts, Fit.longest) and scores every whole text. Defined cases: null and empty texts have no words, score 0 and are not kept; repeated rows score alike;
 where all texts vote alike the scorer follows the prior; an empty table gives no rows; columns with other names are ignored.
 """
 
@@ -37,9 +37,10 @@ _ALNUM = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
 @dataclass(frozen=True)
 class Fit:
-    """most_texts: greatest number of texts the scorer learns from."""
+    """most_texts: greatest number of texts the scorer learns from; longest: bytes of the longest of them, so that the driver holds a bounded amount."""
 
     most_texts: int = 6000
+    longest: int = 16384
     epochs: int = 12
     batch: int = 200
     rate: float = 0.05
@@ -176,11 +177,11 @@ def learn(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> tuple[Scorer
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array(Features(*buffers(batch.column("_text"))).patterns())], names=["_at", "pattern"])
+                yield pa.RecordBatch.from_arrays([batch.column("_at"), pa.array(Features(*buffers(batch.column("_text"))).patterns()), pa.array(np.diff(buffers(batch.column("_text"))[1]) <= how.longest)], names=["_at", "pattern", "short"])
 
     body = text_of(text)
     base = docs.select(body.cast("binary").alias("_text"), F.xxhash64(body).alias("_at"))
-    votes = cut(base.select("_at", "_text").mapInArrow(vote, "_at long, pattern long"))
+    votes = cut(base.select("_at", "_text").mapInArrow(vote, "_at long, pattern long, short boolean"))
     histogram = votes.groupBy("pattern").count().collect()  # 3**8 rows at most
     patterns, counts = (np.array([r[i] for r in histogram], np.int64) for i in (0, 1))
     order = np.argsort(patterns)
@@ -189,8 +190,9 @@ def learn(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> tuple[Scorer
     # Half of the sample from the patterns that look bad, so that both classes are seen.
     looks_bad = F.col("pattern").isin(patterns[post < 0.5].tolist()) if (post < 0.5).any() else F.lit(False)
     half = how.most_texts // 2
+    votes = votes.where("short")
     few = votes.where(looks_bad).dropDuplicates(["_at"]).orderBy("_at").limit(half).unionByName(votes.where(~looks_bad).dropDuplicates(["_at"]).orderBy("_at").limit(half))
-    sample = base.select("_at", "_text").join(few.select("_at", "pattern"), "_at").dropDuplicates(["_at"]).orderBy("_at").select("_text", "pattern").toLocalIterator()
+    sample = base.where(F.octet_length("_text") <= how.longest).select("_at", "_text").join(few.select("_at", "pattern"), "_at").dropDuplicates(["_at"]).orderBy("_at").select("_text", "pattern").toLocalIterator()
     chance = dict(zip(patterns.tolist(), post.tolist()))
     pairs = [(bytes(r[0]), chance[r[1]]) for r in sample]
     return fit([p[0] for p in pairs], np.array([p[1] for p in pairs]), how), patterns, post
