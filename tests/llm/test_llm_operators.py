@@ -9,6 +9,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from test_stages import thue_morse
+
 from phasegrid.llm import packing, pieces, quality_rules, sharding, topk, toxicity, warc, weak_labels
 
 DOCS = "doc_id long, text string, _text int, n long"
@@ -72,6 +74,11 @@ def test_counts_match_plain_python(spark):
             assert x.whole_ratio == pytest.approx(whole)
 
 
+def test_lines_of_regular_structure_are_told_apart(spark):
+    lines = thue_morse(1024) + "\n" + thue_morse(1024, "b", "a")
+    assert quality_rules.compression_bands(docs(spark, [lines])).first().n_dup_lines == 0
+
+
 def test_repetition_and_noise_are_rejected(spark):
     r = random.Random(3)
     syllables = [a + b for a in "bdfgklmnprstvw" for b in ("a", "e", "i", "on", "u", "er")]
@@ -195,6 +202,22 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.hilbert_shards(d.limit(0)).collect() == []
 
 
+def test_equal_texts_share_a_curve_position(spark):
+    d = spark.createDataFrame([(i, f"text {i % 7} " * (1 + i % 7), f"s{i % 5}", f"l{i % 3}") for i in range(300)], "doc_id long, text string, source string, lang string")
+    got = sharding.hilbert_shards(d).collect()
+    per = {}
+    for x in got:
+        per.setdefault(x.text_crc32, set()).add(x.curve)
+    assert len(per) == 7 and all(len(c) == 1 for c in per.values())
+
+
+def test_every_row_is_written(spark, tmp_path):
+    d = spark.createDataFrame([(None, "a", "s", "en", 1), (None, "a", "s", "en", 2), (3, None, None, None, 3), (3, "b", "s", "en", 4)], "doc_id long, text string, source string, lang string, size int")
+    sharding.write_shards(d, str(tmp_path / "s"), n_shards=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(x["size"] for x in back.collect()) == [1, 2, 3, 4] and {x.shard for x in back.collect()} == {0, 1}
+
+
 def test_written_shards_can_be_pruned(spark, tmp_path):
     d = spark.createDataFrame([(i, "x" * i, f"s{i % 3}", "en") for i in range(100)], "doc_id long, text string, source string, lang string")
     bounds = sharding.write_shards(d, str(tmp_path / "s"), n_shards=4)
@@ -221,6 +244,18 @@ def test_top_products_match_brute_force(spark):
     assert topk.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_rounds_of_blocks_give_the_same_rows(spark, monkeypatch):
+    r = np.random.default_rng(17)
+    x = r.integers(-40, 40, (400, 5)) / 8
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(tuple(x) for x in topk.top_products(df, F.col("vec_id") % 50 == 0).collect())
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    assert sorted(tuple(x) for x in topk.top_products(df, F.col("vec_id") % 50 == 0).collect()) == one
+    q = x.astype(int) * 0 + np.floor(256 * x).astype(int)
+    want = [(i, k, j, s) for i in range(0, 400, 50) for k, (s, j) in enumerate(sorted(((-int(q[i] @ q[j]), j) for j in range(400) if j != i))[:5], 1) for s in [-s]]
+    assert one == sorted(want)
+
+
 def test_walk_stops_early():
     r = np.random.default_rng(8)
     rows = r.integers(-50, 50, (4000, 3))
@@ -247,11 +282,21 @@ def test_ids_equal_the_library(spark, model):
     coded = pieces.encode(docs(spark, [None, *texts]), p)
     got = {x.doc_id: list(x.ids) for x in coded.collect()}
     assert got.pop(0) == [] and [got[i + 1] for i in range(len(texts))] == sp.encode(texts)
+    regular = [thue_morse(2048, a, b) + " " + thue_morse(2048, b, a) for a, b in ("ae", "th", "on")]
+    long = {x.doc_id: list(x.ids) for x in pieces.encode(docs(spark, [*regular, "ha" * 3000]), p).collect()}
+    assert [long[i] for i in range(4)] == sp.encode([*regular, "ha" * 3000])
     back = {x.doc_id: x.text for x in pieces.decode(coded, p).collect()}
     assert [back[i + 1] for i in range(len(texts))] == [sp.decode(w) for w in sp.encode(texts)]
     assert pieces.encode(docs(spark, []), p).collect() == []
 
 
+def test_other_models_are_refused(tmp_path):
+    for body in (b"\x12\x02\x18\x01", b"\x12\x02\x18\x02", b""):  # unigram; BPE without byte fallback; nothing
+        (tmp_path / "m.model").write_bytes(body)
+        with pytest.raises(ValueError):
+            pieces.load(str(tmp_path / "m.model"))
+
+
 # ---- archives ----
 
 
@@ -284,3 +329,31 @@ def test_damage_is_told(spark):
     rows = [("<a>", "response", 1, "u", None, None, None, 1, None, b"HTTP/1.1 200\r\n\r\nab"), ("<a:2>", "continuation", None, None, None, None, "<a>", 3, 20, b"cd"), ("<b>", "response", 2, "u", None, None, None, 1, None, b"x"), ("<b:2>", "continuation", None, None, None, None, "<b>", 2, 9, b"y"), ("<c>", "response", 3, "u", "sha256:0", None, None, None, None, b"H\r\n\r\nbody")]
     got = warc.payloads(warc.joined_segments(spark.createDataFrame(rows, schema)))
     assert {x.record_id: x.status for x in got.collect()} == {"<a>": "segments missing", "<b>": "wrong length", "<c>": "wrong digest"}
+
+
+def gzip_of(*bodies):
+    import gzip
+
+    return b"".join(gzip.compress(b) for b in bodies)
+
+
+def test_archives_of_many_members_and_damaged_ones(spark, tmp_path):
+    records = [warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>")], b"HTTP/1.1 200 OK\r\n\r\nbody %d" % i) + b"\n" for i in range(4)]
+    (tmp_path / "members.warc.gz").write_bytes(gzip_of(*records))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip_of(*records[:2]) + gzip_of(records[2])[:-20])
+    (tmp_path / "short.warc.gz").write_bytes(gzip_of(records[0] + records[1][:-9]))
+    (tmp_path / "other.warc.gz").write_bytes(gzip_of(b"<html>"))
+    (tmp_path / "empty.warc.gz").write_bytes(gzip_of(b""))
+    got = warc.read_records(spark, str(tmp_path))
+    rows = [(x.record_id.rsplit("/")[-1], x.kind) for x in got.collect()]
+    assert sorted(r for r, k in rows if k == "response") == sorted(["<0>", "<1>", "<2>", "<3>"] * 2 + ["<0>", "<1>"] + ["<0>"])
+    assert sorted(r for r, k in rows if k == "damaged") == ["cut.warc.gz", "other.warc.gz", "short.warc.gz"]
+    states = [x.status for x in warc.payloads(warc.joined_segments(got)).collect()]
+    assert sorted(states) == ["damaged archive"] * 3 + ["ok"] * 11
+
+
+def test_a_large_record_of_many_segments(spark):
+    page = "<p>" + "0123456789abcdef" * (1 << 18)  # 4 MB in some 500 segments
+    got = warc.round_trip(spark.createDataFrame([(1, "u", page), (2, "u", page)], "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [(x.payload_bytes, x.record_type, x.status) for x in got] == [(len(page), "response", "ok"), (len(page), "revisit", "ok")]
