@@ -14,7 +14,7 @@ CONDITION_OF = {"A": "AB", "B": "AB", "C": "CD", "D": "CD", "E": "EF", "F": "EF"
 PHASE_OF = {"A": "static", "C": "static", "E": "static", "G": "static", "B": "dynamic", "D": "dynamic", "F": "dynamic", "H": "dynamic"}
 DIRECTION_OF = {"AB": -1, "GH": -1, "CD": 1, "EF": 1}
 STATIC_TIMES, DYNAMIC_TIMES = (0, 5, 10), (10, 15, 20)
-SEX_OF = {"m": 1, "male": 1, "남": 1, "1": 1, "f": 0, "female": 0, "여": 0, "0": 0}
+SEX_OF = {"m": 1, "male": 1, "man": 1, "남": 1, "남자": 1, "1": 1, "f": 0, "female": 0, "woman": 0, "여": 0, "여자": 0, "0": 0}
 RENAMES = {"no": "id", "time_min_": "time_min", "time_min": "time_min"}
 
 
@@ -78,6 +78,13 @@ def not_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def clipped(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """The value kept within [low, high]; nulls and NaN become null."""
+    out = not_nan(x)
+    out = F.when(out < low, F.lit(float(low))).otherwise(out) if low is not None else out
+    return F.when(out > high, F.lit(float(high))).otherwise(out) if high is not None else out
+
+
 def whole_id(x: Column) -> Column:
     return number(x).cast("long")
 

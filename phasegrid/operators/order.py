@@ -56,3 +56,22 @@ def running_sum(df: DataFrame, position: str, value: str, out: str, block: int =
         sums = sums.withColumn(upto, F.sum(total).over(Window.partitionBy(F.lit(0)).orderBy(own).rowsBetween(Window.unboundedPreceding, 0)))
     here = F.sum(value).over(Window.partitionBy(own).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(inside, here).join(sums.select(own, (F.col(upto) - F.col(total)).alias(base)), own).withColumn(out, F.col(base) + F.col(inside)).drop(own, inside, base)
+
+
+def places_in_group(df: DataFrame, keys: list[str], by: list, out: str = "place") -> DataFrame:
+    """df with the 1-based place of each row inside its group of keys, in the order of `by`; a group may hold most rows."""
+    placed = positions(df, [*keys, *by], "_at")
+    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return placed.join(first, keys).withColumn(out, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(keys, q, at): exact quantiles by linear interpolation, from places in the global order, so that no task holds a group's values. Groups of no value are missing."""
+    keys = keys or []
+    placed = positions(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), [*keys, "_v"], "_at")
+    of = placed.groupBy(*keys).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn("q", F.explode(F.array(*(F.lit(float(x)) for x in shares))))
+    place = (F.col("_n") - 1) * F.col("q")
+    ends = F.explode(F.array(F.struct((F.col("_first") + F.floor(place)).alias("at"), (1 - (place - F.floor(place))).alias("w")), F.struct((F.col("_first") + F.ceil(place)).alias("at"), (place - F.floor(place)).alias("w")))).alias("_e")
+    asked = of.where("_n > 0").select(*keys, "q", ends).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "q", F.col("_e.at").alias("_at"), F.col("_e.w").alias("_w"))
+    got = placed.select("_at", "_v").join(asked, "_at").groupBy(*(f"_k_{k}" for k in keys), "q").agg(F.sum(F.when(F.col("_w") > 0, F.col("_v") * F.col("_w")).otherwise(0.0)).alias("at"))
+    return got.select(*(F.col(f"_k_{k}").alias(k) for k in keys), "q", "at")

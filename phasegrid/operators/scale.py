@@ -14,9 +14,20 @@ def _lit(x):
     return F.lit(x).cast("double")
 
 
+def _quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, dict[float, float]]:
+    """{column: {share: quantile}}, exact, of all columns in one global order of (column, value)."""
+    from .order import quantiles
+    from .rank import long_features
+
+    out: dict[str, dict[float, float]] = {c: {} for c in columns}
+    for r in quantiles(long_features(df, [], columns), "value", shares, ["feature"]).collect():  # a row for each column and share
+        out[r["feature"]][r["q"]] = r["at"]
+    return out
+
+
 def impute(df: DataFrame, columns: list[str], how: str = "mean") -> DataFrame:
     """Nulls become the column's mean or exact median."""
-    at = _row(df, {c: F.avg(c) if how == "mean" else F.expr(f"percentile(`{c}`, 0.5)") for c in columns})
+    at = _row(df, {c: F.avg(c) for c in columns}) if how == "mean" else {c: q.get(0.5) for c, q in _quantiles(df, columns, [0.5]).items()}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), _lit(at[c])) for c in columns})
 
 
@@ -41,8 +52,8 @@ def block_standardise(df: DataFrame, blocks: dict[str, list[str]]) -> DataFrame:
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / (q75 - q25) with exact quantiles; a range of 0 counts as 1."""
-    at = _row(df, {c: F.expr(f"percentile(`{c}`, array(0.25, 0.5, 0.75))") for c in columns})
-    return df.withColumns({c: (F.col(c) - at[c][1]) / ((at[c][2] - at[c][0]) or 1.0) for c in columns if at[c]})
+    at = _quantiles(df, columns, [0.25, 0.5, 0.75])
+    return df.withColumns({c: (F.col(c) - at[c][0.5]) / ((at[c][0.75] - at[c][0.25]) or 1.0) for c in columns if at[c]})
 
 
 def informative(df: DataFrame, columns: list[str], least: int = 3, share: float = 0.3) -> list[str]:
@@ -58,15 +69,22 @@ def missing_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def require_complete(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df, which fails when read if one of the columns holds a null."""
+    """df, which fails when read, whatever columns are read, if one of these holds a null."""
     bad = F.lit(False)
     for c in columns:
         bad = bad | F.col(c).isNull()
-    return df.withColumn(columns[0], F.when(bad, F.raise_error("nulls remain in the matrix")).otherwise(F.col(columns[0])))
+    return df.where(F.when(bad, F.raise_error("nulls remain in the matrix").cast("boolean")).otherwise(True))
+
+
+def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df; raises KeyError at once if columns are missing."""
+    if lacking := [c for c in columns if c not in df.columns]:
+        raise KeyError(f"missing columns {lacking}")
+    return df
 
 
 #: Named subsets of blocks.
-STRUCTURES = {"full": ("PHY", "PSY", "BHR", "TLX", "EUP"), "no_tlx": ("PHY", "PSY", "BHR", "EUP"), "no_eup": ("PHY", "PSY", "BHR", "TLX"), "phy_psy_only": ("PHY", "PSY"), "reactivity_only": ("PHY", "PSY", "BHR")}
+STRUCTURES = {"full": ("PHY", "PSY", "BHR", "TLX", "EUP"), "no_tlx": ("PHY", "PSY", "BHR", "EUP"), "no_eup": ("PHY", "PSY", "BHR", "TLX"), "phy_psy_only": ("PHY", "PSY"), "reactivity_only": ("PHY", "PSY", "TLX")}
 
 
 def chosen_blocks(blocks: dict[str, list[str]], structure: str) -> dict[str, list[str]]:

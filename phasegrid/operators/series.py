@@ -103,3 +103,10 @@ def sampling_rate(df: DataFrame, keys: list[str], time: str = "t_sec", default:
 def running_share(value: Column, keys: list[str], order: list) -> Column:
     w = Window.partitionBy(*keys)
     return F.sum(value).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(w)
+
+
+def group_z(df: DataFrame, value: str, keys: list[str], out: str = "z") -> DataFrame:
+    """df with the population z-score of value inside its group of keys, 0 without spread; by one aggregate, so that large groups are no single task's work."""
+    at = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    z = F.when(F.col("_s") == 0, 0.0).otherwise((F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")))
+    return df.join(at, keys).withColumn(out, z).drop("_m", "_s")

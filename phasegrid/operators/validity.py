@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,9 @@ def as_vector(df: DataFrame, key: str, columns: list[str], cluster: str = "clust
 
 
 def centroids(df: DataFrame, keys: list[str] = ["cluster"]) -> DataFrame:
-    """(keys, size, centre) of rows with a vector x."""
-    each = df.select(*keys, F.posexplode("x").alias("d", "v")).groupBy(*keys, "d").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("size"))
-    return each.groupBy(*keys).agg(F.max("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centre"))
+    """(keys, size, centre) of rows with a vector x: a mean for each dimension in one aggregate."""
+    dims = df.agg(F.max(F.size("x"))).first()[0] or 0
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.array(*(F.avg(F.get("x", F.lit(i))) for i in range(max(dims, 0)))).alias("centre"))
 
 
 def calinski_harabasz(df: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def calinski_harabasz(df: DataFrame) -> DataFrame:
 def davies_bouldin(df: DataFrame) -> DataFrame:
     """(db): mean over clusters of the worst (scatter + scatter) / distance of centres. Centres are joined in pairs, not rows."""
     c = centroids(df)
-    spread = df.join(F.broadcast(c), "cluster").groupBy("cluster").agg(F.avg(F.sqrt(gap2(F.col("x"), F.col("centre")))).alias("s"))
+    spread = df.join(c, "cluster").groupBy("cluster").agg(F.avg(F.sqrt(gap2(F.col("x"), F.col("centre")))).alias("s"))
     c = c.join(spread, "cluster")
     other = c.select(F.col("cluster").alias("other"), F.col("centre").alias("oc"), F.col("s").alias("os"))
     worst = c.join(other, F.col("cluster") != F.col("other")).groupBy("cluster").agg(F.max((F.col("s") + F.col("os")) / F.sqrt(gap2(F.col("centre"), F.col("oc")))).alias("r"))
@@ -102,11 +102,44 @@ def subsamples(ids: DataFrame, key: str, runs: int, share: float = 0.8, seed: in
     return placed.where(F.col("_p") - F.col("run") * n <= int(share * n)).select("run", key)
 
 
-def coclustering(runs: DataFrame, key: str = "id") -> DataFrame:
-    """(id_a, id_b, together): share of the runs holding both in which both have one label; a row with itself counts too."""
+def coclustering(runs: DataFrame, key: str = "id", wanted: Column | None = None) -> DataFrame:
+    """(id_a, id_b, together, n_runs): share of the runs holding both in which both have one label; a row with itself counts too.
+
+    wanted: the rows asked for (over key), held against all rows. Without it every pair id_a <= id_b is given, which grows with the square of the rows.
+    """
     b = runs.select("run", F.col(key).alias("id_b"), F.col("cluster").alias("_c"))
-    both = runs.select("run", F.col(key).alias("id_a"), "cluster").join(b, "run").where("id_a <= id_b")
-    return both.groupBy("id_a", "id_b").agg(F.avg((F.col("cluster") == F.col("_c")).cast("double")).alias("together"))
+    a = runs if wanted is None else runs.where(wanted)
+    both = a.select("run", F.col(key).alias("id_a"), "cluster").join(b, "run")
+    both = both.where("id_a <= id_b") if wanted is None else both
+    return both.groupBy("id_a", "id_b").agg(F.avg((F.col("cluster") == F.col("_c")).cast("double")).alias("together"), F.count(F.lit(1)).alias("n_runs"))
+
+
+def distances(df: DataFrame, key: str, wanted: Column | None = None) -> DataFrame:
+    """(id_a, id_b, distance) of rows with a vector x: those wanted against all others; without it every pair id_a < id_b."""
+    b = df.select(F.col(key).alias("id_b"), F.col("x").alias("_y"))
+    a = (df if wanted is None else df.where(wanted)).select(F.col(key).alias("id_a"), "x")
+    pairs = a.join(b, F.col("id_a") < F.col("id_b") if wanted is None else F.col("id_a") != F.col("id_b"))
+    return pairs.select("id_a", "id_b", F.sqrt(gap2(F.col("x"), F.col("_y"))).alias("distance"))
+
+
+def label_ordered(pairs: DataFrame, labels: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """(row, col, cluster_a, cluster_b, value): the cells of a pair matrix in the order of (cluster, id), as a heat map wants them. labels: id, cluster."""
+    from .order import positions
+
+    at = positions(labels.select(key, "cluster"), ["cluster", key], "_p")
+    side = lambda s, place: at.select(F.col(key).alias(f"id_{s}"), F.col("cluster").alias(f"cluster_{s}"), F.col("_p").alias(place))
+    return pairs.join(side("a", "row"), "id_a").join(side("b", "col"), "id_b").select("row", "col", "cluster_a", "cluster_b", value)
+
+
+def interpretation(profiles: DataFrame, n: int = 5) -> DataFrame:
+    """(cluster, text): the n features that stand highest above and lowest below the grand mean, in words."""
+    from pyspark.sql import Window
+
+    up, down = (F.row_number().over(Window.partitionBy("cluster").orderBy(o, "feature")) for o in (F.desc_nulls_last("z_value"), F.asc_nulls_last("z_value")))
+    word = F.format_string("%s (%+.2f)", "feature", "z_value")
+    rows = profiles.where(F.col("z_value").isNotNull()).withColumns({"_up": up, "_down": down, "_w": word})
+    pick = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= n, F.struct(c, "_w")))), lambda s: s["_w"]), ", ")
+    return rows.groupBy("cluster").agg(F.concat(F.lit("high: "), pick("_up"), F.lit("; low: "), pick("_down")).alias("text"))
 
 
 def profile(df: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
@@ -115,7 +148,7 @@ def profile(df: DataFrame, columns: list[str], cluster: str = "cluster") -> Data
 
     rows = long_features(df, [cluster], columns)
     grand = rows.groupBy("feature").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    return rows.groupBy(cluster, "feature").agg(F.avg("value").alias("mean_value")).join(F.broadcast(grand), "feature").select(cluster, "feature", "mean_value", ((F.col("mean_value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))).alias("z_value"))
+    return rows.groupBy(cluster, "feature").agg(F.avg("value").alias("mean_value")).join(grand, "feature").select(cluster, "feature", "mean_value", ((F.col("mean_value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))).alias("z_value"))
 
 
 def telling_features(profiles: DataFrame, n: int = 5) -> DataFrame:
@@ -136,15 +169,16 @@ def discriminability(df: DataFrame, columns: list[str], cluster: str = "cluster"
 
 def distance_outliers(df: DataFrame, key: str, limit: float = 2.5) -> DataFrame:
     """(key, cluster, distance, z, size, outlier): distance from the own centre, standardised inside the cluster (0 without spread)."""
-    d = df.join(F.broadcast(centroids(df)), "cluster").withColumn("distance", F.sqrt(gap2(F.col("x"), F.col("centre"))))
-    w = Window.partitionBy("cluster")
-    sd = F.stddev_pop("distance").over(w)
-    z = F.when(sd == 0, 0.0).otherwise((F.col("distance") - F.avg("distance").over(w)) / F.when(sd > 0, sd))
-    return d.withColumn("z", z).select(key, "cluster", "distance", "z", "size", (F.col("z") > limit).alias("outlier"))
+    from .series import group_z
+
+    d = df.join(centroids(df), "cluster").select(key, "cluster", "size", F.sqrt(gap2(F.col("x"), F.col("centre"))).alias("distance"))
+    return group_z(d, "distance", ["cluster"]).select(key, "cluster", "distance", "z", "size", (F.col("z") > limit).alias("outlier"))
 
 
 def tiny_members(df: DataFrame, key: str, most: int = 6) -> DataFrame:
-    return df.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("cluster"))).where(F.col("size") <= most).select(key, "cluster", "size")
+    """(key, cluster, size) of rows in clusters of `most` rows at most."""
+    few = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= most)
+    return df.join(few, "cluster").select(key, "cluster", "size")
 
 
 def tiny_causes(df: DataFrame, most: int = 6) -> DataFrame:

@@ -207,7 +207,7 @@ def sampling_rate(t):
 
 @query(f"select c_custkey, {R('case when stddev_pop(c_acctbal) over w = 0 then 0 else (c_acctbal - avg(c_acctbal) over w) / stddev_pop(c_acctbal) over w end', 'z')} from customer window w as (partition by c_mktsegment)")
 def within_group_z(t):
-    return t("customer").select("c_custkey", series.within_group_z(F.col("c_acctbal"), ["c_mktsegment"]).alias("z"))
+    return series.group_z(t("customer"), "c_acctbal", ["c_mktsegment"]).select("c_custkey", "z")
 
 
 @query(
@@ -346,9 +346,10 @@ def rate_by_group(t):
     return t("labels").join(t("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("toxic").alias("rate"), F.count("*").alias("n"))
 
 
-@query("select label, string_agg(vec_id::varchar, ',' order by vec_id) as members from embeddings group by 1")
+@query("select label, vec_id, row_number() over (partition by label order by vec_id) as place from embeddings")
 def collect_members(t):
-    return t("embeddings").groupBy("label").agg(F.array_join(F.array_sort(F.collect_list("vec_id")), ",").alias("members"))
+    """Membership as rows: a list for each group would grow with the group."""
+    return order.places_in_group(t("embeddings").select("label", "vec_id"), ["label"], ["vec_id"], "place")
 
 
 @query("with n as (select l_linestatus, l_returnflag, count(*) as n from lineitem group by 1, 2) select l_linestatus, string_agg('C' || l_returnflag || ':' || n::varchar, ', ' order by l_returnflag) as sizes, min(n) as min_size, max(n) as max_size from n group by 1")
@@ -358,7 +359,10 @@ def sizes_string(t):
 
 @query(f"select event_type, {R('avg(value)', 'mean')}, {R('median(value)', 'median')}, {R('quantile_cont(value, 0.1)', 'p10')}, {R('min(value)', 'min')}, {R('max(value)', 'max')}, {R('stddev_pop(value)', 'sd')}, count(value) as n from events group by 1")
 def spread_stats(t):
-    return t("events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.expr("percentile(value, 0.1)").alias("p10"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
+    rows = t("events").select("event_type", "value")
+    plain = rows.groupBy("event_type").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
+    q = order.quantiles(rows, "value", [0.5, 0.1], ["event_type"]).groupBy("event_type").agg(F.max(F.when(F.col("q") == 0.5, F.col("at"))).alias("median"), F.max(F.when(F.col("q") == 0.1, F.col("at"))).alias("p10"))
+    return plain.join(q, "event_type", "left")
 
 
 @query("select count(distinct user_id) as n_users, count(distinct event_type) as n_types, count(distinct dayofmonth(ts)) as n_days from events")
@@ -405,12 +409,15 @@ def row_top_features(t):
 
 
 @query(
-    "with p as (select n_nationkey as i, (n_nationkey * 7 % 25 + 1) / 500.0 as p, n_regionkey as g from nation), r as (select *, (count(*) over (partition by g) - row_number() over (partition by g order by p, i) + 1) * p as s from p) "
-    f"select i, {R('least(1.0, max(s) over (partition by g order by p, i rows unbounded preceding))', 'p_holm')} from r"
+    "with m as (select c_nationkey as i, n_regionkey as g, avg(c_acctbal) as m from customer join nation on c_nationkey = n_nationkey group by 1, 2), p as (select i, g, (count(*) filter (c_acctbal >= m) + 1) / (count(*) + 1) as p from m, customer group by 1, 2), r as (select *, (count(*) over (partition by g) - row_number() over (partition by g order by p, i) + 1) * p as s from p) "
+    f"select i, {R('p', 'p')}, {R('least(1.0, max(s) over (partition by g order by p, i rows unbounded preceding))', 'p_holm')} from r"
 )
 def holm_step_down(t):
-    rows = t("nation").select(F.col("n_nationkey").alias("i"), ((F.col("n_nationkey") * 7 % 25 + 1) / 500.0).alias("p"), F.col("n_regionkey").alias("g"))
-    return rank.holm(rows, "p", ["g"], ["i"]).select("i", "p_holm")
+    """Empirical upper tails of the nations' mean balances among all balances, corrected inside each region."""
+    means = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("c_nationkey").alias("i"), F.col("n_regionkey").alias("g")).agg(F.avg("c_acctbal").alias("m"))
+    # A row for each nation, of which there are 25 at any size.
+    tails = t("customer").select("c_acctbal").crossJoin(F.broadcast(means)).groupBy("i", "g").agg(((F.count(F.when(F.col("c_acctbal") >= F.col("m"), 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return rank.holm(tails, "p", ["g"], ["i"]).select("i", "p", "p_holm")
 
 
 # ---- scaling and correlation ----
@@ -476,13 +483,14 @@ def block_energy(t):
 
 # ---- clusters ----
 
-VEC = "v as (select vec_id, label, list_transform(embedding[1:8], lambda z: z::double) as x from embeddings), l as (select vec_id, label, unnest(range(1, 9)) as d, unnest(x) as v from v)"
+VEC = "v as (select vec_id, label, list_transform(embedding, lambda z: z::double) as x from embeddings), l as (select vec_id, label, unnest(range(1, 65)) as d, unnest(x) as v from v)"
+DIMS = 64  # of the embeddings
 GAP = "sqrt(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 CENTRE = f"{VEC}, cd as (select label, d, avg(v) as m, count(*) as size from l group by 1, 2), c as (select label, list(m order by d) as m, max(size) as size from cd group by 1)"
 
 
 def vectors(t):
-    return t("embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("x"))
+    return t("embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 @query(f"with {VEC}, g as (select label, d, sum(v) as s, sum(v * v) as q, count(*) as n from l group by 1, 2), e as (select d, sum(q) - sum(s * s / n) as w, sum(s * s / n) - sum(s) * sum(s) / sum(n) as b, sum(n)::bigint as n, count(*) as k from g group by 1) select {R('(sum(b) / (max(k) - 1)) / (sum(w) / (max(n) - max(k)))', 'ch')}, max(n) as n, max(k) as k from e")
@@ -533,7 +541,7 @@ def tiny_clusters(t):
 
 
 @query(
-    f"with v as (select vec_id, ({TINY})::int as label, list_transform(embedding[1:8], lambda z: z::double) as x from embeddings), l as (select vec_id, label, unnest(range(1, 9)) as d, unnest(x) as v from v), cd as (select label, d, avg(v) as m, count(*) as size from l group by 1, 2), c as (select label, list(m order by d) as m, max(size) as size from cd group by 1), "
+    f"with v as (select vec_id, ({TINY})::int as label, list_transform(embedding, lambda z: z::double) as x from embeddings), l as (select vec_id, label, unnest(range(1, 65)) as d, unnest(x) as v from v), cd as (select label, d, avg(v) as m, count(*) as size from l group by 1, 2), c as (select label, list(m order by d) as m, max(size) as size from cd group by 1), "
     f"p as (select a.label as cluster, a.size, b.label as other, {GAP.format('a.m', 'b.m')} as d from c a join c b on a.label <> b.label), m as (select avg(d) as md from p), n as (select cluster, size, arg_min(other, d) as nearest, min(d) as d from p group by 1, 2) "
     f"select cluster, size, nearest, {R('d / md', 'ratio')}, case when d / md < 0.5 then 'borderline' when d / md > 1.5 then 'outlier' else 'distinct' end as cause from n, m where size <= 6"
 )
@@ -541,29 +549,31 @@ def tiny_cause(t):
     return validity.tiny_causes(tiny(t))
 
 
-RUNS = "r as (select run, vec_id as id, (vec_id * (run + 3)) % 7 % 3 as cluster from (select vec_id from embeddings where vec_id < 100) e, (select unnest(range(0, 6)) as run) where (vec_id + run) % 5 <> 0)"
+RUNS = "r as (select run, vec_id as id, (embedding[run + 1] > 0)::int + 2 * (embedding[run + 31] > 0)::int as cluster from embeddings, (select unnest(range(0, 20)) as run) where (vec_id + run) % 5 <> 0)"
 
 
 def runs(t):
-    ids = t("embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("run"))
-    return ids.where("(id + run) % 5 <> 0").withColumn("cluster", F.col("id") * (F.col("run") + 3) % 7 % 3)
+    """Twenty partitions of four fifths of the vectors each, by the signs of two components."""
+    ids = t("embeddings").select(F.col("vec_id").alias("id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("run")).where("(id + run) % 5 <> 0")
+    sign = lambda at: (F.get("embedding", F.col("run") + at) > 0).cast("int")
+    return ids.select("run", "id", (sign(0) + 2 * sign(30)).alias("cluster"))
 
 
-@query(f"with {RUNS} select a.id as id_a, b.id as id_b, {R('avg((a.cluster = b.cluster)::int)', 'together')} from r a join r b on a.run = b.run and a.id <= b.id group by 1, 2")
+@query(f"with {RUNS} select a.id as id_a, b.id as id_b, {R('avg((a.cluster = b.cluster)::int)', 'together')}, count(*) as n_runs from r a join r b on a.run = b.run and a.id % 50 = 0 group by 1, 2")
 def coclustering_share(t):
-    return validity.coclustering(runs(t))
+    return validity.coclustering(runs(t), wanted=F.col("id") % 50 == 0)
 
 
-@query(f"with {VEC}, p as (select label as cluster, 'e' || d::varchar as feature, avg(v) as m from l where d <= 3 group by 1, 2), g as (select 'e' || d::varchar as feature, avg(v) as gm, stddev_pop(v) as s from l where d <= 3 group by 1) select cluster, feature, {R('m', 'mean_value')}, {R('(m - gm) / s', 'z_value')} from p join g using (feature)")
+@query(f"with {VEC}, p as (select label as cluster, 'e' || d::varchar as feature, avg(v) as m from l group by 1, 2), g as (select 'e' || d::varchar as feature, avg(v) as gm, stddev_pop(v) as s from l group by 1) select cluster, feature, {R('m', 'mean_value')}, {R('(m - gm) / s', 'z_value')} from p join g using (feature)")
 def cluster_profile(t):
-    rows = t("embeddings").select(F.col("label").alias("cluster"), *(F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(3)))
-    return validity.profile(rows, ["e1", "e2", "e3"])
+    rows = t("embeddings").select(F.col("label").alias("cluster"), *(F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(DIMS)))
+    return validity.profile(rows, [f"e{i + 1}" for i in range(DIMS)])
 
 
 @query(f"with {VEC}, p as (select label as cluster, 'e' || d::varchar as feature, avg(v) as m from l group by 1, 2) select feature, {R('var_samp(m)', 'var_means')} from p group by 1 order by var_samp(m) desc, feature limit 3")
 def telling_features(t):
-    rows = t("embeddings").select(F.col("label").alias("cluster"), *(F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(8)))
-    return validity.telling_features(validity.profile(rows, [f"e{i + 1}" for i in range(8)]), 3)
+    rows = t("embeddings").select(F.col("label").alias("cluster"), *(F.col("embedding")[i].cast("double").alias(f"e{i + 1}") for i in range(DIMS)))
+    return validity.telling_features(validity.profile(rows, [f"e{i + 1}" for i in range(DIMS)]), 3)
 
 
 # ---- inference ----
