@@ -100,43 +100,118 @@ def pairwise_shares(df: DataFrame, group: str, flag: str) -> list[dict]:
     return out
 
 
+def _relabelled(df: DataFrame, key: str, group: str, columns: list[str], n_perm: int, seed: int, batch: int = 200) -> Iterator[DataFrame]:
+    """Batches of (_run, _g, columns): permutation r pairs the rows in the order of hash(seed, r, key) with the labels in key order."""
+    from .order import cut, positions
+
+    rows = cut(positions(df.select(key, F.col(group).alias("_g"), *columns), [key], "_p"))
+    n, labels = rows.count(), rows.select("_p", "_g")
+    for first in range(0, n_perm, batch):
+        runs = df.sparkSession.range(first, min(first + batch, n_perm)).select(F.col("id").alias("_run"))
+        mixed = positions(rows.select(key, *columns).join(F.broadcast(runs), F.lit(True)).withColumn("_h", F.xxhash64(F.lit(seed), "_run", key)), ["_run", "_h", key], "_q")
+        yield mixed.withColumn("_p", (F.col("_q") - 1) % n + 1).drop("_q", "_h", key).join(labels, "_p")
+
+
 def permutation_profile(df: DataFrame, key: str, group: str, columns: list[str], n_perm: int = 999, seed: int = 42) -> dict:
-    """(observed pseudo-F, p): p = (number of relabellings at least as high + 1) / (n_perm + 1).
+    """(observed pseudo-F, p): p = (number of relabellings at least as high + 1) / (n_perm + 1). Null below five rows.
 
-    Permutation r pairs the rows in the order of hash(seed, r, key) with the labels in key order. Each permutation
-    is a share of one distributed aggregate, in batches; sums for (permutation, group, column) come back.
+    Each permutation is a share of one distributed aggregate, in batches; only counts come back.
     """
-    from .order import cut, positions
+    from .order import cut
 
-    rows = df.where(F.col(group).isNotNull()).dropna(subset=columns).select(key, group, *(F.col(c).cast("double").alias(c) for c in columns))
-    rows = cut(positions(rows, [key], "_p"))
+    rows = cut(df.where(F.col(group).isNotNull()).dropna(subset=columns).select(key, group, *(F.col(c).cast("double").alias(c) for c in columns)))
     n = rows.count()
     if n < 5:
         return {"f": None, "p": None, "n": n}
     observed = pseudo_f(rows, group, columns).first()["f"]
-    labels = rows.select("_p", F.col(group).alias("_g"))
-    at_least, batch = 0, 200
-    for first in range(0, n_perm, batch):
-        runs = df.sparkSession.range(first, min(first + batch, n_perm)).select(F.col("id").alias("_run"))
-        mixed = positions(rows.select(key, *columns).join(F.broadcast(runs), F.lit(True)).withColumn("_h", F.xxhash64(F.lit(seed), "_run", key)), ["_run", "_h", key], "_q")
-        mixed = mixed.withColumn("_p", (F.col("_q") - 1) % n + 1).join(labels, "_p")
+    total = rows.agg(sum((F.sum(F.col(c) ** 2) for c in columns), F.lit(0.0)), sum((F.sum(c) ** 2 / F.count(F.lit(1)) for c in columns), F.lit(0.0))).first()
+    at_least = 0
+    for mixed in _relabelled(rows, key, group, columns, n_perm, seed):
         cell = mixed.groupBy("_run", "_g").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in columns))
         between = cell.groupBy("_run").agg(F.sum(sum((F.col(c) ** 2 for c in columns), F.lit(0.0)) / F.col("n")).alias("b"), F.count(F.lit(1)).alias("k"))
-        total = rows.agg(sum((F.sum(F.col(c) ** 2) for c in columns), F.lit(0.0)), sum((F.sum(c) ** 2 / F.count(F.lit(1)) for c in columns), F.lit(0.0))).first()
         f = ((F.col("b") - total[1]) / (F.col("k") - 1)) / ((total[0] - F.col("b")) / (n - F.col("k")))
         at_least += between.where(f >= observed * (1 - 1e-12)).count()
     return {"f": observed, "p": (at_least + 1) / (n_perm + 1), "n": n}
 
 
+def summed_chi2(df: DataFrame, group: str, axes: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, chi2): sum over 0/1 axes of chi-square against the group, over rows where the axis is known.
+
+    Axes of one level or one group add nothing; two groups are corrected for continuity.
+    """
+    by = by or []
+    cell = df.groupBy(*by, group).agg(*(F.count(a).alias(f"n_{i}") for i, a in enumerate(axes)), *(F.sum(F.col(a).cast("double")).alias(f"x_{i}") for i, a in enumerate(axes)))
+    rows = cell.select(*by, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"n_{i}").alias("n"), F.col(f"x_{i}").alias("x")) for i in range(len(axes))))).alias("_c")).select(*by, "_c.*").where("n > 0")
+    whole = rows.groupBy(*by, "i").agg(F.sum("n").alias("all_n"), F.sum("x").alias("all_x"), F.count(F.lit(1)).alias("groups"))
+    share, n = F.col("all_x") / F.col("all_n"), F.col("n")
+    gap = F.abs(F.col("x") - n * share)
+    gap = F.when(F.col("groups") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+    each = rows.join(whole, [*by, "i"]).where("groups > 1 and all_x > 0 and all_x < all_n").groupBy(*by).agg(F.sum(gap * gap / (n * share) + gap * gap / (n * (1 - share))).alias("chi2"))
+    return df.select(*by).distinct().join(each, by, "left").withColumn("chi2", F.coalesce("chi2", F.lit(0.0))) if by else each.select(F.coalesce("chi2", F.lit(0.0)).alias("chi2"))
+
+
+def binary_permutation(df: DataFrame, key: str, group: str, axes: list[str], n_perm: int = 5000, seed: int = 42) -> dict:
+    """(n, chi2, p) of the summed chi-square of 0/1 axes: p = (number of relabellings at least as high + 1) / (n_perm + 1)."""
+    from .order import cut
+
+    rows = cut(df.where(F.col(group).isNotNull()).select(key, group, *axes))
+    observed = (summed_chi2(rows, group, axes).first() or {"chi2": 0.0})["chi2"]
+    at_least = sum(summed_chi2(mixed, "_g", axes, ["_run"]).where(F.col("chi2") >= observed - 1e-9).count() for mixed in _relabelled(rows, key, group, axes, n_perm, seed))
+    return {"n": rows.count(), "chi2": observed, "p": (at_least + 1) / (n_perm + 1)}
+
+
+def binary_tests(df: DataFrame, group: str, axes: list[str], alpha: float = 0.05) -> dict[str, DataFrame]:
+    """tests (axis, chi2, df, n, p, p_holm), pairs of groups for axes that stay significant (Fisher's exact test where an expected
+    count is below 5, else z; corrected inside each axis), and the contingency tables (axis, group, level, n), null levels included."""
+    from .order import cut
+    from .rank import holm, long_features
+
+    rows = cut(long_features(df.where(F.col(group).isNotNull()), [group], axes).withColumnRenamed("feature", "axis"))
+    known = cut(contingency(rows, group, "value", ["axis"]))
+    tests = chi_square(known, ["axis"]).join(rows.groupBy("axis").agg(F.count("value").alias("n")), "axis").withColumn("df", F.col("df").cast("double"))
+    tests = with_tail(tests.withColumn("chi2", F.when(F.col("df") > 0, F.col("chi2"))), "chi2", ["chi2", "df"])
+    tests = cut(holm(tests.withColumn("_all", F.lit(1)), "p", ["_all"], ["axis"]).drop("_all", "least_expected"))
+    # The first level in order is the one that is counted.
+    first = known.groupBy("axis").agg(F.min("value").alias("level"))
+    counts = known.join(first, "axis").where(F.col("value") == F.col("level")).select("axis", F.col(group).alias("a"), F.col("n_row").alias("n1"), F.col("n").alias("x1"))
+    other = counts.select("axis", F.col("a").alias("b"), F.col("n1").alias("n2"), F.col("x1").alias("x2"))
+    pairs = counts.join(other, "axis").where("a < b").join(tests.where(F.col("p_holm") < alpha).select("axis"), "axis", "left_semi")
+    n, x = F.col("n1") + F.col("n2"), F.col("x1") + F.col("x2")
+    least = F.least("n1", "n2") * F.least(x, n - x) / n
+    pairs = pairs.withColumn("test", F.when(least < 5, "fisher").otherwise("z"))
+    z = two_proportions(*(F.col(c).cast("double") for c in ("n1", "x1", "n2", "x2")))
+    pairs = pairs.withColumn("z", F.when(F.col("test") == "z", z))
+    pairs = holm(with_tail(pairs, "share", ["z", "x1", "n1", "x2", "n2"]), "p", ["axis"], ["a", "b"])
+    return {"tests": tests, "pairs": pairs, "tables": rows.groupBy("axis", group, F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))}
+
+
+def posthoc(df: DataFrame, key: str, group: str, traits: list[str], axes: list[str], n_perm: int = 5000, seed: int = 42, alpha: float = 0.05) -> dict[str, DataFrame]:
+    """All tables of both analyses: the global permutation tests first, then tests, pairs and contingency tables."""
+    spark, out, head = df.sparkSession, {}, []
+    if traits:
+        g = permutation_profile(df, key, group, traits, n_perm, seed)
+        head.append(("continuous", g["n"], g["f"], g["p"]))
+        out["tests"], out["pairs"] = trait_tests(df, group, traits, alpha)
+    if axes:
+        g = binary_permutation(df, key, group, axes, n_perm, seed)
+        head.append(("binary", g["n"], g["chi2"], g["p"]))
+        out |= {f"binary_{k}": v for k, v in binary_tests(df, group, axes, alpha).items()}
+    return {"global": spark.createDataFrame(head, "mode string, n long, statistic double, p double")} | out
+
+
+def _share_p(z: float | None, x1: int, n1: int, x2: int, n2: int) -> float:
+    return hypergeometric_two_sided(int(x1), int(n1 - x1), int(x2), int(n2 - x2)) if z is None else 2 * normal_sf(abs(z))
+
+
 def with_tail(df: DataFrame, test: str, columns: list[str], out: str = "p") -> DataFrame:
-    """df with the tail probability of a statistic: test "f" (f, df1, df2), "chi2" (x, df), "t" (t, df), "range" (q, k, df). One small result row at a time."""
-    tails = {"f": f_sf, "chi2": chi2_sf, "t": t_sf2, "range": lambda q, k, d: studentized_range_sf(q, int(k), d)}
+    """df with the tail probability of a statistic: test "f" (f, df1, df2), "chi2" (x, df), "t" (t, df), "range" (q, k, df), "share" (z or null for the exact test, x1, n1, x2, n2). One small result row at a time."""
+    tails = {"f": f_sf, "chi2": chi2_sf, "t": t_sf2, "range": lambda q, k, d: studentized_range_sf(q, int(k), d), "share": _share_p}
     tail = tails[test]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in columns))
-            p = [None if any(x is None for x in r) else float(tail(*map(float, r))) for r in rows]
+            p = [float(tail(*r)) if test == "share" else None if any(x is None for x in r) else float(tail(*map(float, r))) for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, out])
 
     return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"{out} double"]))

@@ -50,6 +50,53 @@ def spearman(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return ranks.agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho", "n")
 
 
+def spearman_matrix(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(a, b, rho, n, p) of each unordered pair, over rows where both are known; p is null below three rows or without spread.
+
+    Long form throughout: one global order of (pair, side, value) ranks all pairs at once.
+    """
+    from .order import positions, running_sum
+
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for k, (a, b) in enumerate(pairs)))).alias("_c")
+    rows = df.select(F.col(key).alias("_k"), cells).select("_k", "_c.*").where("x is not null and y is not null")
+    long = rows.select("_k", "pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("v")), F.struct(F.lit(1).alias("side"), F.col("y").alias("v")))).alias("_s")).select("_k", "pair", "_s.*")
+    values = long.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_sum(positions(values, ["pair", "side", "v"], "_i"), "_i", "_c", "_upto").select("pair", "side", "v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias("rank"))
+    base = upto.groupBy("pair", "side").agg(F.min("rank").alias("_b"))  # a constant inside a pair and side leaves the correlation as it is
+    ranked = long.join(upto.join(base, ["pair", "side"]).withColumn("rank", F.col("rank") - F.col("_b")), ["pair", "side", "v"])
+    both = ranked.groupBy("pair", "_k").agg(F.max(F.when(F.col("side") == 0, F.col("rank"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("rank"))).alias("y"))
+    names = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    got = both.groupBy("pair").agg(F.corr("x", "y").alias("rho"), F.count(F.lit(1)).alias("n")).withColumn("_n", F.element_at(names, F.col("pair") + 1))
+    return with_p(got.select("_n.a", "_n.b", "rho", "n"), "rho", "n")
+
+
+def with_p(df: DataFrame, r: str, n: str, out: str = "p") -> DataFrame:
+    """df with the two-sided p of a correlation. A few result rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            p = [correlation_p(x, m) for x, m in zip(b.column(r).to_pylist(), b.column(n).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"{out} double"]))
+
+
+def block_diagnostics(df: DataFrame, blocks: dict[str, list[str]]) -> list[dict]:
+    """For each block: mean and greatest |r| inside it, shares of its first two components, mean and deviation of its rows' norms."""
+    out = []
+    for name, columns in blocks.items():
+        row: dict = {"block": name, "n_features": len(columns), "mean_abs_r": None, "max_abs_r": None, "pc1": 1.0, "pc2": None}
+        if len(columns) > 1:
+            _, _, cov = moments(df, columns)
+            r = np.abs(correlation(cov)[np.triu_indices(len(columns), 1)])
+            share = np.linalg.eigvalsh(cov)[::-1] / np.trace(cov)
+            row |= {"mean_abs_r": float(np.nanmean(r)), "max_abs_r": float(np.nanmax(r)), "pc1": float(share[0]), "pc2": float(share[1])}
+        out.append(row | row_energy(df, columns).first().asDict())
+    return out
+
+
 def correlation_p(r: float | None, n: int) -> float | None:
     """Two-sided p of a correlation; null below three pairs or without spread."""
     if r is None or n < 3 or math.isnan(r):
@@ -156,13 +203,65 @@ def least_squares(df: DataFrame, target: str, predictors: list[str]) -> dict:
     return {"n": n, "names": ["intercept", *predictors], "coef": coef, "se": se, "t": coef / se, "p": [t_sf2(float(t), df_) for t in coef / se], "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / df_}
 
 
+MOST_LEVELS = 200
+
+
 def treatment_coded(df: DataFrame, column: str, levels: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """df with a 0/1 column for each level but the first; a null value gives nulls. Levels are found if not given (a few)."""
-    levels = levels or sorted(r[0] for r in df.select(column).distinct().dropna().collect())
+    """df with a 0/1 column for each level but the first; a null value gives nulls. Levels are found if not given; more than MOST_LEVELS raise."""
+    if levels is None:
+        found = df.select(column).distinct().dropna().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{column} has more than {MOST_LEVELS} levels")
+        levels = sorted(r[0] for r in found)
     names = [f"{column}_{v}" for v in levels[1:]]
     return df.withColumns({n: (F.col(column) == v).cast("double") for n, v in zip(names, levels[1:])}), names
 
 
+def design(df: DataFrame, predictors: list[str], categorical: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """df and the names of the predictors, those that are categorical replaced by their treatment-coded columns; predictors that df lacks are left out."""
+    names: list[str] = []
+    for c in dict.fromkeys(predictors):
+        if c not in df.columns:
+            continue
+        if c in categorical:
+            df, own = treatment_coded(df, c)
+            names += own
+        else:
+            names.append(c)
+    return df, names
+
+
+def model_runs(df: DataFrame, group: str, targets: dict[str, list[str]], predictors: dict[str, list[str]], categorical: tuple[str, ...] = (), least: int = 30) -> DataFrame:
+    """(set, coding, target, term, coef, se, z, n, status): a random-intercept model for each target of each set (raw, pattern, mismatch) with each coding
+    of the person's traits (continuous, binary). Sets of fewer than `least` complete rows, or that cannot be solved, have a status and no terms."""
+    out = []
+    for kind, ys in targets.items():
+        for coding, xs in predictors.items():
+            coded, names = design(df, xs, categorical)
+            for y in ys:
+                n = coded.select(group, y, *names).dropna().count() if y in df.columns else 0
+                try:
+                    if n < least:
+                        raise ValueError(f"fewer than {least} observations")
+                    g = random_intercept(coded, y, names, group)
+                    out += [(kind, coding, y, t, float(c), float(s), float(z), n, "ok") for t, c, s, z in zip(g["names"], g["coef"], g["se"], g["z"])]
+                except (ValueError, np.linalg.LinAlgError) as e:
+                    out.append((kind, coding, y, None, None, None, None, n, str(e)))
+    return df.sparkSession.createDataFrame(out, "set string, coding string, target string, term string, coef double, se double, z double, n long, status string")
+
+
+def subject_models(df: DataFrame, key: str, targets: list[str], predictors: list[str], categorical: tuple[str, ...] = ()) -> DataFrame:
+    """(target, term, coef, se, p, r2, adj_r2, n): least squares over one row a subject, the first by order of all columns where ids repeat."""
+    from .rank import first_per_key
+
+    rows, names = design(first_per_key(df, [key], [F.col(c) for c in df.columns if c != key]), predictors, categorical)
+    out = []
+    for y in targets:
+        g = least_squares(rows, y, names)
+        out += [(y, t, float(c), float(s), float(p), float(g["r2"]), float(g["adj_r2"]), int(g["n"])) for t, c, s, p in zip(g["names"], g["coef"], g["se"], g["p"])]
+    return df.sparkSession.createDataFrame(out, "target string, term string, coef double, se double, p double, r2 double, adj_r2 double, n long")
+
+
 def random_intercept(df: DataFrame, target: str, predictors: list[str], group: str) -> dict:
     """Maximum likelihood of y = Xb + u_group + e: each group gives cross-products, one aggregate sums them for each group size."""
     names = ["_one", *predictors]
@@ -250,7 +349,9 @@ def _binormal(h: float, k: float, r: float) -> float:
 
 def polychoric(df: DataFrame, a: str, b: str) -> float:
     """Correlation of the normal variables behind two ordered ones: thresholds from the margins, then one search over the contingency table (a few levels each)."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count().collect()
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count().limit(MOST_LEVELS**2 + 1).collect()
+    if len(cells) > MOST_LEVELS**2:
+        raise ValueError(f"{a} and {b} have more than {MOST_LEVELS} levels each")
     rows, cols = sorted({r[0] for r in cells}), sorted({r[1] for r in cells})
     n = np.zeros((len(rows), len(cols)))
     for x, y, c in cells:
@@ -272,6 +373,13 @@ def polychoric(df: DataFrame, a: str, b: str) -> float:
     return (lo + hi) / 2
 
 
+def polychoric_matrix(df: DataFrame, ordered: list[str], continuous: list[str] | None = None) -> list[dict]:
+    """r of each pair by kind: polychoric for two ordered variables, Pearson else (a mixed matrix)."""
+    names = [*ordered, *(continuous or [])]
+    plain = {frozenset((r["a"], r["b"])): r["r"] for r in pearson_long(df, names).collect()}
+    return [{"a": a, "b": b, "kind": "polychoric" if b in ordered else "pearson", "r": polychoric(df, a, b) if b in ordered else plain[frozenset((a, b))]} for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
 def lower_triangle(pairs: DataFrame, order: list[str]) -> DataFrame:
     """(row, col, r) with row after col in `order`, of pearson_long's rows."""
     place = lambda c: F.array_position(F.lit(order), F.col(c))

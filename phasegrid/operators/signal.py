@@ -14,6 +14,8 @@ from ..functions import waves as w
 # Gates and bands of the domain.
 REJECT_SNR, STRONG_SNR, MEDIUM_SNR = -25.0, -15.0, -10.0
 LF, HF = (0.04, 0.15), (0.15, 0.40)
+#: By class of the signal: filter order, high-pass and low-pass frequency, and the share of the recording that the smoother's window takes.
+FILTERS = {"strong": (5, 1.0, 35.0, 10), "medium": (4, 0.7, 40.0, 15), "standard": (4, 0.5, 40.0, 20)}
 KEYS = ["subject", "condition"]
 
 
@@ -53,6 +55,25 @@ def snr_class(snr: Column) -> Column:
     return F.when(snr < REJECT_SNR, "reject").when(snr < STRONG_SNR, "strong").when(snr < MEDIUM_SNR, "medium").otherwise("standard")
 
 
+def signal_to_noise(x: np.ndarray, fs: float) -> float:
+    """Power of 5-40 Hz over that of drift and hum, in decibels."""
+    f, p = np.fft.rfftfreq(len(x), 1 / fs), np.abs(np.fft.rfft(x)) ** 2
+    mean = lambda m: p[m].mean() if m.any() else 0.0
+    return float(10 * np.log10(mean((f >= 5) & (f <= 40)) / (mean((f >= 0.5) & (f < 3) | (f > 45) & (f < 100)) + 1e-10) + 1e-300))
+
+
+def clean_rr(rr: np.ndarray) -> np.ndarray:
+    """Intervals of 300-2000 ms (250-2500 where that keeps under 60 %), then within 3 scaled deviations of the median unless under ten stay."""
+    ok = rr[(rr >= 300) & (rr <= 2000)]
+    if len(ok) < 0.6 * len(rr):
+        ok = rr[(rr >= 250) & (rr <= 2500)]
+    if not len(ok):
+        return ok
+    gap = np.abs(ok - np.median(ok))
+    near = ok[gap <= 3 * 1.4826 * np.median(gap)]
+    return near if len(near) >= 10 else ok
+
+
 def quality(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, fs, snr, drift, kurtosis, max_abs, sd, filter_class, status) of a heart recording."""
 
@@ -60,36 +81,46 @@ def quality(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         fs = rate(t, 250.0)
         if len(x) < 16:
             raise ValueError("too few samples")
-        f, p = np.fft.rfftfreq(len(x), 1 / fs), np.abs(np.fft.rfft(x)) ** 2
-        good, bad = (f >= 5) & (f <= 40), (f >= 0.5) & (f < 3) | (f > 45) & (f < 100)
-        mean = lambda m: p[m].mean() if m.any() else 0.0
         z = (x - x.mean()) / (x.std() or 1.0)
-        return {"fs": fs, "snr": 10 * np.log10(mean(good) / (mean(bad) + 1e-10) + 1e-300), "drift": w.savitzky_golay(x, min(501, len(x) - 1 | 1)).std(), "kurtosis": (z**4).mean(), "max_abs": np.abs(x).max(), "sd": x.std()}
+        return {"fs": fs, "snr": signal_to_noise(x, fs), "drift": w.savitzky_golay(x, min(501, len(x) - 1 | 1)).std(), "kurtosis": (z**4).mean(), "max_abs": np.abs(x).max(), "sd": x.std()}
 
     out = per_recording(df, keys, "fs double, snr double, drift double, kurtosis double, max_abs double, sd double", kernel)
     return out.withColumn("filter_class", F.when(F.col("snr").isNotNull(), snr_class(F.col("snr"))))
 
 
 def r_peaks(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, i, t_sec) of the beats, from the detector that finds most, with its name as `method`."""
+    """(keys, i, t_sec, method, filter_class) of the beats, from the detector that finds most.
+
+    The class of the signal chooses the filters. Signals below the reject limit, recordings of under ten beats or under twenty cleaned intervals have a status instead.
+    """
 
     def kernel(t: np.ndarray, x: np.ndarray) -> dict:
         fs = rate(t, 250.0)
         if len(x) < 4 * fs:
             raise ValueError("shorter than four seconds")
-        y = w.filtered(x, fs, "high", (0.5,), 2, both_ways=False)
-        if fs > 130:
-            y = w.filtered(w.filtered(y, fs, "stop", (49.0, 51.0), 2, False), fs, "stop", (59.0, 61.0), 2, False)
-        y = w.filtered(y, fs, "band", (5.0, min(35.0, fs * 0.45)), 2)
-        y = w.savitzky_golay(y, max(5, int(0.03 * fs) | 1))
+        snr = signal_to_noise(x, fs)
+        if snr < REJECT_SNR:
+            raise ValueError("signal too weak")
+        kind = "strong" if snr < STRONG_SNR else "medium" if snr < MEDIUM_SNR else "standard"
+        order, high, low, share = FILTERS[kind]
+        y = w.filtered(x, fs, "high", (high,), order, both_ways=False)
+        for hum in (50.0, 60.0):
+            if hum + 2 < fs / 2 - 1:  # a band cut off by the end of the spectrum would ring
+                y = w.filtered(y, fs, "stop", (hum - 2, hum + 2), 4, both_ways=False)
+        y = w.filtered(y, fs, "band", (5.0, min(low, fs * 0.45)), order // 2)  # both ways: the steepness of `order` without its ringing behind each beat
+        if len(y) > 51:
+            y = w.savitzky_golay(y, max(5, min(len(y) // share * 2 + 1, int(101 * min(1.0, fs / 1000)) | 1)), 2)  # 101 samples at 1000 Hz
         y = (y - y.mean()) / (y.std() or 1.0)
         found = {f"peaks {s}": w.peaks(y, distance=int(0.4 * fs), prominence=s) for s in (0.15, 0.30, 0.5)} | {"slope energy": w.pan_tompkins(y, fs)}
         best = max(found, key=lambda k: len(found[k]))
-        if len(found[best]) < 10:
+        beats = t[found[best]]
+        if len(beats) < 10:
             raise ValueError("fewer than ten beats")
-        return {"method": best, "beats": t[found[best]].tolist()}
+        if len(clean_rr(1000 * np.diff(beats))) < 20:
+            raise ValueError("fewer than twenty cleaned intervals")
+        return {"method": best, "filter_class": kind, "beats": beats.tolist()}
 
-    return per_recording(df, keys, "method string, beats array<double>", kernel).select(*keys, "method", "status", F.posexplode_outer("beats").alias("i", "t_sec"))
+    return per_recording(df, keys, "method string, filter_class string, beats array<double>", kernel).select(*keys, "method", "filter_class", "status", F.posexplode_outer("beats").alias("i", "t_sec"))
 
 
 def intervals(beats: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -154,16 +185,27 @@ def skin_parts(df: DataFrame, keys: list[str] = KEYS, target: float = 10.0) -> D
 
 
 def skin_measures(parts: DataFrame, keys: list[str] = KEYS, first: float = 0.0, last: float = 600.0) -> DataFrame:
-    """(keys, tonic_slope, phasic_mean, phasic_sd, phasic_max, derivative_sd, n_peaks, peak_mean) in [first, last): peaks stand at least 0.05 high, one for each second."""
+    """(keys, tonic_slope, phasic_mean, phasic_sd, phasic_max, derivative_sd, n_peaks, peak_mean) in [first, last): peaks stand at least 0.05 high and ten samples apart."""
     from pyspark.sql import Window
 
     o = Window.partitionBy(*keys).orderBy("t_sec")
     rows = parts.where((F.col("t_sec") >= first) & (F.col("t_sec") < last))
-    rows = rows.withColumn("_d", F.col("phasic") - F.lag("phasic").over(o)).withColumn("_n", F.lead("phasic").over(o) - F.col("phasic"))
-    peak = (F.col("_d") > 0) & (F.col("_n") <= 0) & (F.col("phasic") >= 0.05)
-    best = F.row_number().over(Window.partitionBy(*keys, F.floor("t_sec"), peak).orderBy(F.desc("phasic"), "t_sec"))
-    rows = rows.withColumn("_p", F.when(peak & (best == 1), F.col("phasic"))).withColumn("_i", F.row_number().over(o))
-    return rows.groupBy(*keys).agg(F.regr_slope("tonic", "_i").alias("tonic_slope"), F.avg("phasic").alias("phasic_mean"), F.stddev_pop("phasic").alias("phasic_sd"), F.max("phasic").alias("phasic_max"), F.stddev_pop("_d").alias("derivative_sd"), F.count("_p").alias("n_peaks"), F.avg("_p").alias("peak_mean"))
+    rows = rows.withColumn("_d", F.col("phasic") - F.lag("phasic").over(o))
+    rows = rows.withColumn("_i", F.row_number().over(o))
+    most = rows.groupBy(*keys).agg(F.regr_slope("tonic", "_i").alias("tonic_slope"), F.avg("phasic").alias("phasic_mean"), F.stddev_pop("phasic").alias("phasic_sd"), F.max("phasic").alias("phasic_max"), F.stddev_pop("_d").alias("derivative_sd"))
+
+    def kernel(t: np.ndarray, x: np.ndarray) -> dict:
+        found = w.peaks(x, height=0.05, distance=10)
+        return {"n_peaks": len(found), "peak_mean": float(x[found].mean()) if len(found) else None}
+
+    tops = per_recording(rows, keys, "n_peaks long, peak_mean double", kernel, value="phasic").drop("status")
+    return most.join(tops, keys, "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0).cast("long")))
+
+
+def method_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n_recordings): how often each method, class or status occurred, for the run's log."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns))
+    return rows.select(F.explode(pairs).alias("_p")).groupBy("_p.column", "_p.value").agg(F.count(F.lit(1)).alias("n_recordings"))
 
 
 def long_enough(df: DataFrame, keys: list[str], least: int) -> DataFrame:

@@ -79,17 +79,27 @@ def agreement(labels: DataFrame, a: str, b: str, keys: list[str] | None = None)
     return j.select(*keys, F.when(top == expected, 1.0).otherwise((F.col("c") - expected) / (top - expected)).alias("ari"), "n")
 
 
-def run_agreement(runs: DataFrame, key: str = "id", least: int = 10) -> DataFrame:
-    """(run_a, run_b, ari, n) of every pair of runs (run, id, cluster), on the rows both hold, at least `least`."""
-    a = runs.select("run", key, "cluster")
-    b = a.select(F.col("run").alias("run_b"), key, F.col("cluster").alias("cluster_b"))
-    both = a.join(b, key).where("run < run_b").withColumnRenamed("run", "run_a")
-    return agreement(both, "cluster", "cluster_b", ["run_a", "run_b"]).where(F.col("n") >= least)
+def run_agreement(runs: DataFrame, key: str = "id", least: int = 10, by: list[str] | None = None) -> DataFrame:
+    """(by, run_a, run_b, ari, n) of every pair of runs (run, id, cluster) of one group, on the rows both hold, at least `least`."""
+    by = by or []
+    a = runs.select(*by, "run", key, "cluster")
+    b = a.select(*by, F.col("run").alias("run_b"), key, F.col("cluster").alias("cluster_b"))
+    both = a.join(b, [*by, key]).where("run < run_b").withColumnRenamed("run", "run_a")
+    return agreement(both, "cluster", "cluster_b", [*by, "run_a", "run_b"]).where(F.col("n") >= least)
 
 
-def spread(pairs: DataFrame, value: str = "ari") -> DataFrame:
+def against_first(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, mean_first, min_first): agreement of the other runs with the first one, of run_agreement's rows."""
+    by = by or []
+    first = pairs.groupBy(*by).agg(F.min("run_a").alias("run_a"))
+    own = pairs.join(first, [*by, "run_a"]) if by else pairs.join(first, "run_a")
+    return own.groupBy(*by).agg(F.avg("ari").alias("mean_first"), F.min("ari").alias("min_first"))
+
+
+def spread(pairs: DataFrame, value: str = "ari", by: list[str] | None = None) -> DataFrame:
+    """Mean, median and the like of a few values, or of those of each group."""
     x = F.col(value)
-    return pairs.agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.expr(f"percentile({value}, 0.1)").alias("p10"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n_pairs"))
+    return pairs.groupBy(*(by or [])).agg(F.avg(x).alias("mean"), F.median(x).alias("median"), F.expr(f"percentile({value}, 0.1)").alias("p10"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("sd"), F.count(x).alias("n_pairs"))
 
 
 def subsamples(ids: DataFrame, key: str, runs: int, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -200,8 +210,14 @@ def sizes_text(df: DataFrame, keys: list[str], cluster: str = "cluster") -> Data
     return n.groupBy(*keys).agg(F.array_join(named, ", ").alias("sizes"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
 
 
+def mark_usable(candidates: DataFrame, least_size: int = 10, least_ari: float = 0.60) -> DataFrame:
+    """candidates with `usable`: clusters large enough, and runs that agree where that is known."""
+    ok = (F.col("min_size") >= least_size) & (F.col("ari").isNull() | (F.col("ari") >= least_ari))
+    return candidates.withColumn("usable", F.coalesce(ok, F.lit(False)))
+
+
 def usable(candidates: DataFrame, least_size: int = 10, least_ari: float = 0.60) -> DataFrame:
     """Usable candidates, or all of them where none is."""
-    ok = (F.col("min_size") >= least_size) & (F.col("ari").isNull() | (F.col("ari") >= least_ari))
-    marked = candidates.withColumn("usable", F.coalesce(ok, F.lit(False)))
-    return marked.join(F.broadcast(marked.agg(F.max("usable").alias("_any"))), F.col("usable") | ~F.coalesce("_any", F.lit(False))).drop("_any")
+    marked = mark_usable(candidates, least_size, least_ari)
+    some = marked.agg(F.max("usable").alias("_any"))
+    return marked.join(some, F.col("usable") | ~F.coalesce("_any", F.lit(False))).drop("_any")

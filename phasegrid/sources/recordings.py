@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,75 @@ def latest(manifest: DataFrame, value: str, at: str = "created_at") -> DataFrame
     return manifest.agg(F.max_by(value, at).alias(value), F.max(at).alias(at))
 
 
+def log_run(spark: SparkSession, folder: str, run: str, params: dict, metrics: dict, config: dict | None = None, metadata: dict | None = None, parent: str | None = None, created_at: str | None = None) -> None:
+    """Append a run to the tables under folder: runs (run, parent, created_at, config, metadata), run_params and run_metrics (run, name, value)."""
+    at = created_at or datetime.now(timezone.utc).isoformat(timespec="seconds")
+    text = lambda x: json.dumps(x or {}, sort_keys=True, default=str, ensure_ascii=False)
+    add = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    add([(run, parent, at, text(config), text(metadata))], "run string, parent string, created_at string, config string, metadata string", "runs")
+    add([(run, k, str(v)) for k, v in params.items()], "run string, name string, value string", "run_params")
+    add([(run, k, None if v is None else float(v)) for k, v in metrics.items()], "run string, name string, value double", "run_metrics")
+
+
+def latest_run(spark: SparkSession, folder: str, parent: str | None = None) -> str | None:
+    """The run logged last (among those of a parent)."""
+    runs = spark.read.parquet(f"{folder}/runs")
+    return latest(runs.where(F.col("parent") == parent) if parent else runs, "run").first()[0]
+
+
+def label_sets(labels: DataFrame) -> DataFrame:
+    """(key, model, k, kind) of the partitions in a label table, read from keys such as gmm_k3_full."""
+    key = F.col("key")
+    part = lambda n: F.regexp_extract(key, r"^([a-z]+)_k(\d+)(?:_(\w+))?$", n)
+    return labels.select("key").distinct().select("key", part(1).alias("model"), part(2).try_cast("int").alias("k"), F.when(part(3) != "", part(3)).alias("kind"))
+
+
+def feature_metadata(spark: SparkSession, rows: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """(feature, source, representing, target): what stood in three header rows above the data."""
+    return spark.createDataFrame([(k, *v) for k, v in rows.items()], "feature string, source string, representing string, target string")
+
+
+def variable_groups(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
+    """(feature, block): each variable with its group; one that several groups name raises."""
+    rows = [(f, g) for g, names in groups.items() for f in names]
+    if len({f for f, _ in rows}) < len(rows):
+        raise ValueError("a variable stands in two groups")
+    return spark.createDataFrame(rows, "feature string, block string")
+
+
+def block_file(manifest: DataFrame, block: str) -> str:
+    """The path of a block's correlation table by the manifest (block, path, ...); KeyError if it has none."""
+    found = manifest.where(F.lower(F.trim("block")) == block.strip().lower()).select("path").first()
+    if found is None:
+        raise KeyError(block)
+    return found[0]
+
+
+def read_config(path: str | None, overrides: list[str] = (), base: dict | None = None) -> dict:
+    """A configuration: base, then the file (YAML if PyYAML is there, else JSON), then overrides such as a.b=3; values are read as JSON where they are."""
+    out = dict(base or {})
+    if path:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        try:
+            import yaml
+
+            own = yaml.safe_load(text) or {}
+        except ImportError:
+            own = json.loads(text)
+        out = merged_config(out, own)
+    for item in overrides:
+        name, _, value = item.partition("=")
+        try:
+            value = json.loads(value)
+        except ValueError:
+            pass
+        for part in reversed(name.split(".")):
+            value = {part: value}
+        out = merged_config(out, value)
+    return out
+
+
 def config_hash(config: dict) -> str:
     """Ten characters that stand for a configuration."""
     return hashlib.md5(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:10]

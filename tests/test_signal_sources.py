@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phasegrid.functions import columns as C
 from phasegrid.functions import waves as w
-from phasegrid.operators import series, signal
+from phasegrid.operators import scale, series, signal
 from phasegrid.plans import study
 from phasegrid.sources import recordings as R
 
@@ -139,13 +139,68 @@ def test_study_end_to_end(spark, tmp_path):
     traits = [(i, None if k == 0 and i % 3 == 0 else r.random(), r.random(), k) for i in ids for k in range(2)]
     make = spark.createDataFrame
     f = study.long_features(make(minute, "id int, env string, feature string, minute int, value double"), make(survey, "id int, env string, time_min int, tsv double, tcv double, p double, m double"), make(load, "id int, env string, score double"), make(traits, "id int, m double, p double, row int"))
-    config = study.Config(structure="PHY PSY", ks=(2,), kinds=("diag",), n_init=2)
-    other = make([(i, float(i % 2) + r.random(), r.random()) for i in ids], "id int, one double, two double")
-    got = study.run(spark, f, other, str(tmp_path), config, "2024-01-01")
+    config = study.Config(structure="PHY PSY", ks=(2,), kinds=("diag",), n_init=2, mixture_init=2, seed_runs=3, subsample_runs=4, n_perm=40)
+    other = make([(i, float(i % 2) + r.random(), r.random(), float((i % 2) ^ (i == 5))) for i in ids], "id int, one double, two double, flag double")
+    got = study.run(spark, f, other, str(tmp_path), config, "2024-01-01", axes=("flag",))
     best = got["candidates"].first()
     assert best["sizes"] == "C0:18, C1:18" and len(study.report(got["candidates"]).splitlines()) == 3
     assert got["tests"].where("feature = 'one'").first()["p_holm"] < 0.01
     assert spark.read.parquet(f"{tmp_path}/manifest").count() == 1 and got["matrix"].count() == 36
+    # Agreement is known for every candidate, and decides what is usable.
+    rows = got["candidates"].collect()
+    assert all(x["seed_ari"] is not None and x["ari"] is not None and x["n_pairs"] == 6 for x in rows)
+    assert all(x["usable"] == (x["min_size"] >= 10 and x["ari"] >= 0.60) for x in rows)
+    assert {x["mode"]: x["p"] <= 2 / 41 for x in got["global"].collect()} == {"continuous": True, "binary": True}
+    assert got["binary_tests"].first()["p_holm"] < 0.01 and got["binary_pairs"].first()["p_holm"] < 0.01 and got["binary_tables"].agg(F.sum("n")).first()[0] == 36
+    assert got["distances"].count() == 36 * 35 // 2 and got["embedding"].columns == ["id", "cluster", "pc1", "pc2"]
+    assert got["coclustering"].where("row = col").count() == 36 and len(study.posthoc_report(got).splitlines()) == 5
+    assert {x["model"] for x in R.label_sets(got["labels"]).collect()} == {"kmeans", "ward", "gmm"}
+    mark = R.latest_run(spark, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/run_metrics").where(f"run = '{mark}' and name = 'best_silhouette'").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/{mark}/interpretation").count() == 2
+
+
+def test_entry_points(spark, tmp_path):
+    from phasegrid.__main__ import config_of, main
+
+    r = random.Random(3)
+    make, ids = spark.createDataFrame, range(24)
+    folder = str(tmp_path / "tables")
+    make([(i, f"{n}_sd", 4.0 * (i % 2) + r.random()) for i in ids for n in ("tsv", "tcv")], "id int, feature string, value double").write.parquet(f"{folder}/features")
+    make([(i, i % 2 + r.random()) for i in ids], "id int, one double").write.parquet(f"{folder}/people")
+    (tmp_path / "c.json").write_text('{"ks": [2], "kinds": ["diag"], "n_init": 2}')
+    common = ["--config", str(tmp_path / "c.json"), "--tables", folder, "--out", str(tmp_path / "out")]
+    assert main(["cluster", *common, "--no-stability", "structure=PSY", "mixture_init=1", "n_perm=20", "pair_tables=false"], spark) == 0
+    assert main(["posthoc", *common, "n_perm=20"], spark) == 0
+    mark = R.latest_run(spark, str(tmp_path / "out"))
+    assert spark.read.parquet(f"{tmp_path}/out/{mark}/posthoc/global").first()["p"] <= 1 / 21 + 1e-9
+    with pytest.raises(KeyError):
+        config_of({"colour": 1})
+
+
+def test_lookup_tables(spark):
+    groups = R.variable_groups(spark, {"PHY": ["hr", "eda"], "PSY": ["tsv"]})
+    assert {(x.feature, x.block) for x in groups.collect()} == {("hr", "PHY"), ("eda", "PHY"), ("tsv", "PSY")}
+    with pytest.raises(ValueError):
+        R.variable_groups(spark, {"A": ["x"], "B": ["x"]})
+    manifest = spark.createDataFrame([("SUR", "a.csv"), ("EUP", "b.csv")], "block string, path string")
+    assert R.block_file(manifest, " sur") == "a.csv"
+    with pytest.raises(KeyError):
+        R.block_file(manifest, "none")
+    assert R.feature_metadata(spark, {"hr": ("ECG", "rate", "mean")}).first()["representing"] == "rate"
+    assert R.read_config(None, ["a.b=3", "c=x", "a.d=[1]"], {"a": {"e": 1}}) == {"a": {"e": 1, "b": 3, "d": [1]}, "c": "x"}
+
+
+def test_guards_and_limits(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "id int, x double")
+    with pytest.raises(Exception, match="nulls remain"):
+        scale.require_complete(df, ["x"]).select("id").collect()
+    with pytest.raises(KeyError):
+        scale.require_columns(df, ["y"])
+    assert scale.STRUCTURES["reactivity_only"] == ("PHY", "PSY", "TLX")
+    row = spark.createDataFrame([(-1.0, 5.0, float("nan"))], "a double, b double, c double").select(*(C.clipped(F.col(x), 0, 3).alias(x) for x in "abc")).first()
+    assert tuple(row) == (0.0, 3.0, None)
+    assert [x[0] for x in spark.createDataFrame([("남자",), ("woman",)], "s string").select(C.sex(F.col("s"))).collect()] == [1, 0]
 
 
 def test_streams(spark, tmp_path):
