@@ -620,6 +620,103 @@ def two_prop_z(t):
     return g.select(inference.two_proportions(*(F.col(c) for c in ("n1", "x1", "n2", "x2"))).alias("z"))
 
 
+TRAITS = "x as (select c_mktsegment as g, unnest(['balance', 'nation']) as feature, unnest([c_acctbal / 1000, c_nationkey]) as v from customer), g as (select feature, g, count(v) as n, avg(v) as m, var_samp(v) as v from x group by 1, 2)"
+
+
+@query(
+    f"with {TRAITS}, w as (select *, n / v as w from g), q as (select feature, sum(w) as tw, sum(w * m) / sum(w) as tm, count(*) as k from w group by 1), s as (select feature, k, sum(w * (m - tm) ** 2) as s, sum((1 - w / tw) ** 2 / (n - 1)) as t from w join q using (feature) group by 1, 2), "
+    "e as (select feature, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) as b, sum((n - 1) * v) as w from g group by 1) "
+    f"select feature, {R('(s / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * t)', 'f')}, k - 1 as df1, {R('(k * k - 1) / (3 * t)', 'df2')}, {R('b / (b + w)', 'eta2')} from s join e using (feature)"
+)
+def trait_statistics(t):
+    """Welch's F and eta squared of several traits by one aggregate over their long form."""
+    rows = t("customer").select("c_mktsegment", (F.col("c_acctbal") / 1000).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))
+    moments = inference.group_moments(rank.long_features(rows, ["c_mktsegment"], ["balance", "nation"]), "c_mktsegment", "value", ["feature"])
+    return inference.welch(moments, ["feature"]).join(inference.eta_squared(moments, ["feature"]), "feature")
+
+
+LANGS = "g as (select lang, count(*) as n, count(*) filter (toxic = 0) as x from labels join documents using (doc_id) where toxic is not null and lang is not null group by 1)"
+
+
+@query(
+    f"with {LANGS}, p as (select a.lang as a, b.lang as b, a.n as n1, a.x as x1, b.n as n2, b.x as x2, (a.x + b.x) / (a.n + b.n) as p, least(a.n, b.n) * least(a.x + b.x, a.n + b.n - a.x - b.x) / (a.n + b.n) as least from g a join g b on a.lang < b.lang) "
+    f"select a, b, case when least < 5 then 'fisher' else 'z' end as test, {R('case when least >= 5 then (x1 / n1 - x2 / n2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) end', 'z')} from p"
+)
+def share_pairs(t):
+    """Pairs of languages by their share of clean documents, with the test that fits each pair."""
+    rows = t("labels").join(t("documents").select("doc_id", "lang"), "doc_id").select("lang", "toxic")
+    return inference.binary_tests(rows, "lang", ["toxic"], alpha=1.1)["pairs"].select("a", "b", "test", "z")
+
+
+@query(f"with x as (select c_mktsegment as g, c_acctbal > 4500 as a, c_nationkey < 12 as b from customer), u as (select g, unnest([a, b])::int as v, unnest([0, 1]) as i from x), c as (select i, g, count(*) as n, sum(v) as x from u group by 1, 2), w as (select *, sum(n) over (partition by i) as big, sum(x) over (partition by i) as hit from c) select {R('sum((x - n * hit / big) ** 2 / (n * hit / big) + (x - n * hit / big) ** 2 / (n * (1 - hit / big)))', 'chi2')} from w")
+def summed_chi2(t):
+    rows = t("customer").select("c_mktsegment", (F.col("c_acctbal") > 4500).cast("double").alias("a"), (F.col("c_nationkey") < 12).cast("double").alias("b"))
+    return inference.summed_chi2(rows, "c_mktsegment", ["a", "b"])
+
+
+BEATS = f"{GAPS}, i as (select user_id as subject, ts, event_id, 600 + rr % 500 as rr from g where rr is not null), c as (select *, sum(rr) over (partition by subject order by ts, event_id rows unbounded preceding) / 1000 as t_sec from i), m as (select *, floor(t_sec / 60)::int + 1 as minute from c where rr between 300 and 2000 and t_sec < 1200)"
+
+
+@query(
+    f"with {BEATS}, d as (select *, rr - lag(rr) over (partition by subject, minute order by t_sec) as d from m), a as (select subject, minute, count(*) as n, avg(rr) as mrr, stddev_pop(rr) as sd, sqrt(avg(d * d)) as rm from d group by 1, 2) "
+    f"select subject, u.minute, coalesce(a.n, 0) as n, {R('case when n >= 5 then 60000 / mrr end', 'hr')}, {R('case when n >= 5 then sd end', 'sdnn')}, {R('case when n >= 5 then rm end', 'rmssd')} from (select distinct subject, unnest(range(1, 21))::int as minute from c) u left join a using (subject, minute)"
+)
+def heart_minute_grid(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rr = gaps(t).where("rr is not null").withColumn("rr", 600 + F.col("rr") % 500).withColumn("t_sec", F.sum("rr").over(w) / 1000)
+    got = signal.heart_minutes(rr.select(F.col("user_id").alias("subject"), "t_sec", "rr"), ["subject"])
+    return got.select("subject", "minute", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "hr", "sdnn", "rmssd")
+
+
+@query("select count(*) as n, sum(l_orderkey)::bigint as id, " + R("avg(l_quantity)", "mean_time_min") + " from lineitem")
+def normalised_names(t):
+    """Names made regular, canonical ones given, columns found whatever their case."""
+    odd = t("lineitem").select(F.col("l_orderkey").alias(" No"), F.col("l_quantity").alias("Time (min)"))
+    rows = C.normal_names(odd)
+    at = C.find_column(rows, "TIME_MIN")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id"), F.avg(at).alias(f"mean_{at}"))
+
+
+@query(f"with {M}, w as (select user_id, event_type, minute, avg(value) as v from m where minute in (1, 5, 10) group by 1, 2, 3) select user_id, event_type, {R('avg(v)', 'mean_ev')} from w group by 1, 2")
+def prefix_row_mean(t):
+    wide = phase.pivot_minutes(minutes(t("events")).where("minute in (1, 5, 10)"), ["user_id", "event_type"], (1, 5, 10), "ev")
+    return wide.select("user_id", "event_type", C.row_mean(*(F.col(c) for c in C.minute_columns(wide, "ev").values())).alias("mean_ev"))
+
+
+@query("select c_custkey as id, count(*) as n_rows from (select c_custkey, unnest([c_acctbal::varchar, 'n/a', '—']) as v from customer) where try_cast(v as double) is not null group by 1")
+def numbers_only(t):
+    """Rows whose value is a number, as ids are kept."""
+    rows = t("customer").select("c_custkey", F.explode(F.array(F.col("c_acctbal").cast("string"), F.lit("n/a"), F.lit("—"))).alias("v"))
+    return rows.where(C.number(F.col("v")).isNotNull()).groupBy(F.col("c_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("select unnest(['c_acctbal', 'c_nationkey']) as feature, unnest([count(c_acctbal), count(c_nationkey)]) as n_known from customer")
+def informative_columns(t):
+    """Columns with several values in enough rows; constant and empty ones are dropped."""
+    rows = t("customer").select("c_acctbal", "c_nationkey", F.lit(1.0).alias("same"), F.lit(None).cast("double").alias("none"))
+    kept = scale.informative(rows, rows.columns)
+    return rank.long_features(rows, [], kept).groupBy("feature").agg(F.count("value").alias("n_known"))
+
+
+@query(f"with {SUPPLIER} select count(*) as n from x where d is not null and q is not null")
+def listwise_rows(t):
+    return supplier(t).dropna(subset=["d", "q"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {VEC}, p as (select a.vec_id as id_a, b.vec_id as id_b, {GAP.format('a.x', 'b.x')} as d from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id) select id_a, id_b, {R('d', 'distance')} from p")
+def distances_of_some(t):
+    """The rows asked for against all others."""
+    return validity.distances(vectors(t), "vec_id", F.col("vec_id") % 100 == 0)
+
+
+@query("with b as (select unnest(['static', 'dynamic', 'other']) as phase, unnest([10, 20, 31]) as upto, unnest([1, 11, 21]) as low) select phase, count(*) as n from events join b on dayofmonth(ts) between low and upto group by 1")
+def block_lookup(t):
+    """Rows matched with a small table of blocks."""
+    m = minutes(t("events")).select(F.coalesce(C.minute_phase(F.col("minute")), F.lit("other")).alias("phase"))
+    known = m.sparkSession.createDataFrame([("static",), ("dynamic",), ("other",)], "phase string")
+    return m.join(known, "phase").groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
+
+
 BLOCKS = {"QUANTITY": ["q", "e"], "RATE": ["d", "t"]}
 
 
@@ -709,11 +806,16 @@ def pairwise_shares(t):
     return rows.sparkSession.createDataFrame([(g["a"], g["b"], g["test"], g["p"]) for g in got], "a string, b string, test string, p double")
 
 
-@query()
+@query(
+    "with x as (select l_quantity as a, l_discount as b, l_extendedprice / 1000 as y from lineitem), m as (select count(*) as n, avg(a) as ma, avg(b) as mb, avg(y) as my, var_pop(a) as saa, var_pop(b) as sbb, covar_pop(a, b) as sab, covar_pop(a, y) as say, covar_pop(b, y) as sby, var_pop(y) as syy from x), "
+    "s as (select *, saa * sbb - sab * sab as det from m), c as (select *, (sbb * say - sab * sby) / det as ca, (saa * sby - sab * say) / det as cb from s), r as (select *, n * (syy - ca * say - cb * sby) as rest from c), v as (select *, rest / (n - 3) as v, 1 - rest / (n * syy) as r2 from r), "
+    "o as (select 'intercept' as term, my - ca * ma - cb * mb as coef, sqrt(v / n * (1 + (ma * ma * sbb - 2 * ma * mb * sab + mb * mb * saa) / det)) as se, r2, n from v union all select 'l_quantity', ca, sqrt(v / n * sbb / det), r2, n from v union all select 'l_discount', cb, sqrt(v / n * saa / det), r2, n from v) "
+    f"select term, {R('coef', 'coef')}, {R('se', 'se')}, {R('r2', 'r2')}, {R('1 - (1 - r2) * (n - 1) / (n - 3)', 'adj_r2')} from o"
+)
 def least_squares(t):
     rows = t("lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("price"))
     g = linear.least_squares(rows, "price", ["l_quantity", "l_discount"])
-    return rows.sparkSession.createDataFrame([(n, float(c), float(s), float(p), float(g["r2"])) for n, c, s, p in zip(g["names"], g["coef"], g["se"], g["p"])], "term string, coef double, se double, p double, r2 double")
+    return rows.sparkSession.createDataFrame([(n, float(c), float(e), float(g["r2"]), float(g["adj_r2"])) for n, c, e in zip(g["names"], g["coef"], g["se"])], "term string, coef double, se double, r2 double, adj_r2 double")
 
 
 @query()
@@ -764,4 +866,9 @@ def fourier_resample(t):
     return signal.resampled(recordings(t), RECORDING, 1.0)
 
 
-QUERIES["flagship"] = flagship
+QUERIES["flagship"] = lambda spark, sf_dir: rounded(flagship(spark, sf_dir))
+ORACLES["flagship"] = (
+    f"with {M}, d as (select user_id, event_type, avg(value) filter (minute between 11 and 20) - avg(value) filter (minute between 1 and 10) as delta from m where user_id is not null and event_type is not null group by 1, 2), "
+    "r as (select user_id, stddev_samp(delta) as s, count(delta)::double as n from d group by 1), i as (select user_id, coalesce(s, (select avg(s) from r)) as s, n from r), p as (select *, avg(s) over () as ms, stddev_pop(s) over () as ss, avg(n) over () as mn, stddev_pop(n) over () as sn from i) "
+    f"select user_id, {R('case when ss > 0 then (s - ms) / (ss * sqrt(2)) else 0 end', 'reactivity_sd')}, {R('case when sn > 0 then (n - mn) / (sn * sqrt(2)) else 0 end', 'n_env')} from p"
+)
