@@ -111,4 +111,41 @@ ORACLES: dict[str, str] = {
                case when m.first_id < p.page_id then m.first_id end as refers_to
         from p left join m on p.g = m.g and p.n >= 100
     """,
+    # Every window of 400 bytes by its digest; covered bytes are gaps and islands of the repeated starts.
+    "op2_suffix_dedup": r"""
+        with d as (select doc_id, row_number() over () as r, encode(coalesce(text, '')) as h from documents),
+             n as (select r, doc_id, h, octet_length(h) as n from d),
+             w as (select r, unnest(range(0, n - 399)) as s, h from n where n >= 400),
+             k as (select r, s, md5(h[s + 1:s + 400]) as k from w),
+             m as (select k from k group by k having count(*) > 1),
+             p as (select r, s from k join m using (k)),
+             g as (select r, s, case when s > lag(s) over (partition by r order by s) + 400 or lag(s) over (partition by r order by s) is null then 1 else 0 end as fresh from p),
+             u as (select r, s, sum(fresh) over (partition by r order by s rows unbounded preceding) as u from g),
+             z as (select r, u, min(s) as a, max(s) + 400 as b from u group by r, u),
+             y as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from z),
+             x as (select r, sum(b - a) as gone, count(*) as spans, max(b) as last, string_agg(hex(h[before + 1:a]), '' order by a) as kept from y join n using (r) group by r)
+        select doc_id, n::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+               sha256(case when x.r is null then h else unhex(kept) || h[last + 1:n] end) as kept_sha256
+        from n left join x using (r)
+    """,
+    # Sets of equal shingles once; candidates by prefix filtering, which loses no pair at 0.8; then whole sets.
+    "op10_minmax_near_dedup": r"""
+        with recursive d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+             w as (select doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+             s as (select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else [] end as s from w),
+             f as (select doc_id, len(s) as n, md5(array_to_string(list_sort(s), chr(10))) as g from s),
+             c as (select min(doc_id) as id, g from f where n > 0 group by g),
+             k as (select c.id, len(s) as n, s from c join s on s.doc_id = c.id),
+             e as (select id, n, unnest(s) as x from k),
+             r as (select x, count(*) as c from e group by x),
+             o as (select id, n, x, row_number() over (partition by id order by c, x) as p from e join r using (x)),
+             h as (select * from o where p <= n - (8 * n + 9) // 10 + 1),
+             q as (select distinct a.id as a, b.id as b from h a join h b on a.x = b.x and a.id < b.id and 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+             i as (select q.a, q.b, len(list_intersect(x.s, y.s)) as m, x.n as p, y.n as q from q join k x on x.id = q.a join k y on y.id = q.b),
+             l as (select a, b from i where 100 * m >= 80 * (p + q - m) union select b, a from i where 100 * m >= 80 * (p + q - m)),
+             t as (select id as node, id as root from c union select l.b, t.root from t join l on l.a = t.node where t.root < l.b),
+             v as (select node, min(root) as root from t group by node)
+        select f.doc_id, f.n::bigint as n_shingles, coalesce(v.root, f.doc_id) as component_id, f.doc_id = coalesce(v.root, f.doc_id) as kept
+        from f left join c on c.g = f.g and f.n > 0 left join v on v.node = c.id
+    """,
 }
