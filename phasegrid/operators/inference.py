@@ -100,16 +100,42 @@ def pairwise_shares(df: DataFrame, group: str, flag: str) -> list[dict]:
     return out
 
 
-def _relabelled(df: DataFrame, key: str, group: str, columns: list[str], n_perm: int, seed: int, batch: int = 200) -> Iterator[DataFrame]:
-    """Batches of (_run, _g, columns): permutation r pairs the rows in the order of hash(seed, r, key) with the labels in key order."""
-    from .order import cut, positions
+MOST_GROUPS = 1000
 
-    rows = cut(positions(df.select(key, F.col(group).alias("_g"), *columns), [key], "_p"))
-    n, labels = rows.count(), rows.select("_p", "_g")
+
+def _relabelled(df: DataFrame, key: str, group: str, columns: list[str], n_perm: int, seed: int, batch: int = 500, bits: int = 10) -> Iterator[DataFrame]:
+    """Batches of (_run, _g, columns), the labels of df dealt out anew in each run. key is unique; more than MOST_GROUPS groups raise.
+
+    Permutation r ranks the rows by hash(seed, r, key) and gives the first n_1 places the first label, the next n_2 the second, and so on. Only
+    the hashes at the borders are looked up, in the one of 2**bits buckets that holds each, so nothing is sorted or joined row by row.
+    """
+    from pyspark.sql import Window
+
+    from .order import cut
+
+    rows = cut(df.select(key, *columns))
+    sizes = df.groupBy(group).count().orderBy(group).limit(MOST_GROUPS + 1).collect()
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"{group} has more than {MOST_GROUPS} groups")
+    borders, at = [], 0
+    for r in sizes[:-1]:
+        at += r["count"]
+        borders.append(at)
+    names = F.array(*(F.lit(r[group]) for r in sizes))
     for first in range(0, n_perm, batch):
         runs = df.sparkSession.range(first, min(first + batch, n_perm)).select(F.col("id").alias("_run"))
-        mixed = positions(rows.select(key, *columns).join(F.broadcast(runs), F.lit(True)).withColumn("_h", F.xxhash64(F.lit(seed), "_run", key)), ["_run", "_h", key], "_q")
-        yield mixed.withColumn("_p", (F.col("_q") - 1) % n + 1).drop("_q", "_h", key).join(labels, "_p")
+        mixed = rows.join(F.broadcast(runs), F.lit(True)).withColumn("_h", F.xxhash64(F.lit(seed), "_run", key))
+        if not borders:
+            yield mixed.withColumn("_g", F.element_at(names, 1)).drop("_h", key)
+            continue
+        mixed = mixed.withColumn("_b", F.shiftright("_h", 64 - bits))
+        upto = mixed.groupBy("_run", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_u", F.sum("_c").over(Window.partitionBy("_run").orderBy("_b")))
+        wanted = F.explode(F.filter(F.array(*(F.lit(x).cast("long") for x in borders)), lambda t: (t > F.col("_u") - F.col("_c")) & (t <= F.col("_u")))).alias("_t")
+        wanted = upto.select("_run", "_b", (F.col("_u") - F.col("_c")).alias("_before"), wanted)  # batch * groups rows at most
+        place = F.row_number().over(Window.partitionBy("_run", "_t").orderBy("_h")) + F.col("_before")
+        limits = mixed.select("_run", "_b", "_h").join(F.broadcast(wanted), ["_run", "_b"]).withColumn("_i", place).where("_i = _t").groupBy("_run").agg(F.collect_list("_h").alias("_limits"))
+        dealt = mixed.join(F.broadcast(cut(limits)), "_run")
+        yield dealt.withColumn("_g", F.element_at(names, F.size(F.filter("_limits", lambda x: x < F.col("_h"))) + 1)).drop("_h", "_b", "_limits", key)
 
 
 def permutation_profile(df: DataFrame, key: str, group: str, columns: list[str], n_perm: int = 999, seed: int = 42) -> dict:

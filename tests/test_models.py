@@ -40,7 +40,16 @@ def test_summed_chi2_is_that_of_the_tables(people):
 def test_binary_permutation_tells_signal_from_noise(people):
     _, df = people
     assert inference.binary_permutation(df, "id", "g", ["a"], 60)["p"] <= 2 / 61
-    assert inference.binary_permutation(df.withColumn("h", F.xxhash64("id") % 2 == 0), "id", "h", ["b"], 60)["p"] > 0.05
+    halves = df.withColumn("h", F.xxhash64("id") % 2 == 0)
+    known = [(x["h"], x["b"]) for x in halves.collect()]
+
+    def stat(hs):
+        pairs = [(h, b) for h, (_, b) in zip(hs, known) if b is not None]
+        return chi2([[sum(1 for h, b in pairs if h == i and b == j) for j in (0, 1)] for i in (False, True)], True)
+
+    seen, r = stat([h for h, _ in known]), np.random.default_rng(1)
+    p = np.mean([stat(r.permutation([h for h, _ in known])) >= seen - 1e-9 for _ in range(600)])
+    assert inference.binary_permutation(halves, "id", "h", ["b"], 500)["p"] == pytest.approx(p, abs=0.04)
 
 
 def test_binary_tests_and_pairs(people):
@@ -131,3 +140,14 @@ def test_label_order_and_words(spark):
     assert got == [(1, 3, 2.0), (2, 1, 3.0), (2, 3, 1.0)]
     p = spark.createDataFrame([(0, "a", 1.5), (0, "b", -2.0), (0, "c", 0.1)], "cluster int, feature string, z_value double")
     assert validity.interpretation(p, 1).first()["text"] == "high: a (+1.50); low: b (-2.00)"
+
+
+def test_relabelling_keeps_sizes_and_shuffles_evenly(people):
+    rows, df = people
+    frames = list(inference._relabelled(df.where("id < 60"), "id", "g", ["a"], 300, 7, batch=200, bits=3))
+    each = [f.groupBy("_run", "_g").count().collect() for f in frames]
+    assert {r["count"] for e in each for r in e} == {20} and sum(len(e) for e in each) == 900
+    means = [r["m"] for f in frames for r in f.where("_g = 0").groupBy("_run").agg(F.avg("a").alias("m")).collect()]
+    whole = np.mean([x[2] for x in rows[:60]])
+    assert np.mean(means) == pytest.approx(whole, abs=0.02)
+    assert np.std(means) == pytest.approx(np.sqrt(whole * (1 - whole) / 20 * 40 / 59), rel=0.15)
