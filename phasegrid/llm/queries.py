@@ -80,7 +80,14 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import Plan, resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Plan()).drop("n_words")
+
+
 QUERIES = {
+    "op13_importance_resampling": op13_importance_resampling,
     "op7_threshold_topk": op7_threshold_topk,
     "op8_piece_coding": op8_piece_coding,
     "op4_bigru_toxicity": op4_bigru_toxicity,
@@ -148,4 +155,22 @@ ORACLES: dict[str, str] = {
         select f.doc_id, f.n::bigint as n_shingles, coalesce(v.root, f.doc_id) as component_id, f.doc_id = coalesce(v.root, f.doc_id) as kept
         from f left join c on c.g = f.g and f.n > 0 left join v on v.node = c.id
     """,
+    # Unsigned CRC-32 by its table of 256; counts by bucket, then the same doubles.
+    "op13_importance_resampling": r"""
+        with tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+             src as (select row_number() over () as r, doc_id, 0 as side, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+                     union all select null, null, 1, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+             o as (select r, side, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from src),
+             c as (select r, side, w, count(*) as n from o group by r, side, w),
+             u as (select distinct w, encode(w) as h from c),
+             k as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(h)), lambda j: ('0x' || hex(h[j + 1:j + 1]))::bigint)), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 10000 as b from u, tab),
+             b as (select b, coalesce(sum(n) filter (where side = 0), 0)::bigint as s, coalesce(sum(n) filter (where side = 1), 0)::bigint as t from c join k using (w) group by b),
+             z as (select sum(s)::bigint as s, sum(t)::bigint as t from b),
+             g as (select b.b, floor(1000 * ln(((b.t + 1) * (z.s + 10000))::double / ((b.s + 1) * (z.t + 10000))::double))::bigint as gain from b, z),
+             f as (select r, sum(n)::bigint as n, floor(sum(n * gain)::bigint / sum(n)::bigint)::bigint as weight from c join k using (w) join g using (b) where side = 0 group by r),
+             d as (select doc_id, coalesce(f.n, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[:8])::bigint as h from src left join f using (r) where side = 0),
+             e as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from d),
+             p as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id, n_features) end as place, count(*) filter (where n_features >= 20) over () as able from e)
+        select doc_id, n_features::bigint as n_features, weight, score, case when place <= 10 * able // 100 then place end as rank from p
+    """,
 }
