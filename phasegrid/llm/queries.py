@@ -80,6 +80,12 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import Plan, resample
 
@@ -87,6 +93,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op12_page_differencing": op12_page_differencing,
     "op13_importance_resampling": op13_importance_resampling,
     "op7_threshold_topk": op7_threshold_topk,
     "op8_piece_coding": op8_piece_coding,
