@@ -80,6 +80,14 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_time_forward_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import Shape, borrowed_heads, prefix_trie
+
+    turns = table(spark, sf_dir, "conversations")
+    own = F.col("conv_id")
+    return prefix_trie(borrowed_heads(turns, own - own % 100, F.crc32(own.cast("string")) % 6, most=5), Shape())
+
+
 def op12_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import main_text
 
@@ -93,6 +101,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op11_time_forward_trie": op11_time_forward_trie,
     "op12_page_differencing": op12_page_differencing,
     "op13_importance_resampling": op13_importance_resampling,
     "op7_threshold_topk": op7_threshold_topk,
@@ -180,4 +189,23 @@ ORACLES: dict[str, str] = {
              p as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id, n_features) end as place, count(*) filter (where n_features >= 20) over () as able from e)
         select doc_id, n_features::bigint as n_features, weight, score, case when place <= 10 * able // 100 then place end as rank from p
     """,
+    # Every prefix by the list of its turns' digests; totals over all pairs of a node and an ancestor.
+    "op11_time_forward_trie": r"""
+        with tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+             o as (select conv_id as c, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as x, length(coalesce(text, '')) as n,
+                          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i from conversations where conv_id is not null),
+             l as (select c, list({'x': x, 'n': n} order by i) as t from o group by c),
+             h as (select c, t, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(c::varchar)), lambda j: ascii(substr(c::varchar, j + 1, 1))::bigint)), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295) % 6 as h from l, tab),
+             r as (select h.c, coalesce(b.t[:h], []) || h.t[h + 1:] as t from h left join l b on b.c = h.c - h.c % 100),
+             p as (select c, t, len(t) as size, unnest(range(len(t) + 1)) as d from r),
+             k as (select c, d, size, md5(array_to_string(list_transform(t[:d], lambda z: z.x), ',')) as k, case when d > 0 then t[d].n else 0 end as chars from p),
+             g as (select d, k, min(c) as node, count(*) as n_convs, any_value(chars) as chars, string_agg(c::varchar, ',' order by c) filter (where d = size) as ids from k group by d, k),
+             m as (select k.c, k.d, g.node, g.n_convs, g.chars from k join g using (d, k)),
+             v as (select g.d, g.node, g.n_convs, g.ids, u.node as parent, (g.n_convs - 1) * g.chars as saved from g left join m u on u.c = g.node and u.d = g.d - 1),
+             f as (select d - 1 as d, parent as node, count(*) as n from v where parent is not null group by d, parent),
+             w as (select v.d, v.node, v.saved, case when f.n is null then 1 else 0 end as leaf from v left join f using (d, node)),
+             s as (select a.d, a.node, sum(w.leaf)::bigint as leaves, sum(w.saved)::bigint as saved from w join m a on a.c = w.node and a.d <= w.d group by a.d, a.node)
+        select v.node as conv_id, v.d as depth, v.parent as parent_conv_id, v.n_convs::bigint as n_convs, coalesce(f.n, 0)::bigint as n_children, s.leaves as n_leaves, s.saved as saved_tokens, sha256(coalesce(v.ids, '')) as ends_sha256
+        from v join s using (d, node) left join f using (d, node)
+    """,
 }
