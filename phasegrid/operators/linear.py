@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dist import chi2_sf, normal_cdf, normal_ppf, t_sf2
+from ..functions.dist import chi2_sf, normal_cdf, t_sf2
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -339,45 +339,11 @@ def logistic_gee(df: DataFrame, target: str, predictors: list[str], group: str,
     return {"names": ["intercept", *predictors], "coef": beta, "se": se, "z": z, "p": [2 * normal_cdf(-abs(x)) if np.isfinite(x) else None for x in z], "alpha": alpha, "odds": np.exp(beta), "low": np.exp(beta - 1.959964 * se), "high": np.exp(beta + 1.959964 * se)}
 
 
-def _binormal(h: float, k: float, r: float) -> float:
-    """P(X < h, Y < k) with correlation r, by quadrature of Plackett's identity."""
-    x, w = np.polynomial.legendre.leggauss(48)
-    t = r / 2 * (x + 1)
-    h, k = max(min(h, 8.0), -8.0), max(min(k, 8.0), -8.0)
-    return normal_cdf(h) * normal_cdf(k) + float((r / 2 * w * np.exp(-(h * h - 2 * t * h * k + k * k) / (2 * (1 - t * t))) / (2 * np.pi * np.sqrt(1 - t * t))).sum())
-
-
 def polychoric(df: DataFrame, a: str, b: str) -> float:
-    """Correlation of the normal variables behind two ordered ones: thresholds from the margins, then one search over the contingency table (a few levels each)."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count().limit(MOST_LEVELS**2 + 1).collect()
-    if len(cells) > MOST_LEVELS**2:
-        raise ValueError(f"{a} and {b} have more than {MOST_LEVELS} levels each")
-    rows, cols = sorted({r[0] for r in cells}), sorted({r[1] for r in cells})
-    n = np.zeros((len(rows), len(cols)))
-    for x, y, c in cells:
-        n[rows.index(x), cols.index(y)] = c
-    if min(n.shape) < 2:
-        return float("nan")
-    cut_at = lambda m: [-8.0, *(normal_ppf(x) for x in np.cumsum(m)[:-1] / m.sum()), 8.0]
-    u, v = cut_at(n.sum(1)), cut_at(n.sum(0))
-
-    def loss(r: float) -> float:
-        c = np.array([[_binormal(h, k, r) for k in v] for h in u])
-        p = np.maximum(c[1:, 1:] - c[:-1, 1:] - c[1:, :-1] + c[:-1, :-1], 1e-12)
-        return -float((n * np.log(p)).sum())
-
-    lo, hi, golden = -0.999, 0.999, (math.sqrt(5) - 1) / 2
-    for _ in range(60):
-        x, y = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        lo, hi = (lo, y) if loss(x) < loss(y) else (x, hi)
-    return (lo + hi) / 2
-
-
-def polychoric_matrix(df: DataFrame, ordered: list[str], continuous: list[str] | None = None) -> list[dict]:
-    """r of each pair by kind: polychoric for two ordered variables, Pearson else (a mixed matrix)."""
-    names = [*ordered, *(continuous or [])]
-    plain = {frozenset((r["a"], r["b"])): r["r"] for r in pearson_long(df, names).collect()}
-    return [{"a": a, "b": b, "kind": "polychoric" if b in ordered else "pearson", "r": polychoric(df, a, b) if b in ordered else plain[frozenset((a, b))]} for i, a in enumerate(names) for b in names[i + 1 :]]
+    """Correlation of the normal variables behind two ordered ones; see mixed.polychoric_long for many at once."""
+    from .mixed import polychoric_long
+
+    return polychoric_long(df, [a, b])[0]["r"]
 
 
 def lower_triangle(pairs: DataFrame, order: list[str]) -> DataFrame:

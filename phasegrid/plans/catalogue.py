@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import cluster, inference, linear, order, phase, rank, scale, series, signal, validity
+from ..operators import cluster, inference, linear, mixed, order, phase, rank, scale, series, signal, validity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -774,10 +774,42 @@ def block_validity(t):
 
 @query()
 def polychoric_pair(t):
-    rows = t("part").select(F.least(F.floor(F.col("p_size") / 13), F.lit(3)).alias("a"), F.floor(F.log10(F.col("p_retailprice"))).alias("b"))
+    rows = t("part").select(F.least(F.floor(F.col("p_size") / 13), F.lit(3)).alias("a"), F.floor(F.col("p_retailprice") / 300).alias("b"))
     return rows.agg(F.count("*").alias("n")).withColumn("rho", F.lit(linear.polychoric(rows, "a", "b")))
 
 
+ORDERED, CONTINUOUS = ["qty_level", "l_linenumber"], ["l_extendedprice", "l_discount"]
+_LEVELLED = "select least(floor(l_quantity / 10), 4)::double as qty_level, l_linenumber::double as l_linenumber, l_extendedprice::double as l_extendedprice, l_discount::double as l_discount from lineitem"
+_LEVEL_PAIRS = " union all ".join(f"select '{a}' as a, '{b}' as b, {a} as x, {b} as y from l" for a in ORDERED for b in CONTINUOUS)
+_LEVEL_SUMS = f"l as ({_LEVELLED}), v as ({_LEVEL_PAIRS}), s as (select a, b, x, count(*) as n, sum(y) as t, sum(y * y) as q from v where x is not null and y is not null group by a, b, x)"
+
+
+def levelled(t):
+    return t("lineitem").select(F.least(F.floor(F.col("l_quantity") / 10), F.lit(4)).alias("qty_level"), *ORDERED[1:], *CONTINUOUS)
+
+
+@query(f"with {_LEVEL_SUMS} select a, b, x as level, n, {R('t', 'total')}, {R('q', 'squares')} from s")
+def polyserial_moments(t):
+    return mixed.level_moments(levelled(t), ORDERED, CONTINUOUS)
+
+
+@query(f"""with {_LEVEL_SUMS}, o as (select *, row_number() over (partition by a, b order by x) as p, sum(n) over (partition by a, b order by x) / sum(n) over (partition by a, b) as share from s),
+    u as (select *, case when share < 1 then list_reduce(list_prepend(0.0::double, list_transform(range(40), lambda i: i::double)),
+        lambda z, i: z - (0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(60), lambda k: pow(z, 2 * k + 1) * sqrt(pi()) / (pow(2, k + 1) * gamma(k + 1.5)))) - share) / (exp(-z * z / 2) / sqrt(2 * pi()))) end as cut from o),
+    m as (select a, b, sum(n) as n, sum(t) / sum(n) as mean, sum(q) / sum(n) - pow(sum(t) / sum(n), 2) as var, sum(n * p) / sum(n) as mid, sum(p * t) / sum(n) as joint, sum(exp(-cut * cut / 2) / sqrt(2 * pi())) as dens from u group by a, b)
+    select a, b, 'polyserial' as kind, {R('(joint - mid * mean) / sqrt(var) / dens', 'r')}, n::bigint as n from m""")
+def polyserial_pairs(t):
+    rows = levelled(t)
+    return rows.sparkSession.createDataFrame(mixed.polyserial_long(rows, ORDERED, CONTINUOUS), "a string, b string, kind string, r double, n long")
+
+
+@query()
+def mixed_matrix(t):
+    rows, names = levelled(t), [*ORDERED, *CONTINUOUS]
+    r = mixed.mixed_matrix(rows, ORDERED, CONTINUOUS, likelihood=True)
+    return rows.sparkSession.createDataFrame([(a, b, float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "row string, col string, r double")
+
+
 @query()
 def subsample_agreement(t):
     x = supplier_matrix(t)
