@@ -8,7 +8,7 @@ are deleted, unless the two pages are copies of each other: more than half of th
 main zone stay when shared, since two articles may quote the same passage; side lines always go. A page with a main zone gives no
 open lines.
 
-Only digests travel between pages: a task never holds a host, and texts are shuffled once, to meet their page's result.
+Only digests travel between pages: a task never holds a host, and the lines that may stay are shuffled once, to meet their page's result.
 
 Defined cases: null html is empty and has no text; a null or unreadable address counts as host and path of its own kind (empty);
 repeated rows are one page when pairing and each give a row; ties in nearness go to the earlier neighbour; an empty table gives no
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, cut, ranked
+from .common import cut, ranked
 
 # Elements whose text is never shown, elements that end a block, and elements without content.
 _UNSEEN = frozenset("script style noscript template iframe object svg math canvas audio video textarea title head xmp".split())
@@ -146,7 +146,7 @@ def _inside(name: str, attributes: str, zone: int) -> int:
 
 
 def digest(line: str) -> bytes:
-    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
 def common(a: list, b: list, most: int = 1 << 26) -> list[int]:
@@ -215,83 +215,111 @@ def _place(url: str | None) -> tuple[str, str]:
 
 
 def _key() -> F.Column:
-    return F.md5(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("page_id", "url", "html"))))
+    return F.unhex(F.md5(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("page_id", "url", "html")))))
 
 
 def digests(pages: DataFrame) -> DataFrame:
-    """(key, host, path, marks, zones, sizes) of each row: per line its digest, zone and number of characters."""
+    """(key, host, path, marks, zones, sizes) of each row: per line its digest of 64 bits and its zone; without a main zone, also the characters of each open line."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 found = lines_of(page or "")
-                rows.append((key, *_place(url), b"".join(digest(t) for t, _ in found), bytes(z for _, z in found), [len(t) for t, _ in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
+                sizes = [] if any(z == MAIN for _, z in found) else [len(t) for t, z in found if z == OPEN]
+                rows.append((key, *_place(url), b"".join(digest(t) for t, _ in found), bytes(z for _, z in found), np.array(sizes, np.uint32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_LINES.types)], names=_LINES.names)
 
-    return pages.select(_key().alias("key"), "url", "html").mapInArrow(read, "key string, host string, path string, marks binary, zones binary, sizes array<int>")
+    return pages.select(_key().alias("key"), "url", "html").mapInArrow(read, "key binary, host string, path string, marks binary, zones binary, sizes binary")
 
 
-_FIELDS = [("key", pa.string()), ("host", pa.string()), ("path", pa.string()), ("marks", pa.binary()), ("zones", pa.binary()), ("sizes", pa.list_(pa.int32()))]
+_LINES = pa.schema([("key", pa.binary()), ("host", pa.string()), ("path", pa.string()), ("marks", pa.binary()), ("zones", pa.binary()), ("sizes", pa.binary())])
 
 
-def paired(lines: DataFrame) -> DataFrame:
-    """lines of distinct pages, each with path and marks of the pages before and after it in its host's order (null where there is none)."""
-    one = lines.groupBy("key").agg(*(F.first(c).alias(c) for c in ("host", "path", "marks", "zones", "sizes")))
+def nearer(row: tuple, before: tuple | None, after: tuple | None) -> tuple | None:
+    """Of the rows (host, path, ...) before and after, that of the same host whose path begins more like this one's; the earlier of equals."""
+    before, after = (x if x is not None and x[0] == row[0] else None for x in (before, after))
+    if before is None or after is None:
+        return before or after
+    return before if len(commonprefix([row[1], before[1]])) >= len(commonprefix([row[1], after[1]])) else after
+
+
+def difference(row: tuple, other: tuple | None) -> tuple[str, int, int]:
+    """(1 for each candidate line of row that goes, else 0; number of lines; number shared) for rows (host, path, marks, zones, sizes)."""
+    a, b = ([m[i : i + 8] for i in range(0, len(m), 8)] for m in (row[2], other[2] if other else b""))
+    hit = np.zeros(len(a), bool)
+    hit[common(a, b)] = True
+    zone = np.frombuffer(row[3], np.uint8)
+    free = zone == OPEN
+    gone = free.copy()
+    if not (zone == MAIN).any():
+        size = np.frombuffer(row[4], np.uint32).astype(np.int64)
+        copies = other is not None and (row[1] == other[1] or 2 * size[hit[free]].sum() > size.sum())
+        gone = free & hit & (not copies)
+    return "".join("01"[x] for x in gone[zone != SIDE].astype(int)), len(a), int(hit.sum())
+
+
+_FOUND = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("gone", pa.string()), ("n_lines", pa.int64()), ("n_shared", pa.int64())])
+
+
+def differences(pages: DataFrame) -> DataFrame:
+    """(key, gone, n_lines, n_shared) of each distinct page, beside the nearer of its neighbours in the order of host and path.
+
+    Sorted ranges are read once, with a row kept before and after; the first and last of each range meet their neighbours by place.
+    """
+    one = digests(pages).groupBy("key").agg(*(F.first(c).alias(c) for c in ("host", "path", "marks", "zones", "sizes")))
     placed, _ = ranked(one, ["host", "path", "key"], "at")
+    placed = placed.select("at", "key", "host", "path", "marks", "zones", "sizes")
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, row = None, None  # row has no result yet
+        for batch in batches:
+            out = []
+            for after in zip(*(c.to_pylist() for c in batch.columns)):
+                if row is not None:
+                    out.append((*row[:2], *(difference(row[2:], nearer(row[2:], before[2:], after[2:])) if before is not None else (None, None, None))))
+                before, row = row, after
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_FOUND.types)], names=_FOUND.names)
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*row[:2], None, None, None), _FOUND.types, strict=True)], names=_FOUND.names)
+
+    shape = "at long, key binary, gone string, n_lines long, n_shared long"
+    found = cut(placed.mapInArrow(inner, shape))
+    ends = [r.at for r in found.where("gone is null").select("at").collect()]  # two of each range
+    near = sorted({i + d for i in ends for d in (-1, 0, 1)})
+    few = placed.where(F.col("at").isin(near)) if near else placed.limit(0)
+    joined = few.where(F.col("at").isin(ends)) if ends else few
     for name, step in (("before", 1), ("after", -1)):
-        side = placed.select((F.col("at") + step).alias("at"), "host", F.struct("path", "marks").alias(name))
-        placed = placed.join(side, ["at", "host"], "left")
-    return placed.drop("at", "host")
+        joined = joined.join(few.select((F.col("at") + step).alias("at"), F.struct("host", "path", "marks", "zones", "sizes").alias(name)), "at", "left")
 
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, key, host, path, marks, zones, sizes, *sides in zip(*(c.to_pylist() for c in batch.columns)):
+                row = (host, path, marks, zones, sizes)
+                out.append((at, key, *difference(row, nearer(row, *(tuple(x.values()) if x else None for x in sides)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_FOUND.types)], names=_FOUND.names)
 
-def nearer(path: str, before: dict | None, after: dict | None) -> dict | None:
-    """The neighbour whose path begins more like this one; the earlier of equals."""
-    if before is None or after is None:
-        return before or after
-    return before if len(commonprefix([path, before["path"]])) >= len(commonprefix([path, after["path"]])) else after
+    return found.where("gone is not null").unionByName(joined.select("at", "key", "host", "path", "marks", "zones", "sizes", "before", "after").mapInArrow(outer, shape)).drop("at")
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """(key, gone, n_lines, n_shared): the lines that a page does not keep, as bytes of 0 and 1."""
+def candidate_lines(pages: DataFrame) -> DataFrame:
+    """(key, page_id, url, text): every line that is not beside the article, joined by newlines, which lines do not hold."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, gone, n_lines, n_shared = [], [], [], []
-            for key, path, marks, zones, sizes, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                other = nearer(path, before, after) or {"path": None, "marks": b""}
-                a, b = ([m[i : i + 16] for i in range(0, len(m), 16)] for m in (marks, other["marks"]))
-                hit = np.zeros(len(a), bool)
-                hit[common(a, b)] = True
-                zone, size = np.frombuffer(zones, np.uint8), np.array(sizes, np.int64)
-                free = zone == OPEN
-                copies = path == other["path"] or 2 * size[hit & free].sum() > size[free].sum()
-                drop = (zone == SIDE) | (free & ((zone == MAIN).any() | (hit & (not copies))))
-                keys.append(key)
-                gone.append(drop.astype(np.uint8).tobytes())
-                n_lines.append(len(a))
-                n_shared.append(int(hit.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64())], names=["key", "gone", "n_lines", "n_shared"])
-
-    return pairs.select("key", "path", "marks", "zones", "sizes", "before", "after").mapInArrow(compare, "key string, gone binary, n_lines long, n_shared long")
+            texts = ["\n".join(t for t, z in lines_of(page or "") if z != SIDE) for page in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["key", "page_id", "url", "text"])
+
+    return pages.select(_key().alias("key"), "page_id", "url", "html").mapInArrow(read, "key binary, page_id long, url string, text string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_lines, n_shared) of every page; n_shared counts its lines found in the paired page too."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, urls, texts, sizes = [], [], [], []
-            for page_id, url, page, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                text = "\n".join(t for (t, _), g in zip(lines_of(page or ""), gone) if not g)
-                ids.append(page_id)
-                urls.append(url)
-                texts.append(text)
-                sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), batch.column(4), batch.column(5)], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
-
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    found = cut(differences(paired(digests(pages))))
-    salt = F.xxhash64(F.col("page_id"), F.monotonically_increasing_id())
-    joined = beside(pages.withColumn("key", _key()), found, "key", salt)
-    return joined.select("page_id", "url", "html", "gone", "n_lines", "n_shared").mapInArrow(write, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long")
+    texts = candidate_lines(pages).groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in ("page_id", "url", "text")))
+    lines = F.arrays_zip(F.split("text", "\n").alias("line"), F.split("gone", "").alias("gone"))
+    kept = F.transform(F.filter(lines, lambda x: x["gone"] == "0"), lambda x: x["line"])
+    out = texts.join(differences(pages), "key").withColumn("text", F.array_join(kept, "\n"))
+    each = F.explode(F.array_repeat(F.struct("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared"), F.col("_n").cast("int"))).alias("_p")
+    return out.select(each).select("_p.*")
