@@ -22,34 +22,84 @@ def centroids(df: DataFrame, keys: list[str] = ["cluster"]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.array(*(F.avg(F.get("x", F.lit(i))) for i in range(max(dims, 0)))).alias("centre"))
 
 
-def calinski_harabasz(df: DataFrame) -> DataFrame:
-    """(ch, n, k) by sums of squares of each dimension; null for one cluster or one row each."""
-    cell = df.select("cluster", F.posexplode("x").alias("d", "v")).groupBy("cluster", "d").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("n"))
-    dim = cell.groupBy("d").agg((F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("within"), (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    total = dim.agg(F.sum("within").alias("w"), F.sum("between").alias("b"), F.max("n").alias("n"), F.max("k").alias("k"))
-    return total.select(F.when((F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("w") > 0), F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k")))).alias("ch"), "n", "k")
+def calinski_harabasz(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, ch, n, k) by sums of squares of each dimension; null for one cluster or one row each."""
+    by = by or []
+    cell = df.select(*by, "cluster", F.posexplode("x").alias("d", "v")).groupBy(*by, "cluster", "d").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count(F.lit(1)).alias("n"))
+    dim = cell.groupBy(*by, "d").agg((F.sum("q") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("within"), (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("between"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    total = dim.groupBy(*by).agg(F.sum("within").alias("w"), F.sum("between").alias("b"), F.max("n").alias("n"), F.max("k").alias("k"))
+    return total.select(*by, F.when((F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("w") > 0), F.col("b") / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k")))).alias("ch"), "n", "k")
 
 
-def davies_bouldin(df: DataFrame) -> DataFrame:
-    """(db): mean over clusters of the worst (scatter + scatter) / distance of centres. Centres are joined in pairs, not rows."""
-    c = centroids(df)
-    spread = df.join(c, "cluster").groupBy("cluster").agg(F.avg(F.sqrt(gap2(F.col("x"), F.col("centre")))).alias("s"))
-    c = c.join(spread, "cluster")
-    other = c.select(F.col("cluster").alias("other"), F.col("centre").alias("oc"), F.col("s").alias("os"))
-    worst = c.join(other, F.col("cluster") != F.col("other")).groupBy("cluster").agg(F.max((F.col("s") + F.col("os")) / F.sqrt(gap2(F.col("centre"), F.col("oc")))).alias("r"))
-    return worst.agg(F.avg("r").alias("db"))
+def davies_bouldin(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, db): mean over clusters of the worst (scatter + scatter) / distance of centres. Centres are joined in pairs, not rows."""
+    by = by or []
+    c = centroids(df, [*by, "cluster"])
+    spread = df.join(c, [*by, "cluster"]).groupBy(*by, "cluster").agg(F.avg(F.sqrt(gap2(F.col("x"), F.col("centre")))).alias("s"))
+    c = c.join(spread, [*by, "cluster"])
+    other = c.select(*by, F.col("cluster").alias("other"), F.col("centre").alias("oc"), F.col("s").alias("os"))
+    pairs = (c.join(other, by) if by else c.crossJoin(other)).where(F.col("cluster") != F.col("other"))
+    worst = pairs.groupBy(*by, "cluster").agg(F.max((F.col("s") + F.col("os")) / F.sqrt(gap2(F.col("centre"), F.col("oc")))).alias("r"))
+    return worst.groupBy(*by).agg(F.avg("r").alias("db"))
 
 
-def silhouette(df: DataFrame, key: str) -> DataFrame:
-    """(silhouette, n): exact, by distances of all pairs of rows in blocks of keys; rows alone in their cluster count 0.
+def rivals(rows: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """For rows (by, _k, cluster, x): which clusters _t each must be summed against (its own, `_own`, and those that may be nearest), and the clusters.
 
-    Grows with the square of the rows; for large tables use squared_silhouette.
+    The mean distance to a cluster lies between the distance to its centre and the root of the mean squared distance.
     """
-    o = df.select(F.col(key).alias("_o"), F.col("cluster").alias("_oc"), F.col("x").alias("_ox"))
-    d = df.join(o, F.col(key) != F.col("_o")).groupBy(key, "cluster", "_oc").agg(F.avg(F.sqrt(gap2(F.col("x"), F.col("_ox")))).alias("d"))
-    each = d.groupBy(key, "cluster").agg(F.max(F.when(F.col("cluster") == F.col("_oc"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster") != F.col("_oc"), F.col("d"))).alias("b"))
-    s = F.when(F.col("b").isNull(), None).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return each.agg(F.avg(s).alias("silhouette"), F.count(s).alias("n"))
+    centre = centroids(rows, [*by, "cluster"])
+    spread = rows.join(centre, [*by, "cluster"]).groupBy(*by, "cluster").agg(F.avg(gap2(F.col("x"), F.col("centre"))).alias("_v"))
+    clusters = centre.join(spread, [*by, "cluster"]).select(*by, F.col("cluster").alias("_t"), F.col("size").alias("_n"), F.col("centre").alias("_m"), "_v", F.ceil(F.col("size") / block).cast("int").alias("_blocks"))
+    far = rows.join(clusters, by) if by else rows.crossJoin(clusters)  # a row for each cluster, of which there are few
+    # Slightly wider bounds, for the rounding of sums.
+    far = far.withColumn("_d2", gap2(F.col("x"), F.col("_m"))).withColumns({"_low": F.sqrt("_d2") * (1 - 1e-9) - 1e-12, "_high": F.sqrt(F.col("_d2") + F.col("_v")) * (1 + 1e-9) + 1e-12})
+    own = F.col("cluster") == F.col("_t")
+    best = far.groupBy(*by, "_k").agg(F.min(F.when(~own, F.col("_high"))).alias("_best"))
+    return far.join(best, [*by, "_k"]).where(own | (F.col("_low") <= F.col("_best"))).select(*by, "_k", "_t", "x", own.alias("_own"), "_n", "_blocks"), clusters
+
+
+def silhouette(df: DataFrame, key: str, by: list[str] | None = None, block: int = 512) -> DataFrame:
+    """(by, silhouette, n): exact; rows alone in their cluster count 0, and without a second cluster it is null. key is unique (within by).
+
+    Most foreign clusters are settled by their moments (see rivals); distances are summed against the row's own cluster and those that
+    may be nearest, mostly one. Rows travel and are compared in blocks of one cluster.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    by = by or []
+    rows = df.select(*by, F.col(key).alias("_k"), "cluster", "x")
+    asks, clusters = rivals(rows, by, block)
+    slot = F.pmod(F.xxhash64("_k"), F.col("_blocks"))
+    held = rows.withColumnRenamed("cluster", "_t").join(clusters.select(*by, "_t", "_blocks"), [*by, "_t"])
+    held = held.groupBy(*by, "_t", slot.cast("int").alias("_b")).agg(F.collect_list("x").alias("_y"))  # about `block` rows
+    packed = asks.groupBy(*by, "_t", "_blocks", slot.alias("_a")).agg(F.collect_list(F.struct("_k", "x")).alias("_x"))
+    met = packed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(held, [*by, "_t", "_b"])
+
+    def sums(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                asked, told = one.column("_x").flatten(), one.column("_y").flatten()
+                x = np.asarray(asked.field("x").flatten(), float).reshape(len(asked), -1)
+                y = np.asarray(told.flatten(), float).reshape(len(told), -1)
+                total = np.zeros(len(x))
+                for at in range(0, len(x), 256):
+                    gap = np.zeros((min(256, len(x) - at), len(y)))
+                    for d in range(x.shape[1]):
+                        gap += (x[at : at + 256, None, d] - y[None, :, d]) ** 2
+                    total[at : at + 256] = np.sqrt(gap).sum(1)
+                again = pa.array(np.zeros(len(x), np.int32))
+                yield pa.RecordBatch.from_arrays([*(one.column(c).take(again) for c in (*by, "_t")), asked.field("_k"), pa.array(total)], names=[*by, "_t", "_k", "_sum"])
+
+    kinds = dict(rows.dtypes)
+    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"_t {kinds['cluster']}", f"_k {kinds['_k']}", "_sum double"])
+    told = met.select(*by, "_t", "_x", "_y").mapInArrow(sums, shape).groupBy(*by, "_k", "_t").agg(F.sum("_sum").alias("_sum"))
+    each = asks.drop("x", "_blocks").join(told, [*by, "_k", "_t"])
+    each = each.groupBy(*by, "_k").agg(F.max(F.when(F.col("_own") & (F.col("_n") > 1), F.col("_sum") / (F.col("_n") - 1))).alias("a"), F.min(F.when(~F.col("_own"), F.col("_sum") / F.col("_n"))).alias("b"))
+    s = F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.groupBy(*by).agg(F.avg(s).alias("silhouette"), F.count(s).alias("n"))
 
 
 def squared_silhouette(df: DataFrame, key: str) -> DataFrame:
@@ -67,9 +117,13 @@ def squared_silhouette(df: DataFrame, key: str) -> DataFrame:
 
 def agreement(labels: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     """Adjusted Rand index of two label columns, by pair counts of the contingency table."""
+    return agreement_of_counts(labels.groupBy(*(keys or []), a, b).agg(F.count(F.lit(1)).alias("n")), a, b, keys)
+
+
+def agreement_of_counts(cell: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+    """Adjusted Rand index of a contingency table (keys, a, b, n)."""
     keys = keys or []
     two = lambda c: F.col(c) * (F.col(c) - 1) / 2
-    cell = labels.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n"))
     rows = cell.groupBy(*keys, a).agg(F.sum("n").alias("n"))
     cols = cell.groupBy(*keys, b).agg(F.sum("n").alias("n"))
     parts = cell.groupBy(*keys).agg(F.sum(two("n")).alias("c"), F.sum("n").alias("n"))
@@ -79,13 +133,63 @@ def agreement(labels: DataFrame, a: str, b: str, keys: list[str] | None = None)
     return j.select(*keys, F.when(top == expected, 1.0).otherwise((F.col("c") - expected) / (top - expected)).alias("ari"), "n")
 
 
+def run_contingency(runs: DataFrame, key: str = "id", by: list[str] | None = None) -> DataFrame:
+    """(by, run_a, run_b, a, b, n) of every pair of runs run_a < run_b (run, id, cluster): how many rows carry labels a and b.
+
+    Each row becomes the list of its labels; a task multiplies its rows' indicators of (run, label) by themselves and adds the products
+    up, so what leaves it is bounded by (runs x labels) squared and no row meets another run's rows in a join.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    by = by or []
+    pair = F.struct(F.col("run").cast("long").alias("r"), F.col("cluster").cast("long").alias("c"))
+    rows = runs.where("run is not null and cluster is not null").groupBy(*by, key).agg(F.collect_list(pair).alias("_l")).select(*by, F.xxhash64(*by).alias("_g") if by else F.lit(0).cast("long").alias("_g"), "_l")
+
+    def count(batches):
+        held: dict[int, tuple] = {}  # group: (its keys, {(run, label): place}, products)
+        for batch in batches:
+            lists = batch.column("_l")
+            pairs = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            run, label = (np.asarray(pairs.field(f)) for f in ("r", "c"))
+            group = np.asarray(batch.column("_g"))
+            for g in np.unique(group).tolist():
+                mine = np.flatnonzero(group == g)
+                inside = np.flatnonzero(group[row] == g)
+                keys, places, products = held.get(g) or ([batch.column(c).slice(int(mine[0]), 1) for c in by], {}, np.zeros((0, 0), np.int64))
+                both, code = np.unique(np.stack([run[inside], label[inside]]), axis=1, return_inverse=True)
+                of = np.array([places.setdefault((int(r), int(c)), len(places)) for r, c in both.T], np.int64)
+                if len(places) > len(products):
+                    wider = np.zeros((len(places), len(places)), np.int64)
+                    wider[: len(products), : len(products)] = products
+                    products = wider
+                for at in range(0, len(mine), 4096):
+                    some = inside[(row[inside] >= mine[at]) & (row[inside] <= mine[min(at + 4096, len(mine)) - 1])]
+                    hot = np.zeros((min(4096, len(mine) - at), len(places)), np.float64)
+                    hot[np.searchsorted(mine, row[some]) - at, of[code.ravel()[np.searchsorted(inside, some)]]] = 1
+                    products += (hot.T @ hot).astype(np.int64)
+                held[g] = (keys, places, products)
+        for keys, places, products in held.values():
+            names = np.array(list(places), np.int64).reshape(-1, 2)
+            i, j = np.nonzero(products)
+            up = names[i, 0] < names[j, 0]
+            i, j = i[up], j[up]
+            again = pa.array(np.zeros(len(i), np.int32))
+            yield pa.RecordBatch.from_arrays([*(k.take(again) for k in keys), *(pa.array(v) for v in (names[i, 0], names[j, 0], names[i, 1], names[j, 1], products[i, j]))], names=[*by, "run_a", "run_b", "a", "b", "n"])
+
+    kinds = dict(runs.dtypes)
+    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "run_a long, run_b long, a long, b long, n long"])
+    return rows.mapInArrow(count, shape).groupBy(*by, "run_a", "run_b", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def run_agreement(runs: DataFrame, key: str = "id", least: int = 10, by: list[str] | None = None) -> DataFrame:
     """(by, run_a, run_b, ari, n) of every pair of runs (run, id, cluster) of one group, on the rows both hold, at least `least`."""
+    from .order import cut
+
     by = by or []
-    a = runs.select(*by, "run", key, "cluster")
-    b = a.select(*by, F.col("run").alias("run_b"), key, F.col("cluster").alias("cluster_b"))
-    both = a.join(b, [*by, key]).where("run < run_b").withColumnRenamed("run", "run_a")
-    return agreement(both, "cluster", "cluster_b", [*by, "run_a", "run_b"]).where(F.col("n") >= least)
+    cells = cut(run_contingency(runs, key, by))
+    return agreement_of_counts(cells, "a", "b", [*by, "run_a", "run_b"]).where(F.col("n") >= least)
 
 
 def against_first(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
