@@ -1,6 +1,7 @@
-"""Entry points: python -m phasegrid build|cluster|posthoc|run [--config FILE] [--tables FOLDER] [--out FOLDER] [name=value ...].
+"""Entry points: python -m phasegrid build|cluster|posthoc|run|levels [--config FILE] [--tables FOLDER] [--out FOLDER] [name=value ...].
 
 Tables are Parquet under --tables: minute, survey, load, traits (build, run), features (cluster, without build) and people (posthoc, run).
+levels reads signals, scenes and survey and clusters persons and scenes: --studies person/F0,scenario_all/all (all of them if not given).
 Overrides name fields of the configuration, such as structure=PHY or ks=[2,3]; structure=A,B runs once for each.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields
 
-from .plans import study
+from .plans import levels, study
 from .session import local
 from .sources.recordings import latest_run, read_config, write_tables
 
@@ -23,16 +24,26 @@ def config_of(values: dict) -> study.Config:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     p = argparse.ArgumentParser(prog="phasegrid", description=__doc__.splitlines()[0])
-    p.add_argument("step", choices=["build", "cluster", "posthoc", "run"])
+    p.add_argument("step", choices=["build", "cluster", "posthoc", "run", "levels"])
     p.add_argument("--config")
     p.add_argument("--tables", default="tables")
     p.add_argument("--out", default="out")
     p.add_argument("--axes", default="", help="0/1 columns of people, by comma")
+    p.add_argument("--studies", default=",".join(f"person/F{i}" for i in range(6)) + "," + ",".join(f"{x}/all" for x in levels.LEVELS[1:]))
     p.add_argument("--no-stability", action="store_true")
     p.add_argument("overrides", nargs="*")
     a = p.parse_intermixed_args(argv)
     spark = spark or local()
     values = read_config(a.config, a.overrides)
+    if a.step == "levels":
+        studies = [tuple(x.split("/")) for x in a.studies.split(",") if x]
+        grid = levels.Grid(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+        rows = levels.study_rows(*(spark.read.parquet(f"{a.tables}/{n}") for n in ("signals", "survey", "scenes")), studies)
+        got = levels.run_levels(rows, studies, grid)
+        write_tables(got, f"{a.out}/levels")
+        for r in spark.read.parquet(f"{a.out}/levels/metrics").orderBy("level", "set").collect():
+            print(f"{r.level} {r.set}: k={r.k} {r.kind} bic={r.bic:.1f} silhouette={r.silhouette:.3f} sizes {r.sizes}")
+        return 0
     structures = [x for x in str(values.get("structure", "full")).split(",") if x]
     read = lambda name: spark.read.parquet(f"{a.tables}/{name}")
     axes = tuple(x for x in a.axes.split(",") if x)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cluster, inference, linear, mixed, order, phase, rank, scale, series, signal, validity
+from . import levels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -810,6 +811,40 @@ def mixed_matrix(t):
     return rows.sparkSession.createDataFrame([(a, b, float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "row string, col string, r double")
 
 
+LEVEL_STUDIES = [("person", "F0"), ("person", "F1"), ("person", "F3"), ("person", "F5"), ("scenario_all", "all"), ("scenario_static", "all"), ("scenario_dynamic", "F2")]
+
+
+def level_tables(t):
+    """Subjects are users; the hour names a signal, the day of the month a segment of a pair of environments."""
+    e = t("events").where("value is not null and user_id is not null")
+    segment = F.substring(F.lit("ABCDEFGH"), (F.dayofmonth("ts") % 8 + 1).cast("int"), F.lit(1))
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("st_", "HR_", "eda_"))), (F.hour("ts") % 3 + 1).cast("int")), "event_type")
+    e = e.select(F.col("user_id").alias("id"), segment.alias("segment"), name.alias("feature"), "event_type", "value").withColumns({"pair": C.condition(F.col("segment")), "phase": C.segment_phase(F.col("segment"))})
+    return e.select("id", F.col("pair").alias("env"), "feature", "value"), e.select("id", F.col("segment").alias("env"), F.col("event_type").alias("feature"), "value"), e.select("id", "segment", "pair", "phase", "feature", "value")
+
+
+@query("""with e as (select user_id::varchar as id, substr('ABCDEFGH', dayofmonth(ts) % 8 + 1, 1) as seg, case hour(ts) % 3 when 0 then 'st_' when 1 then 'HR_' else 'eda_' end || event_type as feature, event_type, value from events where value is not null and user_id is not null),
+    g as (select *, case when seg in ('A', 'B') then 'AB' when seg in ('C', 'D') then 'CD' when seg in ('E', 'F') then 'EF' else 'GH' end as pair, case when seg in ('A', 'C', 'E', 'G') then 'static' else 'dynamic' end as phase from e),
+    s as (select id, feature, avg(value) as value from g group by 1, 2),
+    v as (select id, pair, event_type as f, avg(value) filter (phase = 'static') as a, avg(value) filter (phase = 'dynamic') as b from g group by 1, 2, 3),
+    d as (select id, f || '_delta_dynamic_minus_static' as feature, avg(b - a) as value from v group by 1, 2 having avg(b - a) is not null),
+    c as (select concat_ws('|', id, seg, pair, phase) as id, phase, feature, avg(value) as value from g group by 1, 2, 3),
+    u as (select 0 as study, id, feature, value from s union all select 1, id, feature, value from s union all select 2, id, feature, value from s where feature like 'HR\\_%' escape '\\'
+          union all select 3, id, feature, value from s union all select 3, id, feature, value from d union all select 4, id, feature, value from c
+          union all select 5, id, feature, value from c where phase = 'static' union all select 6, id, feature, value from c where phase = 'dynamic' and feature like 'st\\_%' escape '\\')
+    select study, count(*) as n, count(distinct id) as n_rows, count(distinct feature) as n_features, round(sum(value), 4) + 0.0 as total from u group by study""")
+def level_rows(t):
+    rows = levels.study_rows(*level_tables(t), LEVEL_STUDIES)
+    return rows.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_rows"), F.count_distinct("feature").alias("n_features"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def level_metrics(t):
+    studies = [("person", "F3"), ("scenario_dynamic", "F2")]
+    grid = levels.Grid(ks=(2, 3), kinds=("diag",), components=3, n_init=2, restarts=3, rounds=100)
+    return levels.run_levels(levels.study_rows(*level_tables(t), studies), studies, grid)["metrics"]
+
+
 @query()
 def subsample_agreement(t):
     x = supplier_matrix(t)
