@@ -1,7 +1,7 @@
 """Quality classifier from weak labels: overlapping heuristic labellers vote, expectation-maximisation over the
 histogram of vote patterns estimates how each votes on either class, and the posteriors train a hashed linear scorer.
 
-No labelled row is used. The histogram covers all rows and has at most 3**8 entries; the scorer is fitted on a bounded sample
+No labelled row is used. The histogram covers all rows and has at most 3**10 entries; the scorer is fitted on a bounded sample
 (Fit.most_texts, Fit.longest) and scores every whole text. Defined cases: null and empty texts have no words, score 0 and are not kept; repeated rows score alike;
 where all texts vote alike the scorer follows the prior; an empty table gives no rows; columns with other names are ignored.
 """
@@ -29,8 +29,10 @@ LABELLERS = (
     ("repeated lines", "rising", 0.30, 0.02),
     ("code points for each word, from 5.5", "rising", 4.5, 3.0),
     ("words with inner symbols", "rising", 0.15, 0.02),
+    ("words in capitals", "rising", 0.25, 0.03),
+    ("words that end in a doubled mark", "rising", 0.20, 0.02),
 )
-WORD_BITS, SHAPES = 12, 128
+WORD_BITS, SHAPES = 12, 256
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>{}[]=~^_\\@/+", np.uint8))
 _ALNUM = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
@@ -67,11 +69,13 @@ class Features:
         short = (letters <= 3) & ~lone
         upper = total((data >= 65) & (data <= 90))
         caps = upper[ends] - upper[starts] > 1
+        last = ends - 1
+        doubled = (ends - starts > 1) & ~_ALNUM[data[last]] & (data[last] == data[np.maximum(last - 1, 0)]) & (data[last] < 128) if len(word) else np.zeros(0, bool)
         lines = sums(data == 10, bounds) + 1
         per = np.maximum(n, 1)
-        self.measures = np.stack([sums(same, self.first) / per, sums(symbols[ends] - symbols[starts], self.first) / per, sums(lone, self.first) / per, c["n_repeat_words"] / per, sums(short, self.first) / per, c["n_dup_lines"] / lines, np.abs(c["word_chars"] / per - 5.5), sums(inner, self.first) / per], 1)
+        self.measures = np.stack([sums(same, self.first) / per, sums(symbols[ends] - symbols[starts], self.first) / per, sums(lone, self.first) / per, c["n_repeat_words"] / per, sums(short, self.first) / per, c["n_dup_lines"] / lines, np.abs(c["word_chars"] / per - 5.5), sums(inner, self.first) / per, sums(caps, self.first) / per, sums(doubled, self.first) / per], 1)
         self.word = (word >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        self.shape = np.minimum(letters // 4, 7) + 8 * same + 16 * lone + 32 * inner + 64 * caps
+        self.shape = np.minimum(letters // 4, 7) + 8 * same + 16 * lone + 32 * inner + 64 * caps + 128 * doubled
 
     def votes(self) -> np.ndarray:
         """Matrix[row, labeller]: 0 bad, 1 good, 2 no vote."""
@@ -182,7 +186,7 @@ def learn(docs: DataFrame, how: Fit = Fit(), text: str = "text") -> tuple[Scorer
     body = text_of(text)
     base = docs.select(body.cast("binary").alias("_text"), F.xxhash64(body).alias("_at"))
     votes = cut(base.select("_at", "_text").mapInArrow(vote, "_at long, pattern long, short boolean"))
-    histogram = votes.groupBy("pattern").count().collect()  # 3**8 rows at most
+    histogram = votes.groupBy("pattern").count().collect()  # 3**10 rows at most
     patterns, counts = (np.array([r[i] for r in histogram], np.int64) for i in (0, 1))
     order = np.argsort(patterns)
     patterns, counts = patterns[order], counts[order].astype(np.float64)
