@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import waves as w
+from ..functions.convex import decompose
 
 # Gates and bands of the domain.
 REJECT_SNR, STRONG_SNR, MEDIUM_SNR = -25.0, -15.0, -10.0
@@ -89,7 +90,7 @@ def quality(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def r_peaks(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, i, t_sec, method, filter_class) of the beats, from the detector that finds most.
+    """(keys, i, t_sec, method, filter_class) of the beats, from the detector that finds most; of equals the gradient detector comes first.
 
     The class of the signal chooses the filters. Signals below the reject limit, recordings of under ten beats or under twenty cleaned intervals have a status instead.
     """
@@ -111,7 +112,7 @@ def r_peaks(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         if len(y) > 51:
             y = w.savitzky_golay(y, max(5, min(len(y) // share * 2 + 1, int(101 * min(1.0, fs / 1000)) | 1)), 2)  # 101 samples at 1000 Hz
         y = (y - y.mean()) / (y.std() or 1.0)
-        found = {f"peaks {s}": w.peaks(y, distance=int(0.4 * fs), prominence=s) for s in (0.15, 0.30, 0.5)} | {"slope energy": w.pan_tompkins(y, fs)}
+        found = {"gradient": w.gradient_peaks(y, fs)} | {f"peaks {s}": w.peaks(y, distance=int(0.4 * fs), prominence=s) for s in (0.15, 0.30, 0.5)} | {"slope energy": w.pan_tompkins(y, fs)}
         best = max(found, key=lambda k: len(found[k]))
         beats = t[found[best]]
         if len(beats) < 10:
@@ -155,11 +156,12 @@ def heart_spectrum(rr: DataFrame, keys: list[str] = KEYS, value: str = "rr") ->
     return per_recording(rr, keys, "lf double, hf double, lf_hf double, lf_nu double, hf_nu double", kernel, value=value)
 
 
-def skin_parts(df: DataFrame, keys: list[str] = KEYS, target: float = 10.0) -> DataFrame:
+def skin_parts(df: DataFrame, keys: list[str] = KEYS, target: float = 10.0, convex: bool = True) -> DataFrame:
     """(keys, t_sec, tonic, phasic, method) at 10 Hz of a skin conductance recording.
 
-    Filters are tried in turn, and the first whose fast part has energy is taken: 0.5 Hz, 0.1 Hz, polynomial, moving average, none.
-    (The convex programme that comes first elsewhere is left out: `method` never names it.)
+    Tried in turn: the convex programme (functions.convex) on the signal brought to [0, 1], then filters, of which the first whose fast
+    part has energy is taken: 0.5 Hz, 0.1 Hz, polynomial, moving average, none. Where the programme breaks down, does not converge or finds
+    no energy, the filters decide; `method` names what was taken. With convex=False only the filters are tried.
     """
 
     def kernel(t: np.ndarray, x: np.ndarray) -> dict:
@@ -172,6 +174,14 @@ def skin_parts(df: DataFrame, keys: list[str] = KEYS, target: float = 10.0) -> D
         y = np.maximum(y - y.min() + 1e-6, 1e-6)
         scale = 1000.0 if np.ptp(y) < 0.01 else 100.0 if np.ptp(y) < 0.1 else 1.0
         z = np.clip((y - y.min()) / (np.ptp(y) or 1.0), 0.001, 0.999)
+        if convex:
+            try:
+                got = decompose(z, fs / step)
+                fast, slow = np.maximum(got["phasic"], 0.0), np.maximum(got["tonic"], 0.0)
+                if np.isfinite(fast).all() and np.isfinite(slow).all() and (fast**2).sum() + (slow**2).sum() >= 1e-10:
+                    return {"method": "convex", "scale": scale, "t": at.tolist(), "tonic": slow.tolist(), "phasic": fast.tolist()}
+            except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+                pass  # the filters below
         for method, tonic in (("low 0.5 Hz", lambda: w.filtered(z, target, "low", (0.5,), 2)), ("low 0.1 Hz", lambda: w.filtered(z, target, "low", (0.1,), 2)), ("polynomial", lambda: w.savitzky_golay(z, 101)), ("moving average", lambda: w.moving_average(z, 50)), ("none", lambda: z)):
             slow = tonic()
             fast = z - slow

@@ -119,10 +119,47 @@ def log_run(spark: SparkSession, folder: str, run: str, params: dict, metrics: d
     add([(run, parent, at, text(config), text(metadata))], "run string, parent string, created_at string, config string, metadata string", "runs")
     add([(run, k, str(v)) for k, v in params.items()], "run string, name string, value string", "run_params")
     add([(run, k, None if v is None else float(v)) for k, v in metrics.items()], "run string, name string, value double", "run_metrics")
+    for group in {None, parent}:
+        point_to(spark, folder, run, group)
+
+
+def _pointers(spark: SparkSession, folder: str, parent: str | None):
+    """(file system, folder of pointers as a path, [(version, path)] by version). A pointer is an empty file named <version>-<name in hex>."""
+    jvm = spark._jvm
+    name = "all" if parent is None else "of-" + parent.encode().hex()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_latest/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    if fs.exists(path):
+        for status in fs.listStatus(path):
+            version, _, run = status.getPath().getName().partition("-")
+            if version.isdigit():
+                found.append((int(version), status.getPath(), bytes.fromhex(run).decode()))
+    return fs, path, sorted(found, key=lambda x: (x[0], x[2]))
+
+
+def point_to(spark: SparkSession, folder: str, run: str, parent: str | None = None, kept: int = 8) -> int:
+    """Make `run` the latest one (of a parent) and return the pointer's version. The pointer is written beside and renamed into the next
+    version, so a reader sees the old or the new one; the last `kept` versions stay."""
+    import uuid
+
+    jvm = spark._jvm
+    fs, path, found = _pointers(spark, folder, parent)
+    version = found[-1][0] + 1 if found else 1
+    beside = jvm.org.apache.hadoop.fs.Path(path, f"_new-{uuid.uuid4().hex}")
+    fs.create(beside, True).close()
+    while not fs.rename(beside, jvm.org.apache.hadoop.fs.Path(path, f"{version:012d}-{run.encode().hex()}")):
+        version += 1
+    for _, old, _ in found[: max(len(found) + 1 - kept, 0)]:
+        fs.delete(old, False)
+    return version
 
 
 def latest_run(spark: SparkSession, folder: str, parent: str | None = None) -> str | None:
-    """The run logged last (among those of a parent)."""
+    """The run logged last (among those of a parent): by the pointer, or where none was written by the time stamps."""
+    found = _pointers(spark, folder, parent)[2]
+    if found:
+        return found[-1][2]
     runs = spark.read.parquet(f"{folder}/runs")
     return latest(runs.where(F.col("parent") == parent) if parent else runs, "run").first()[0]
 

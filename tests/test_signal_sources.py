@@ -70,8 +70,9 @@ def test_skin_parts(spark):
     t = np.arange(0, 60, 0.05)
     x = 0.02 * t + sum(np.where(t > b, np.exp(-(t - b) / 2), 0) for b in (10, 30, 45))
     df = spark.createDataFrame([(1, "AB", float(a), float(b)) for a, b in zip(t, x)], "subject int, condition string, t_sec double, value double")
+    assert signal.skin_parts(df, convex=False).first()["method"] == "low 0.5 Hz"
     got = signal.skin_parts(df)
-    assert got.first()["method"] == "low 0.5 Hz"
+    assert got.first()["method"] == "convex"
     m = signal.skin_measures(got).first()
     assert m["tonic_slope"] is not None and m["phasic_max"] > 0.05
     assert signal.resampled(df, ["subject", "condition"], 1.0).count() == 60
