@@ -56,6 +56,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             got = study.run(spark, features, people, a.out, config_of(values | {"structure": structure}), axes=axes, with_stability=not a.no_stability)
             print(study.report(got["candidates"]))
             print(study.posthoc_report(got))
+            spark.createDataFrame([(study.total_report(got),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/{study.config_hash(study.asdict(config_of(values | {'structure': structure})))}/report")
     if a.step == "posthoc":
         run = latest_run(spark, a.out)
         config, people = config_of(values), read("people")

@@ -85,7 +85,9 @@ def two_proportions(n1: Column, x1: Column, n2: Column, x2: Column) -> Column:
 
 def pairwise_shares(df: DataFrame, group: str, flag: str) -> list[dict]:
     """For each pair of groups: Fisher's exact p where an expected count is below 5, else the z test. A few groups' counts reach the driver."""
-    rows = df.where(F.col(flag).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("x")).orderBy(group).collect()
+    rows = df.where(F.col(flag).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("x")).orderBy(group).limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups: use binary_tests")
     out = []
     for i, a in enumerate(rows):
         for b in rows[i + 1 :]:
@@ -211,13 +213,19 @@ def binary_tests(df: DataFrame, group: str, axes: list[str], alpha: float = 0.05
     return {"tests": tests, "pairs": pairs, "tables": rows.groupBy("axis", group, F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))}
 
 
-def posthoc(df: DataFrame, key: str, group: str, traits: list[str], axes: list[str], n_perm: int = 5000, seed: int = 42, alpha: float = 0.05) -> dict[str, DataFrame]:
-    """All tables of both analyses: the global permutation tests first, then tests, pairs and contingency tables."""
+def posthoc(df: DataFrame, key: str, group: str, traits: list[str] | dict[str, list[str]], axes: list[str], n_perm: int = 5000, seed: int = 42, alpha: float = 0.05) -> dict[str, DataFrame]:
+    """All tables of both analyses: the global permutation tests first, then tests, pairs and contingency tables.
+
+    traits: a list, or named sets {mode: traits}, each with its own global test and its own family of corrected tests (columns mode);
+    a trait may stand in several sets. A set without traits is left out.
+    """
     spark, out, head = df.sparkSession, {}, []
-    if traits:
-        g = permutation_profile(df, key, group, traits, n_perm, seed)
-        head.append(("continuous", g["n"], g["f"], g["p"]))
-        out["tests"], out["pairs"] = trait_tests(df, group, traits, alpha)
+    sets = {m: list(t) for m, t in (traits.items() if isinstance(traits, dict) else [("continuous", traits)]) if t}
+    for mode, names in sets.items():
+        g = permutation_profile(df, key, group, names, n_perm, seed)
+        head.append((mode, g["n"], g["f"], g["p"]))
+    if sets:
+        out["tests"], out["pairs"] = trait_set_tests(df, group, sets, alpha) if isinstance(traits, dict) else trait_tests(df, group, sets["continuous"], alpha)
     if axes:
         g = binary_permutation(df, key, group, axes, n_perm, seed)
         head.append(("binary", g["n"], g["chi2"], g["p"]))
@@ -256,6 +264,22 @@ def trait_tests(df: DataFrame, group: str, traits: list[str], alpha: float = 0.0
     return tests, holm(with_tail(pairs, "range", ["q", "k", "df"]), "p", ["feature"], ["a", "b"])
 
 
+def trait_set_tests(df: DataFrame, group: str, sets: dict[str, list[str]], alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """trait_tests of several sets {mode: traits}, with a column mode: one aggregate over all traits, then Holm's correction inside each set."""
+    from .order import cut
+    from .rank import holm, long_features
+
+    every = sorted({t for names in sets.values() for t in names})
+    of = F.broadcast(df.sparkSession.createDataFrame([(m, t) for m, names in sets.items() for t in dict.fromkeys(names)], "mode string, feature string"))
+    moments = cut(group_moments(long_features(df, [group], every), group, "value", ["feature"]))
+    tests = with_tail(welch(moments, ["feature"]), "f", ["f", "df1", "df2"]).join(eta_squared(moments, ["feature"]), "feature").join(of, "feature")
+    tests = cut(holm(tests, "p", ["mode"], ["feature"]))
+    k = moments.where("n > 1 and var > 0").groupBy("feature").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    told = tests.where(F.col("p_holm") < alpha).select("mode", "feature")
+    pairs = with_tail(games_howell(moments, group, ["feature"]).join(k, "feature"), "range", ["q", "k", "df"]).join(told, "feature")
+    return tests, holm(pairs, "p", ["mode", "feature"], ["a", "b"])
+
+
 def odds_table(model: dict) -> list[dict]:
     """Odds ratios with limits and notes of a logistic model."""
     note = lambda r, se: "not estimable" if not se > 0 else "large effect" if r >= 2 or r <= 0.5 else ""

@@ -75,3 +75,61 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] |
     asked = of.where("_n > 0").select(*keys, "q", ends).select(*(F.col(k).alias(f"_k_{k}") for k in keys), "q", F.col("_e.at").alias("_at"), F.col("_e.w").alias("_w"))
     got = placed.select("_at", "_v").join(asked, "_at").groupBy(*(f"_k_{k}" for k in keys), "q").agg(F.sum(F.when(F.col("_w") > 0, F.col("_v") * F.col("_w")).otherwise(0.0)).alias("at"))
     return got.select(*(F.col(f"_k_{k}").alias(k) for k in keys), "q", "at")
+
+
+def beside_groups(df: DataFrame, groups: DataFrame, keys: list[str], spread_by, how: str = "inner", salts: int = 32) -> DataFrame:
+    """df joined with a table of groups on keys (null equals null). The rows of a group are dealt over salts by `spread_by`, and its rows in `groups` copied to each."""
+    left = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    right = groups.select(*(F.col(k).alias(f"_g_{k}") for k in keys), *(c for c in groups.columns if c not in keys), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_g_salt"))
+    on = F.col("_salt") == F.col("_g_salt")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return left.join(right, on, how).drop("_salt", "_g_salt", *(f"_g_{k}" for k in keys))
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 1024, most: int = 4096) -> DataFrame:
+    """(keys, q, at): exact quantiles of each group by linear interpolation, without sorting and without a group's values in one task.
+
+    Counts of equally wide buckets between a group's extremes show which bucket holds a place; only that bucket is divided again, until
+    it holds one value or at most `most` rows. Nulls, NaN and infinities take no part; groups of no value are missing; a null key is a group.
+    """
+    from pyspark.sql import Window
+
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(*keys, v.alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("q", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    place = (F.col("_n") - 1) * F.col("q")
+    both = F.explode(F.array(F.struct(F.floor(place).alias("r"), (1 - (place - F.floor(place))).alias("w")), F.struct(F.ceil(place).alias("r"), (place - F.floor(place)).alias("w")))).alias("_e")
+    asked = cut(ends.select(*keys, "q", both, "_lo", "_hi", "_n").select(*keys, "q", "_e.r", "_e.w", "_lo", "_hi", "_n").where("w > 0 or r = floor((_n - 1) * q)"))
+    state = asked.select(*keys, "r", "_lo", "_hi", F.col("_n").alias("_size"), F.lit(0).cast("long").alias("_before")).distinct()
+    span = [*keys, "_lo", "_hi"]
+    done = None
+    while True:
+        state = cut(state)
+        settled = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "r", F.col("_lo").alias("at"))
+        small = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_size") <= most))
+        inside = beside_groups(rows, small.select(*span).distinct(), keys, F.col("_v")).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        held = inside.groupBy(*span).agg(F.sort_array(F.collect_list("_v")).alias("_all"))  # `most` values at most
+        found = _null_safe(small, held, span).select(*keys, "r", F.element_at("_all", (F.col("r") - F.col("_before") + 1).cast("int")).alias("at"))
+        done = settled.unionByName(found) if done is None else done.unionByName(settled).unionByName(found)
+        large = state.where((F.col("_lo") < F.col("_hi")) & (F.col("_size") > most))
+        if large.isEmpty():
+            break
+        near = beside_groups(rows, large.select(*span).distinct(), keys, F.col("_v")).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        bucket = F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * buckets), F.lit(buckets - 1))
+        cells = near.groupBy(*span, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        upto = F.sum("_c").over(Window.partitionBy(*span).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))  # over `buckets` rows at most
+        cells = cells.withColumn("_upto", upto)
+        met = _null_safe(large, cells, span).where((F.col("r") >= F.col("_before") + F.col("_upto") - F.col("_c")) & (F.col("r") < F.col("_before") + F.col("_upto")))
+        state = met.select(*keys, "r", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_c").alias("_size"), (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"))
+    got = _null_safe(asked, done.distinct(), [*keys, "r"])
+    return got.groupBy(*keys, "q").agg(F.sum(F.col("at") * F.col("w")).alias("at"))
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys, null equal to null."""
+    b = b.select(*(F.col(c).alias(f"_j_{c}") if c in keys else F.col(c) for c in b.columns))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_j_{k}"))
+    return a.join(b, on).drop(*(f"_j_{k}" for k in keys))

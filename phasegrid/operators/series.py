@@ -66,24 +66,36 @@ def within_group_z(value: Column, keys: list[str]) -> Column:
 
 
 def clean_intervals(df: DataFrame, keys: list[str], value: str = "rr") -> DataFrame:
-    """Intervals (ms) in 300..2000, or in 250..2500 where fewer than 60 % are; then within three scaled median deviations, unless that leaves fewer than ten."""
-    w = Window.partitionBy(*keys)
+    """Intervals (ms) in 300..2000, or in 250..2500 where fewer than 60 % are; then within three scaled median deviations, unless that leaves fewer than ten.
+
+    Medians come from refined histograms and rows of a key are dealt over salts, so a key may hold most rows.
+    """
+    from .order import beside_groups, cut, group_quantiles
+
     x = F.col(value)
-    share = F.avg(F.when(x.between(300, 2000), 1.0).otherwise(0.0)).over(w)
-    df = df.withColumn("_in", F.when(share >= 0.6, x.between(300, 2000)).otherwise(x.between(250, 2500)))
-    df = df.where("_in").drop("_in").withColumn("_med", F.median(x).over(w))
-    df = df.withColumn("_mad", F.median(F.abs(x - F.col("_med"))).over(w))
-    df = df.withColumn("_ok", F.abs(x - F.col("_med")) <= 3 * 1.4826 * F.col("_mad"))
-    left = F.sum(F.col("_ok").cast("int")).over(w)
-    return df.withColumn("_n", left).where("_ok or _n < 10").drop("_med", "_mad", "_ok", "_n")
+    share = df.groupBy(*keys).agg(F.avg(F.when(x.between(300, 2000), 1.0).otherwise(0.0)).alias("_share"))
+    df = beside_groups(df, share, keys, x)
+    df = cut(df.where(F.when(F.col("_share") >= 0.6, x.between(300, 2000)).otherwise(x.between(250, 2500))).drop("_share"))
+    middle = group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("at").alias("_med"))
+    far = cut(beside_groups(df, middle, keys, x).withColumn("_far", F.abs(x - F.col("_med"))))
+    limit = group_quantiles(far, keys, "_far", [0.5]).select(*keys, (3 * 1.4826 * F.col("at")).alias("_limit"))
+    far = beside_groups(far, limit, keys, x).withColumn("_ok", F.col("_far") <= F.col("_limit"))
+    left = far.groupBy(*keys).agg(F.sum(F.col("_ok").cast("int")).alias("_n"))
+    return beside_groups(far, left, keys, x).where("_ok or _n < 10").drop("_med", "_far", "_limit", "_ok", "_n")
 
 
 def fence(df: DataFrame, keys: list[str], value: str, times: float = 3.0, out: str = "fenced") -> DataFrame:
-    """Null for negative values and those beyond `times` interquartile ranges from the quartiles of what remains (no limits where that range is 0)."""
-    q = df.where(F.col(value) >= 0).groupBy(*keys).agg(F.expr(f"percentile({value}, 0.25)").alias("_q1"), F.expr(f"percentile({value}, 0.75)").alias("_q3"))
+    """Null for negative values and those beyond `times` interquartile ranges from the quartiles of what remains (no limits where that range is 0).
+
+    Quartiles come from refined histograms and rows of a key are dealt over salts, so a key may hold most rows.
+    """
+    from .order import beside_groups, group_quantiles
+
+    at = lambda q: F.max(F.when(F.col("q") == q, F.col("at")))
+    q = group_quantiles(df.where(F.col(value) >= 0), keys, value, [0.25, 0.75]).groupBy(*keys).agg(at(0.25).alias("_q1"), at(0.75).alias("_q3"))
     iqr = F.col("_q3") - F.col("_q1")
     ok = (F.col(value) >= 0) & ((iqr == 0) | F.col(value).between(F.col("_q1") - times * iqr, F.col("_q3") + times * iqr))
-    return df.join(q, keys, "left").withColumn(out, F.when(ok, F.col(value))).drop("_q1", "_q3")
+    return beside_groups(df, q, keys, F.col(value), "left").withColumn(out, F.when(ok, F.col(value))).drop("_q1", "_q3")
 
 
 def variability(df: DataFrame, keys: list[str], order: list[str], value: str = "rr") -> DataFrame:

@@ -325,3 +325,11 @@ def usable(candidates: DataFrame, least_size: int = 10, least_ari: float = 0.60)
     marked = mark_usable(candidates, least_size, least_ari)
     some = marked.agg(F.max("usable").alias("_any"))
     return marked.join(some, F.col("usable") | ~F.coalesce("_any", F.lit(False))).drop("_any")
+
+
+def indices(labelled: DataFrame, by: list[str] = ["run"], key: str = "id") -> DataFrame:
+    """(by, silhouette, ch, db, sizes, min_size, max_size) of many partitions (by, id, cluster, x) at once."""
+    out = sizes_text(labelled, by)
+    for part in (silhouette(labelled, key, by).select(*by, "silhouette"), calinski_harabasz(labelled, by).select(*by, "ch"), davies_bouldin(labelled, by)):
+        out = out.join(part, by, "left")
+    return out

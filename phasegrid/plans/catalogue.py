@@ -905,8 +905,8 @@ RECORDING = ["subject", "segment"]
 
 def recordings(t) -> DataFrame:
     """Values of a subject in order of time, taken as samples at 4 Hz, in segments of ten minutes."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t("events").select(F.col("user_id").alias("subject"), ((F.row_number().over(w) - 1) / 4).alias("t_sec"), "value")
+    placed = order.places_in_group(t("events").where("user_id is not null").select(F.col("user_id").alias("subject"), "ts", "event_id", "value"), ["subject"], ["ts", "event_id"])
+    rows = placed.select("subject", ((F.col("place") - 1) / 4).alias("t_sec"), "value")
     return rows.withColumn("segment", F.floor(F.col("t_sec") / SEGMENT_S))
 
 

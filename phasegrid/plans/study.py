@@ -38,6 +38,8 @@ class Config:
     #: Write distances and co-clustering of all pairs of subjects, which grow with their square.
     pair_tables: bool = True
     blocks: dict = field(default_factory=lambda: dict(BLOCKS))
+    #: Sets of continuous traits {mode: traits} that are tested apart; without it all traits are one set.
+    trait_sets: dict = field(default_factory=dict)
 
 
 def long_features(minute: DataFrame, survey: DataFrame, load: DataFrame, traits: DataFrame) -> DataFrame:
@@ -74,19 +76,18 @@ def subject_matrix(features: DataFrame, config: Config = Config()) -> DataFrame:
 
 def candidates(x: DataFrame, names: list[str], config: Config = Config()) -> tuple[DataFrame, dict[str, cluster.Solution]]:
     """(key, model, k, kind, indices, sizes) of every model of the grid, and the solutions by key."""
-    found: dict[str, cluster.Solution] = {}
-    for k in config.ks:
-        found[f"kmeans_k{k}"] = cluster.kmeans(x, "id", names, k, config.n_init, config.seed)
-        found[f"ward_k{k}"] = cluster.ward(x, "id", names, k)
-        for kind in config.kinds:
-            found[f"gmm_k{k}_{kind}"] = cluster.gmm(x, "id", names, k, kind, config.mixture_init, config.seed)
-    rows = None
+    found: dict[str, cluster.Solution] = {f"kmeans_k{s.k}": s for s in cluster.kmeans_many(x, "id", names, list(config.ks), config.n_init, config.seed)}
+    found |= {f"ward_k{k}": cluster.ward(x, "id", names, k) for k in config.ks}
+    found |= {f"gmm_k{s.k}_{s.extra['kind']}": s for s in cluster.mixtures(x, "id", names, [(k, kind) for k in config.ks for kind in config.kinds], config.mixture_init, config.seed)}
+    every = None
     for key, s in found.items():
-        labelled = cut(validity.as_vector(x.join(s.labels, "id"), "id", names))
-        one = validity.calinski_harabasz(labelled).select("ch").crossJoin(validity.davies_bouldin(labelled)).crossJoin(validity.silhouette(labelled, "id").select("silhouette")).crossJoin(validity.sizes_text(labelled.withColumn("_all", F.lit(1)), ["_all"]).drop("_all"))
-        one = one.select(F.lit(key).alias("key"), F.lit(s.model).alias("model"), F.lit(s.k).alias("k"), F.lit(s.extra.get("kind")).cast("string").alias("kind"), F.lit(s.extra.get("bic")).cast("double").alias("bic"), F.lit(s.extra.get("aic")).cast("double").alias("aic"), "silhouette", "ch", "db", "sizes", "min_size", "max_size")
-        rows = one if rows is None else rows.unionByName(one)
-    return cut(rows), found
+        one = s.labels.select(F.lit(key).alias("key"), "id", "cluster")
+        every = one if every is None else every.unionByName(one)
+    vectors = x.select("id", F.array(*(F.col(c).cast("double") for c in names)).alias("x"))
+    facts = [(key, s.model, s.k, s.extra.get("kind"), s.extra.get("bic"), s.extra.get("aic")) for key, s in found.items()]
+    facts = x.sparkSession.createDataFrame(facts, "key string, model string, k int, kind string, bic double, aic double")
+    scored = validity.indices(cut(every.join(vectors, "id")), ["key"])
+    return cut(facts.join(scored, "key").select(*facts.columns, "silhouette", "ch", "db", "sizes", "min_size", "max_size")), found
 
 
 def _partitions(x: DataFrame, names: list[str], specs: dict[int, tuple[str, int, str | None, int]], config: Config, picks: cluster.Picks | None) -> DataFrame:
@@ -196,6 +197,7 @@ def run(spark: SparkSession, features: DataFrame, traits: DataFrame, folder: str
         "outliers": validity.distance_outliers(vectors, "id"), "tiny": validity.tiny_causes(vectors), "blocks": spark.createDataFrame(linear.block_diagnostics(x, scale.chosen_blocks(config.blocks, config.structure)), BLOCK_ROW),
     }
     c = linear.components(x, names)
+    out |= component_frames(spark, c, names)
     out["embedding"] = linear.scores(labelled, names, c["vectors"][:, :2], c["mean"], c["sd"]).select("id", "cluster", *(f"pc{i + 1}" for i in range(min(2, c["vectors"].shape[1]))))
     if config.pair_tables:
         out["distances"] = validity.label_ordered(validity.distances(vectors, "id"), labels, "distance")
@@ -204,7 +206,7 @@ def run(spark: SparkSession, features: DataFrame, traits: DataFrame, folder: str
     # Tests of the best usable partition; where none is usable, of the best.
     tested = order.where("usable").first() or top
     merged = traits.join(solutions[tested["key"]].labels, "id")
-    own = [t for t in traits.columns if t != "id" and t not in axes]
+    own = config.trait_sets or [t for t in traits.columns if t != "id" and t not in axes]
     out |= inference.posthoc(merged, "id", "cluster", own, list(axes), config.n_perm, config.seed, config.alpha)
     write_tables(out, f"{folder}/{mark}")
     append_row(spark, f"{folder}/manifest", {"run": mark, "created_at": created_at or "", "structure": config.structure, "n_features": len(names)}, "run string, created_at string, structure string, n_features int")
@@ -212,6 +214,45 @@ def run(spark: SparkSession, features: DataFrame, traits: DataFrame, folder: str
     return out
 
 
+def component_frames(spark: SparkSession, c: dict, names: list[str]) -> dict[str, DataFrame]:
+    """What pictures of components show: scree (component, value, share, cumulative, kept for 80, 90 and 95 %) and loadings (feature, component, loading, rank inside it)."""
+    least = {p: linear.enough(c["cumulative"], p / 100) for p in (80, 90, 95)}
+    scree = [(i + 1, float(v), float(c["share"][i]), float(c["cumulative"][i]), *(i < least[p] for p in least)) for i, v in enumerate(c["values"])]
+    loads = []
+    for j in range(c["loadings"].shape[1]):
+        order = sorted(range(len(names)), key=lambda i: (-abs(c["loadings"][i, j]), names[i]))
+        loads += [(names[i], j + 1, float(c["loadings"][i, j]), place + 1) for place, i in enumerate(order)]
+    return {"scree": spark.createDataFrame(scree, "component int, value double, share double, cumulative double, in_80 boolean, in_90 boolean, in_95 boolean"), "loadings": spark.createDataFrame(loads, "feature string, component int, loading double, place int")}
+
+
+def component_report(frames: dict[str, DataFrame], most: int = 3) -> str:
+    """Components in words: value, share and the features that weigh most, down to those needed for 95 %."""
+    tops: dict[int, list[str]] = {}
+    for r in frames["loadings"].where(F.col("place") <= most).orderBy("component", "place").collect():
+        tops.setdefault(r.component, []).append(f"{r.feature} ({r.loading:+.2f})")
+    return "\n".join(f"component {r.component}: eigenvalue {r.value:.4f}, {100 * r['share']:.1f} % (together {100 * r.cumulative:.1f} %), {', '.join(tops[r.component])}" for r in frames["scree"].where("in_95").orderBy("component").collect())
+
+
+def total_report(tables: dict[str, DataFrame]) -> str:
+    """Everything in words: all candidates by rank, the best of each model and of each number of clusters, what sets the best one's clusters apart, their members far out and small clusters, components and tests."""
+    part = lambda title, lines: [title, "-" * len(title), *(lines or ["none"]), ""]
+    collect = lambda name, *by: tables[name].orderBy(*by).collect() if name in tables else []
+    best = lambda r: f"{r['key']}: score {r['rank_score']:.1f}, sizes {r['sizes']}"
+    out = part("candidates", report(tables["candidates"], 1_000).splitlines())
+    out += part("best of each model", [f"{r['model']}: {best(r)}" for r in collect("model_best", "model")])
+    out += part("best of each model and number of clusters", [f"{r['model']} k={r['k']}: {best(r)}" for r in collect("best_of_k", "model", "k")])
+    out += part("clusters", [f"cluster {r['cluster']}: {r['text']}" for r in collect("interpretation", "cluster")])
+    out += part("features by how far they tell clusters apart", [f"{r['feature']}: F {r['f'] or 0:.3f}, eta2 {r['eta2'] or 0:.3f}, p {r['p'] if r['p'] is not None else float('nan'):.4f}" for r in collect("discriminability", F.desc_nulls_last("eta2"), "feature")])
+    far = tables["outliers"].where("outlier").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("z")).orderBy("cluster").collect() if "outliers" in tables else []
+    out += part("members far from their centre", [f"cluster {r['cluster']}: {r['n']}, up to {r['z']:.2f} deviations" for r in far])
+    out += part("small clusters", [f"cluster {r['cluster']} of {r['size']}: {r['cause']} (nearest {r['nearest']}, ratio {r['ratio']:.2f})" for r in collect("tiny", "cluster")])
+    if "scree" in tables:
+        out += part("components", component_report(tables).splitlines())
+    if "global" in tables:
+        out += part("tests", posthoc_report(tables).splitlines())
+    return "\n".join(out)
+
+
 BLOCK_ROW = "block string, n_features int, mean_abs_r double, max_abs_r double, pc1 double, pc2 double, mean_norm double, sd_norm double"
 
 
@@ -225,7 +266,7 @@ def posthoc_report(tables: dict[str, DataFrame]) -> str:
     lines = [f"{r['mode']}: n {r['n']}, statistic {r['statistic'] if r['statistic'] is not None else float('nan'):.6f}, p {r['p'] if r['p'] is not None else float('nan'):.6f}" for r in tables["global"].collect()]
     for name, what, stat in (("tests", "feature", "f"), ("binary_tests", "axis", "chi2")):
         if name in tables:
-            lines += [f"- {r[what]}: {stat} {r[stat] or 0:.4f}, p_holm {r['p_holm']:.6f}" for r in tables[name].orderBy("p_holm", what).collect()]
+            lines += [f"- {r['mode'] + ' ' if 'mode' in r else ''}{r[what]}: {stat} {r[stat] or 0:.4f}, p_holm {r['p_holm']:.6f}" for r in tables[name].orderBy("p_holm", what).collect()]
     return "\n".join(lines)
 
 

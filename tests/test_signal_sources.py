@@ -156,6 +156,9 @@ def test_study_end_to_end(spark, tmp_path):
     assert got["distances"].count() == 36 * 35 // 2 and got["embedding"].columns == ["id", "cluster", "pc1", "pc2"]
     assert got["coclustering"].where("row = col").count() == 36 and len(study.posthoc_report(got).splitlines()) == 5
     assert {x["model"] for x in R.label_sets(got["labels"]).collect()} == {"kmeans", "ward", "gmm"}
+    text = study.total_report(got)
+    assert all(f"{k}: score" in text for k in (x["key"] for x in rows)) and "component 1: eigenvalue" in text and "small clusters\n" in text
+    assert got["scree"].agg(F.sum("share")).first()[0] == pytest.approx(1.0) and got["loadings"].where("place = 1").count() == got["scree"].count()
     mark = R.latest_run(spark, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/run_metrics").where(f"run = '{mark}' and name = 'best_silhouette'").count() == 1
     assert spark.read.parquet(f"{tmp_path}/{mark}/interpretation").count() == 2
