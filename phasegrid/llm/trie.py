@@ -354,7 +354,7 @@ def _shard_tree(tree: DataFrame, queue: int) -> DataFrame:
 
         yield from _batches(walk(), pa.schema([(n, pa.int64()) for n in ("shard_depth", "shard_conv", "n_leaves", "saved")]))
 
-    return tree.coalesce(1).sortWithinPartitions(F.desc("shard_depth"), "shard_conv").mapInArrow(forward, "shard_depth long, shard_conv long, n_leaves long, saved long")
+    return tree.repartition(1).sortWithinPartitions(F.desc("shard_depth"), "shard_conv").mapInArrow(forward, "shard_depth long, shard_conv long, n_leaves long, saved long")
 
 
 def prefix_trie(paths: DataFrame, shape: Shape = Shape()) -> DataFrame:
