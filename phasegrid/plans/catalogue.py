@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cluster, inference, linear, mixed, order, phase, rank, scale, series, signal, validity
+from ..sources import recordings as recordings_source
 from . import levels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -939,3 +940,87 @@ ORACLES["flagship"] = (
     "r as (select user_id, stddev_samp(delta) as s, count(delta)::double as n from d group by 1), i as (select user_id, coalesce(s, (select avg(s) from r)) as s, n from r), p as (select *, avg(s) over () as ms, stddev_pop(s) over () as ss, avg(n) over () as mn, stddev_pop(n) over () as sn from i) "
     f"select user_id, {R('case when ss > 0 then (s - ms) / (ss * sqrt(2)) else 0 end', 'reactivity_sd')}, {R('case when sn > 0 then (n - mn) / (sn * sqrt(2)) else 0 end', 'n_env')} from p"
 )
+
+
+# ---- encoders, components and tables of results, each beside its SQL ----
+
+
+@query("""with c as (select c_custkey, case c_custkey % 7 when 0 then ' M ' when 1 then 'f' when 2 then '남' when 3 then '여자' when 4 then '1' when 5 then 'Female' else c_mktsegment end as told from customer)
+    select c_custkey, case lower(trim(told)) when 'm' then 1 when '남' then 1 when '1' then 1 when 'f' then 0 when '여자' then 0 when 'female' then 0 end as sex from c""")
+def sex_codes(t):
+    told = F.when(F.col("c_custkey") % 7 < 6, F.try_element_at(F.array(*map(F.lit, (" M ", "f", "남", "여자", "1", "Female"))), (F.col("c_custkey") % 7 + 1).cast("int"))).otherwise(F.col("c_mktsegment"))
+    return t("customer").select("c_custkey", C.sex(told).cast("int").alias("sex"))
+
+
+@query(f"with {SUPPLIER} select l_suppkey, case when q is null then null else least(greatest(q, 24), 26) end as q, case when d is not null then greatest(d, 0.05) end as d from (select l_suppkey, {R('q', 'q')}, {R('d', 'd')} from x)")
+def clipped_values(t):
+    x = rounded(supplier(t))
+    return x.select("l_suppkey", C.clipped(F.col("q"), 24, 26).alias("q"), C.clipped(F.col("d"), low=0.05).alias("d"))
+
+
+@query(f"with {SUPPLIER} select l_suppkey, {R('(d - avg(d) over ()) / stddev_pop(d) over ()', 'd')} from x")
+def z_population(t):
+    return scale.standardise(supplier(t), ["d"]).select("l_suppkey", "d")
+
+
+_THREE = "x as (select l_quantity::double as a, l_extendedprice::double as b, l_quantity * l_discount as c from lineitem), r as (select corr(a, b) as r, corr(a, c) as s, corr(b, c) as u, count(*) as n from x), p as (select *, (r - s * u) / sqrt((1 - s * s) * (1 - u * u)) as pr, (s - r * u) / sqrt((1 - r * r) * (1 - u * u)) as ps, (u - r * s) / sqrt((1 - r * r) * (1 - s * s)) as pu, 1 + 2 * r * s * u - r * r - s * s - u * u as det from r)"
+
+
+@query(f"with {_THREE} select n, {R('(r * r + s * s + u * u) / (r * r + s * s + u * u + pr * pr + ps * ps + pu * pu)', 'kmo')}, {R('-(n - 1 - 11 / 6.0) * ln(det)', 'chi2')}, 3.0::double as df from p")
+def kmo_bartlett(t):
+    rows = t("lineitem").select(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), (F.col("l_quantity") * F.col("l_discount")).alias("c"))
+    n, _, cov = linear.moments(rows, ["a", "b", "c"])
+    corr = linear.correlation(cov)
+    chi2, df, _ = linear.bartlett(corr, n)
+    return rows.sparkSession.createDataFrame([(n, linear.kmo(corr)[0], chi2, float(df))], "n long, kmo double, chi2 double, df double")
+
+
+# Of two columns the components are known: (z1 + z2) / sqrt 2 and their difference, with eigenvalues 1 + r and 1 - r.
+@query(f"""with x as (select l_orderkey, l_linenumber, l_quantity::double as a, l_quantity * l_tax as b from lineitem), m as (select avg(a) as ma, stddev_pop(a) as sa, avg(b) as mb, stddev_pop(b) as sb, corr(a, b) as r from x),
+    e as (select l_orderkey, l_linenumber, (a - ma) / sa as z, (b - mb) / sb as w, r from x, m)
+    select l_orderkey, l_linenumber, {R('abs((z + w) / sqrt(2.0)) * case when abs(z + w) < 5e-7 then 0 else 1 end', 'pc1')}, {R('abs((z - w) / sqrt(2.0)) * case when abs(z - w) < 5e-7 then 0 else 1 end', 'pc2')}, {R('1 + r', 'value1')}, {R('(1 + r) / 2', 'share1')}, case when (1 + r) / 2 >= 0.9 then 1 else 2 end as enough_90 from e""")
+def two_components(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("a"), (F.col("l_quantity") * F.col("l_tax")).alias("b"))
+    c = linear.components(rows, ["a", "b"])
+    scored = linear.scores(rows, ["a", "b"], c["vectors"], c["mean"], c["sd"])
+    return scored.select("l_orderkey", "l_linenumber", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2"), F.lit(float(c["values"][0])).alias("value1"), F.lit(float(c["share"][0])).alias("share1"), F.lit(linear.enough(c["cumulative"], 0.9)).alias("enough_90"))
+
+
+_RANKS = ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in ("q", "e", "t"))
+
+
+@query(f"with {SUPPLIER}, k as (select {_RANKS} from x) select 'e' as b, 'q' as a, {R('corr(q, e)', 'rho')}, count(*) as n from k union all select 't', 'q', {R('corr(q, t)', 'rho')}, count(*) from k union all select 't', 'e', {R('corr(e, t)', 'rho')}, count(*) from k")
+def spearman_pairs(t):
+    return linear.spearman_matrix(order.cut(supplier(t)), "l_suppkey", ["q", "e", "t"]).drop("p")
+
+
+# Distances of the suppliers of the first three keys, in the order of (label, key) as a heat map wants them.
+@query(f"""with {SUPPLIER}, l as (select l_suppkey as id, (l_suppkey % 3)::int as cluster, q, e / 1000 as e from x), o as (select *, row_number() over (order by cluster, id) as p from l)
+    select a.p as "row", b.p as col, a.cluster as cluster_a, b.cluster as cluster_b, {R('sqrt(pow(a.q - b.q, 2) + pow(a.e - b.e, 2))', 'distance')} from o a join o b on a.id <> b.id where a.id % 100 = 0""")
+def label_ordered_distances(t):
+    x = order.cut(supplier(t).select(F.col("l_suppkey").alias("id"), (F.col("l_suppkey") % 3).cast("int").alias("cluster"), F.array("q", F.col("e") / 1000).alias("x")))
+    pairs = validity.distances(x, "id", F.col("id") % 100 == 0)
+    return validity.label_ordered(pairs, x.select("id", "cluster"), "distance")
+
+
+@query(f"""with c as (select l_returnflag || '_k' || l_linenumber as key, count(distinct l_suppkey) as min_size, corr(l_quantity, l_tax) + 0.6 as ari from lineitem group by 1), m as (select *, min_size >= 40 and (ari is null or ari >= 0.6) as usable from c)
+    select key, min_size, {R('ari', 'ari')}, usable from m where usable or not (select max(usable) from m)""")
+def usable_candidates(t):
+    c = t("lineitem").groupBy(F.concat_ws("_k", "l_returnflag", F.col("l_linenumber").cast("string")).alias("key")).agg(F.count_distinct("l_suppkey").alias("min_size"), (F.corr("l_quantity", "l_tax") + 0.6).alias("ari"))
+    return validity.usable(c, 40, 0.6)
+
+
+@query(f"""with {SUPPLIER}, p as (select l_suppkey % 4 as cluster, avg(q) as q, avg(e) as e, avg(t) as t from x group by 1), g as (select avg(q) as mq, stddev_pop(q) as sq, avg(e) as me, stddev_pop(e) as se, avg(t) as mt, stddev_pop(t) as st from x),
+    z as (select cluster, unnest([{{'f': 'e', 'z': (e - me) / se}}, {{'f': 'q', 'z': (q - mq) / sq}}, {{'f': 't', 'z': (t - mt) / st}}]) as v from p, g),
+    r as (select cluster, v.f || ' (' || format('{{:+.2f}}', v.z) || ')' as w, row_number() over (partition by cluster order by v.z desc, v.f) as up, row_number() over (partition by cluster order by v.z, v.f) as down from z)
+    select cluster, 'high: ' || string_agg(w, ', ' order by up) filter (where up <= 2) || '; low: ' || string_agg(w, ', ' order by down) filter (where down <= 2) as text from r group by cluster""")
+def cluster_words(t):
+    x = supplier(t).withColumn("cluster", F.col("l_suppkey") % 4)
+    return validity.interpretation(validity.profile(order.cut(x), ["q", "e", "t"]), 2)
+
+
+@query(r"""with k as (select distinct lower(split_part(p_brand, '#', 1)) || '_k' || p_size || case when p_size % 2 = 0 then '_diag' else '' end as key from part)
+    select key, regexp_extract(key, '^([a-z]+)_k', 1) as model, try_cast(regexp_extract(key, '_k([0-9]+)', 1) as int) as k, case when ends_with(key, '_diag') then 'diag' end as kind from k""")
+def partition_names(t):
+    key = F.concat(F.lower(F.split("p_brand", "#")[0]), F.lit("_k"), F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "_diag").otherwise(""))
+    return recordings_source.label_sets(t("part").select(key.alias("key")))
