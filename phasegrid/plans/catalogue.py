@@ -781,18 +781,19 @@ def polychoric_pair(t):
 
 
 ORDERED, CONTINUOUS = ["qty_level", "l_linenumber"], ["l_extendedprice", "l_discount"]
-_LEVELLED = "select least(floor(l_quantity / 10), 4)::double as qty_level, l_linenumber::double as l_linenumber, l_extendedprice::double as l_extendedprice, l_discount::double as l_discount from lineitem"
+_LEVELLED = "select least(floor(l_quantity / 10), 4)::double as qty_level, l_linenumber::double as l_linenumber, l_extendedprice::double / 1000 as l_extendedprice, l_discount::double as l_discount from lineitem"
 _LEVEL_PAIRS = " union all ".join(f"select '{a}' as a, '{b}' as b, {a} as x, {b} as y from l" for a in ORDERED for b in CONTINUOUS)
 _LEVEL_SUMS = f"l as ({_LEVELLED}), v as ({_LEVEL_PAIRS}), s as (select a, b, x, count(*) as n, sum(y) as t, sum(y * y) as q from v where x is not null and y is not null group by a, b, x)"
 
 
 def levelled(t):
-    return t("lineitem").select(F.least(F.floor(F.col("l_quantity") / 10), F.lit(4)).alias("qty_level"), *ORDERED[1:], *CONTINUOUS)
+    return t("lineitem").select(F.least(F.floor(F.col("l_quantity") / 10), F.lit(4)).alias("qty_level"), "l_linenumber", (F.col("l_extendedprice") / 1000).alias("l_extendedprice"), "l_discount")
 
 
-@query(f"with {_LEVEL_SUMS} select a, b, x as level, n, {R('t', 'total')}, {R('q', 'squares')} from s")
+@query(f"with {_LEVEL_SUMS} select a, b, x as level, n, {R('t / n', 'mean')}, {R('q / n', 'mean_square')} from s")
 def polyserial_moments(t):
-    return mixed.level_moments(levelled(t), ORDERED, CONTINUOUS)
+    got = mixed.level_moments(levelled(t), ORDERED, CONTINUOUS)
+    return got.select("a", "b", "level", "n", (F.col("total") / F.col("n")).alias("mean"), (F.col("squares") / F.col("n")).alias("mean_square"))
 
 
 @query(f"""with {_LEVEL_SUMS}, o as (select *, row_number() over (partition by a, b order by x) as p, sum(n) over (partition by a, b order by x) / sum(n) over (partition by a, b) as share from s),
