@@ -77,8 +77,19 @@ def quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] |
     return got.select(*(F.col(f"_k_{k}").alias(k) for k in keys), "q", "at")
 
 
+#: Rows of a group table, at most, that are sent to every task.
+MOST_SENT = 50_000
+
+
 def beside_groups(df: DataFrame, groups: DataFrame, keys: list[str], spread_by, how: str = "inner", salts: int = 32) -> DataFrame:
-    """df joined with a table of groups on keys (null equals null). The rows of a group are dealt over salts by `spread_by`, and its rows in `groups` copied to each."""
+    """df joined with a table of groups on keys (null equals null). Up to MOST_SENT groups, which are counted, go to every task; beyond that the rows of a group are dealt over salts by `spread_by`, and its rows in `groups` copied to each."""
+    groups = cut(groups)
+    if groups.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        right = groups.select(*(F.col(k).alias(f"_g_{k}") for k in keys), *(c for c in groups.columns if c not in keys))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        return df.join(F.broadcast(right), on, how).drop(*(f"_g_{k}" for k in keys))
     left = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     right = groups.select(*(F.col(k).alias(f"_g_{k}") for k in keys), *(c for c in groups.columns if c not in keys), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_g_salt"))
     on = F.col("_salt") == F.col("_g_salt")

@@ -77,7 +77,7 @@ def clean_intervals(df: DataFrame, keys: list[str], value: str = "rr") -> DataFr
     df = beside_groups(df, share, keys, x)
     df = cut(df.where(F.when(F.col("_share") >= 0.6, x.between(300, 2000)).otherwise(x.between(250, 2500))).drop("_share"))
     middle = group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("at").alias("_med"))
-    far = cut(beside_groups(df, middle, keys, x).withColumn("_far", F.abs(x - F.col("_med"))))
+    far = beside_groups(df, middle, keys, x).withColumn("_far", F.abs(x - F.col("_med")))
     limit = group_quantiles(far, keys, "_far", [0.5]).select(*keys, (3 * 1.4826 * F.col("at")).alias("_limit"))
     far = beside_groups(far, limit, keys, x).withColumn("_ok", F.col("_far") <= F.col("_limit"))
     left = far.groupBy(*keys).agg(F.sum(F.col("_ok").cast("int")).alias("_n"))

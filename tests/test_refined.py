@@ -19,7 +19,9 @@ def test_quantiles_of_groups_by_refinement(spark):
             assert at == pytest.approx(np.quantile(groups[k], q), rel=1e-12), (k, q)
 
 
-def test_fence_and_intervals_with_half_of_the_rows_on_one_key(spark):
+@pytest.mark.parametrize("sent", [0, 50_000])
+def test_fence_and_intervals_with_half_of_the_rows_on_one_key(spark, monkeypatch, sent):
+    monkeypatch.setattr(order, "MOST_SENT", sent)  # 0: every join is salted
     r = random.Random(4)
     rows = [(0 if i % 2 else i % 40, r.gauss(800, 60) if i % 50 else 5000.0) for i in range(3000)] + [(99, -1.0), (98, None)]
     df = spark.createDataFrame(rows, "k int, rr double")
