@@ -98,16 +98,37 @@ def beside_groups(df: DataFrame, groups: DataFrame, keys: list[str], spread_by,
     return left.join(right, on, how).drop("_salt", "_g_salt", *(f"_g_{k}" for k in keys))
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 1024, most: int = 4096) -> DataFrame:
-    """(keys, q, at): exact quantiles of each group by linear interpolation, without sorting and without a group's values in one task.
+def _numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(*keys, v.alias("_v"))
+
+
+def large_groups(df: DataFrame, keys: list[str], value: str, most: int = 4096) -> DataFrame:
+    """(keys, _n): the groups of more than `most` finite values, kept in the checkpoint folder."""
+    return cut(_numbers(df, keys, value).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most))
 
-    Counts of equally wide buckets between a group's extremes show which bucket holds a place; only that bucket is divided again, until
-    it holds one value or at most `most` rows. Nulls, NaN and infinities take no part; groups of no value are missing; a null key is a group.
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 1024, most: int = 4096, large: DataFrame | None = None) -> DataFrame:
+    """(keys, q, at): exact quantiles of each group by linear interpolation, without more than `most` of a group's values in one task.
+
+    Groups of at most `most` values are one aggregate. In larger ones (large_groups(), if the caller has them) counts of equally wide buckets
+    between the extremes show which bucket holds a place; only that bucket is divided again, until it holds one value or at most `most`
+    rows. Nulls, NaN and infinities take no part; groups of no value are missing; a null key is a group.
     """
+    rows = _numbers(df, keys, value)
+    large = large_groups(df, keys, value, most) if large is None else large
+    some = not large.isEmpty()
+    small = beside_groups(rows, large.select(*keys), keys, F.col("_v"), "left_anti") if some else rows
+    wanted = F.percentile("_v", [float(s) for s in shares])
+    pairs = F.explode(F.arrays_zip(F.array(*(F.lit(float(s)) for s in shares)).alias("q"), F.col("_at").alias("at"))).alias("_e")
+    out = small.groupBy(*keys).agg(wanted.alias("_at")).select(*keys, pairs).select(*keys, F.col("_e.q").alias("q"), F.col("_e.at").alias("at"))
+    return out.unionByName(_refined(beside_groups(rows, large.select(*keys), keys, F.col("_v")), keys, shares, buckets, most)) if some else out
+
+
+def _refined(rows: DataFrame, keys: list[str], shares: list[float], buckets: int, most: int) -> DataFrame:
+    """The part of group_quantiles() for large groups."""
     from pyspark.sql import Window
 
-    v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(*keys, v.alias("_v"))
     ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("q", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
     place = (F.col("_n") - 1) * F.col("q")
     both = F.explode(F.array(F.struct(F.floor(place).alias("r"), (1 - (place - F.floor(place))).alias("w")), F.struct(F.ceil(place).alias("r"), (place - F.floor(place)).alias("w")))).alias("_e")

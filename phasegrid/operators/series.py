@@ -65,23 +65,43 @@ def within_group_z(value: Column, keys: list[str]) -> Column:
     return F.when(sd == 0, 0.0).otherwise((value - F.avg(value).over(w)) / F.when(sd > 0, sd))
 
 
-def clean_intervals(df: DataFrame, keys: list[str], value: str = "rr") -> DataFrame:
+def clean_intervals(df: DataFrame, keys: list[str], value: str = "rr", most: int = 4096) -> DataFrame:
     """Intervals (ms) in 300..2000, or in 250..2500 where fewer than 60 % are; then within three scaled median deviations, unless that leaves fewer than ten.
 
-    Medians come from refined histograms and rows of a key are dealt over salts, so a key may hold most rows.
+    Groups of at most `most` rows give their limits in one aggregate, larger ones by refined histograms, and rows of a key are dealt over
+    salts, so a key may hold most rows.
     """
-    from .order import beside_groups, cut, group_quantiles
+    from .order import beside_groups, cut
 
     x = F.col(value)
-    share = df.groupBy(*keys).agg(F.avg(F.when(x.between(300, 2000), 1.0).otherwise(0.0)).alias("_share"))
-    df = beside_groups(df, share, keys, x)
-    df = cut(df.where(F.when(F.col("_share") >= 0.6, x.between(300, 2000)).otherwise(x.between(250, 2500))).drop("_share"))
-    middle = group_quantiles(df, keys, value, [0.5]).select(*keys, F.col("at").alias("_med"))
-    far = beside_groups(df, middle, keys, x).withColumn("_far", F.abs(x - F.col("_med")))
-    limit = group_quantiles(far, keys, "_far", [0.5]).select(*keys, (3 * 1.4826 * F.col("at")).alias("_limit"))
-    far = beside_groups(far, limit, keys, x).withColumn("_ok", F.col("_far") <= F.col("_limit"))
-    left = far.groupBy(*keys).agg(F.sum(F.col("_ok").cast("int")).alias("_n"))
-    return beside_groups(far, left, keys, x).where("_ok or _n < 10").drop("_med", "_far", "_limit", "_ok", "_n")
+    wide = F.when(F.col("_share") >= 0.6, x.between(300, 2000)).otherwise(x.between(250, 2500))
+    share = F.avg(F.when(x.between(300, 2000), 1.0).otherwise(0.0)).alias("_share")
+    large = cut(df.groupBy(*keys).agg(share, F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n"))
+    some = not large.isEmpty()
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2
+    small = beside_groups(df, large.select(*keys), keys, x, "left_anti") if some else df
+    held = small.groupBy(*keys).agg(share, F.sort_array(F.collect_list(x)).alias("_all"))  # `most` values at most
+    usual = F.col("_share") >= 0.6
+    held = held.withColumn("_all", F.filter("_all", lambda v: F.when(usual, v.between(300, 2000)).otherwise(v.between(250, 2500)))).withColumn("_med", middle(F.col("_all")))
+    held = held.withColumn("_all", F.sort_array(F.transform("_all", lambda v: F.abs(v - F.col("_med"))))).withColumn("_limit", 3 * 1.4826 * middle(F.col("_all")))
+    limits = held.withColumn("_n", F.size(F.filter("_all", lambda d: d <= F.col("_limit")))).select(*keys, "_share", "_med", "_limit", "_n")
+    if some:
+        limits = limits.unionByName(_interval_limits(df, keys, value, large, wide))
+    return beside_groups(df, limits, keys, x).where(wide & ((F.abs(x - F.col("_med")) <= F.col("_limit")) | (F.col("_n") < 10))).drop("_share", "_med", "_limit", "_n")
+
+
+def _interval_limits(df: DataFrame, keys: list[str], value: str, groups: DataFrame, wide: Column) -> DataFrame:
+    """(keys, _share, _med, _limit, _n) of clean_intervals() for groups of any size."""
+    from .order import beside_groups, cut, group_quantiles, large_groups
+
+    x = F.col(value)
+    rows = cut(beside_groups(df.select(*keys, value), groups, keys, x).where(wide))
+    large = large_groups(rows, keys, value)
+    middle = group_quantiles(rows, keys, value, [0.5], large=large).select(*keys, F.col("at").alias("_med"))
+    far = beside_groups(rows, middle, keys, x).withColumn("_far", F.abs(x - F.col("_med")))
+    limit = group_quantiles(far, keys, "_far", [0.5], large=large).select(*keys, (3 * 1.4826 * F.col("at")).alias("_limit"))
+    far = beside_groups(far, limit, keys, x)
+    return far.groupBy(*keys, "_share", "_med", "_limit").agg(F.sum((F.col("_far") <= F.col("_limit")).cast("int")).alias("_n"))
 
 
 def fence(df: DataFrame, keys: list[str], value: str, times: float = 3.0, out: str = "fenced") -> DataFrame:

@@ -19,8 +19,8 @@ def test_quantiles_of_groups_by_refinement(spark):
             assert at == pytest.approx(np.quantile(groups[k], q), rel=1e-12), (k, q)
 
 
-@pytest.mark.parametrize("sent", [0, 50_000])
-def test_fence_and_intervals_with_half_of_the_rows_on_one_key(spark, monkeypatch, sent):
+@pytest.mark.parametrize("sent, most", [(0, 60), (50_000, 60), (50_000, 4096)])
+def test_fence_and_intervals_with_half_of_the_rows_on_one_key(spark, monkeypatch, sent, most):
     monkeypatch.setattr(order, "MOST_SENT", sent)  # 0: every join is salted
     r = random.Random(4)
     rows = [(0 if i % 2 else i % 40, r.gauss(800, 60) if i % 50 else 5000.0) for i in range(3000)] + [(99, -1.0), (98, None)]
@@ -31,7 +31,7 @@ def test_fence_and_intervals_with_half_of_the_rows_on_one_key(spark, monkeypatch
     key = lambda d: sorted(map(tuple, d.select("k", "rr", "fenced").collect()), key=str)
     assert key(series.fence(df, ["k"], "rr")) == key(want)
     kept = {}
-    for k, rr in ((x.k, x.rr) for x in series.clean_intervals(df, ["k"]).collect()):
+    for k, rr in ((x.k, x.rr) for x in series.clean_intervals(df, ["k"], most=most).collect()):
         kept.setdefault(k, []).append(rr)
     for k in {k for k, _ in rows}:
         own = np.array([v for j, v in rows if j == k and v is not None])
