@@ -1,9 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs, in numpy.
 
-A text is cut into overlapping windows of words; each window gets a logit, and the greatest decides. The
-network learns from labelled texts alone: first every window bears its text's label, then only the windows of a toxic text
+Every run of WIDTH words of a text is a window (a shorter text is one); each window gets a logit, and the greatest decides. Windows share
+the states of their words: the state of a word reads the STRIDE words up to it, and those before them that share its lead-in, forwards
+and likewise backwards, so all windows together cost as much as every STRIDEth alone; each pools its own words by attention. The network learns from labelled texts alone: first every window bears its text's label, then only the windows of a toxic text
 that score highest count as toxic (and the highest of clean texts as clean). Scores are calibrated on texts held back from
-the fit. The fit uses a bounded sample (Fit.most_toxic, Fit.most_clean, Fit.longest); scoring reads every whole text.
+the fit. The fit uses a bounded sample (Fit.most_toxic, Fit.most_clean, Fit.longest) and windows at every STRIDEth word of it, at most
+Fit.windows_of_text of a text and Fit.windows draws of a kind in an epoch; scoring reads every window of every whole text.
 
 Defined cases: null and empty texts are one empty window and get a score; unlabelled rows are scored alike; null labels and labels of
 unknown texts are ignored; without any label of either kind every score is 0.5; repeated rows score alike; an empty
@@ -57,10 +59,11 @@ class Tokens:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         n = len(bounds) - 1
-        lead = np.arange(len(data)) + 1 + np.repeat(np.arange(n), np.diff(bounds))
-        own = np.full(len(data) + n + 5, 32, np.uint8)
+        # Two spaces before each text, so that no gram reaches into the next one.
+        lead = np.arange(len(data)) + 2 + np.repeat(2 * np.arange(n), np.diff(bounds))
+        own = np.full(len(data) + 2 * n + 5, 32, np.uint8)
         own[lead] = _FOLD[data]
-        edges = bounds + np.arange(n + 1)
+        edges = bounds + 2 * np.arange(n + 1)
         starts, ends, self.first = words(own, np.r_[edges[:-1], len(own)]) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64))
         self.word = (hashed(own, starts, ends) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
         wide = own.astype(np.uint32)
@@ -171,15 +174,45 @@ class Network:
             np.add.at(dx, k["at"].ravel(), flat @ self.p[f"W{d}"].T)
         return g, dx
 
-    def text_logits(self, t: Tokens) -> np.ndarray:
-        """The greatest window logit of each row."""
-        row, start, n = t.windows()
-        x = self.inputs(t)
-        out = np.full(len(t.first) - 1, -np.inf)
+    def states(self, t: Tokens) -> np.ndarray:
+        """Both states of every word: each way reads from the start of the STRIDE words before the word's own STRIDE, or after them."""
+        x, n = self.inputs(t), np.diff(t.first)
+        many = -(-n // STRIDE)
+        row = np.repeat(np.arange(len(n)), many)
+        own = (np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(many)[:-1]], many)) * STRIDE
+        out = np.zeros((len(x), 2 * HID), np.float32)
+        given = {d: x @ self.p[f"W{d}"] + self.p[f"b{d}"] for d in "fb"}
         for s in range(0, len(row), 8192):
-            np.maximum.at(out, row[s : s + 8192], self.forward(x, start[s : s + 8192], n[s : s + 8192]))
+            r, k = row[s : s + 8192], own[s : s + 8192]
+            for d, lead, held, cols in (("f", STRIDE, slice(STRIDE, 2 * STRIDE), slice(0, HID)), ("b", 0, slice(0, STRIDE), slice(HID, 2 * HID))):
+                place = k - lead + np.arange(2 * STRIDE)[:, None]
+                inside = (place >= 0) & (place < n[r])
+                at = np.where(inside, t.first[:-1][r] + place, 0)
+                h = self._way(given[d][at], inside.astype(np.float32), d, None)
+                out[at[held][inside[held]], cols] = h[held][inside[held]]
         return out
 
+    def text_logits(self, t: Tokens) -> np.ndarray:
+        """The greatest logit of each row's windows, one starting at every word."""
+        n = np.diff(t.first)
+        if not len(n):
+            return np.zeros(0)
+        h = self.states(t)
+        e = np.exp((np.tanh(h @ self.p["Wa"] + self.p["ba"]) @ self.p["va"]).astype(np.float64))
+        # Rows lie WIDTH zeros apart, so that sums over WIDTH places never mix them.
+        edges = np.r_[0, np.cumsum(n + WIDTH)]
+        place = np.arange(len(h)) + np.repeat(np.arange(len(n)) * WIDTH, n)
+        sums = np.zeros((2, edges[-1] + WIDTH))
+        sums[0, place], sums[1, place] = e, e * (h @ self.p["wo"])
+        step = 1
+        while step < WIDTH:  # WIDTH is a power of two
+            sums[:, :-step] += sums[:, step:].copy()
+            step *= 2
+        logit = sums[1, : edges[-1]] / (sums[0, : edges[-1]] + 1e-9) + self.p["bo"][0]
+        late = np.arange(edges[-1]) - np.repeat(edges[:-1], n + WIDTH) > np.repeat(np.maximum(n - WIDTH, 0), n + WIDTH)
+        logit[late] = -np.inf
+        return np.maximum.reduceat(logit, edges[:-1])
+
     def scores(self, t: Tokens) -> np.ndarray:
         z = self.text_logits(t).astype(np.float64)
         # A hundredth of the plain sigmoid keeps the order where the calibration is flat.
