@@ -227,7 +227,7 @@ def links(docs: DataFrame, signed: DataFrame, k: int, percent: int, block: int |
     core_right = placed.where("not rest").select("nid", "grp", "root", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, r - 1)")).alias("i"), (F.col("r") + F.col("at")).alias("j"))
     blocks = as_left.unionByName(rest_right).unionByName(core_right).join(sets, "nid")
     more = compact(cut(blocks.groupBy("grp", "i", "j").applyInArrow(_across(percent), "a long, b long")), n_pairs)
-    return first.withColumnRenamed("nid", "node") if more.isEmpty() else components(near.unionByName(more))
+    return first.withColumnRenamed("nid", "node") if more.isEmpty() else components(first.select(F.col("nid").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def _members(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
