@@ -86,6 +86,17 @@ def silhouette(df: DataFrame, key: str, by: list[str] | None = None, block: int
     packed = asks.groupBy(*by, "_t", "_blocks", slot.alias("_a")).agg(F.collect_list(F.struct("_k", "x")).alias("_x"))
     met = packed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(held, [*by, "_t", "_b"])
 
+    def gaps(x, y):
+        """Squared distances. With many dimensions by a product of matrices around y's mean; pairs so near that this loses digits are taken again."""
+        if x.shape[1] <= 8:
+            return sum(((x[:, None, d] - y[None, :, d]) ** 2 for d in range(x.shape[1])), np.zeros((len(x), len(y))))
+        u, v = x - y.mean(0), y - y.mean(0)
+        long = (u * u).sum(1)[:, None] + (v * v).sum(1)[None]
+        gap = long - 2 * (u @ v.T)
+        near = np.nonzero(~(gap > 1e-5 * long))
+        gap[near] = sum((x[near[0], d] - y[near[1], d]) ** 2 for d in range(x.shape[1]))
+        return gap
+
     def sums(batches):
         for batch in batches:
             for i in range(batch.num_rows):
@@ -95,10 +106,8 @@ def silhouette(df: DataFrame, key: str, by: list[str] | None = None, block: int
                 y = np.asarray(told.flatten(), float).reshape(len(told), -1)
                 total = np.zeros(len(x))
                 for at in range(0, len(x), 256):
-                    gap = np.zeros((min(256, len(x) - at), len(y)))
-                    for d in range(x.shape[1]):
-                        gap += (x[at : at + 256, None, d] - y[None, :, d]) ** 2
-                    total[at : at + 256] = np.sqrt(gap).sum(1)
+                    for of in range(0, len(y), 1024):
+                        total[at : at + 256] += np.sqrt(gaps(x[at : at + 256], y[of : of + 1024])).sum(1)
                 again = pa.array(np.zeros(len(x), np.int32))
                 yield pa.RecordBatch.from_arrays([*(one.column(c).take(again) for c in (*by, "_t")), asked.field("_k"), pa.array(total)], names=[*by, "_t", "_k", "_sum"])
 

@@ -42,3 +42,17 @@ def test_distances_with_null_vectors(spark):
 def test_blocks_of_a_silhouette_do_not_grow_with_the_rows(spark):
     got = spark.range(1).select(*(validity.blocks_of(F.lit(n), 512).alias(f"b{n}") for n in (1, 513, 8192, 1_000_000, 2_000_000))).first()
     assert list(got) == [1, 2, 16, 16, 31]
+
+
+def test_silhouette_of_many_dimensions_with_copies_far_from_the_origin(spark):
+    g = np.random.default_rng(8)
+    x = 1e4 + np.round(g.standard_normal((90, 12)) + 3 * (np.arange(90) % 3)[:, None], 2)
+    x[30:60] = x[:30]
+    c = np.arange(90) % 3
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(90):
+        a, b = d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1), min(d[i, c == k].mean() for k in range(3) if k != c[i])
+        want.append((b - a) / max(a, b))
+    df = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(90)], "id int, cluster int, x array<double>")
+    assert validity.silhouette(df, "id").first().silhouette == pytest.approx(np.mean(want), abs=1e-9)
