@@ -140,6 +140,85 @@ def _relabelled(df: DataFrame, key: str, group: str, columns: list[str], n_perm:
         yield dealt.withColumn("_g", F.element_at(names, F.size(F.filter("_limits", lambda x: x < F.col("_h"))) + 1)).drop("_h", "_b", "_limits", key)
 
 
+def _hash_long(key: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs after columns whose hash is the seed."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    h = (seed + p5 + np.uint64(8)) ^ (turn(key * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def _relabelled_sums(rows: DataFrame, key: str, group: str, columns: list[str], n_perm: int, seed: int, batch: int = 500, bits: int = 10) -> Iterator[DataFrame]:
+    """Batches of (_run, _g, n, columns): sizes and sums of the groups that _relabelled() deals out, for a key of type long.
+
+    Tasks hash their rows for one run after another and send counts, the hashes at the borders, and sums; no row is copied for each run.
+    """
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from .order import cut
+
+    spark = rows.sparkSession
+    sizes = rows.groupBy(group).count().orderBy(group).limit(MOST_GROUPS + 1).collect()
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"{group} has more than {MOST_GROUPS} groups")
+    borders = np.cumsum([r["count"] for r in sizes[:-1]]).astype(np.int64)
+    own = rows.select(F.col(key).alias("_k"), *columns)
+    for first in range(0, n_perm, batch):
+        seeds = [(r["id"], r["s"]) for r in spark.range(first, min(first + batch, n_perm)).select("id", F.xxhash64(F.lit(seed), "id").alias("s")).collect()]
+        start = np.array([s for _, s in seeds], np.int64).view(np.uint64)
+
+        def hashes(batches, start=start):
+            for part in batches:
+                k = np.asarray(part.column("_k")).astype(np.int64).view(np.uint64)
+                for i, s in enumerate(start):
+                    yield part, i, _hash_long(k, s)
+
+        def count(batches):
+            total = np.zeros((len(start), 1 << bits), np.int64)
+            for _, i, h in hashes(batches):
+                total[i] += np.bincount((h >> (64 - bits)) + (1 << (bits - 1)), minlength=1 << bits)
+            i, b = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(b), pa.array(total[i, b])], names=["i", "b", "c"])
+
+        limits = np.zeros((len(start), 0), np.int64)
+        if len(borders):
+            upto = own.select("_k").mapInArrow(count, "i long, b long, c long").groupBy("i", "b").agg(F.sum("c").alias("c")).withColumn("u", F.sum("c").over(Window.partitionBy("i").orderBy("b")))
+            wanted = F.explode(F.filter(F.array(*(F.lit(int(x)).cast("long") for x in borders)), lambda t: (t > F.col("u") - F.col("c")) & (t <= F.col("u")))).alias("t")
+            asked = upto.select("i", "b", (F.col("u") - F.col("c")).alias("before"), wanted).collect()  # batch * groups rows at most
+            buckets: dict[int, set] = {}
+            for r in asked:
+                buckets.setdefault(r["i"], set()).add(r["b"])
+
+            def near(batches):
+                for _, i, h in hashes(batches):
+                    b = (h >> (64 - bits)) + (1 << (bits - 1))
+                    at = np.flatnonzero(np.isin(b, list(buckets.get(i, ()))))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(b[at]), pa.array(h[at])], names=["i", "b", "h"])
+
+            told = spark.createDataFrame([(r["i"], r["b"], r["before"], r["t"]) for r in asked], "i long, b long, before long, t long")
+            place = F.row_number().over(Window.partitionBy("i", "t").orderBy("h")) + F.col("before")
+            found = own.select("_k").mapInArrow(near, "i long, b long, h long").join(F.broadcast(told), ["i", "b"]).withColumn("p", place).where("p = t").select("i", "t", "h").collect()
+            limits = np.zeros((len(start), len(borders)), np.int64)
+            for r in found:
+                limits[r["i"], int(np.searchsorted(borders, r["t"]))] = r["h"]
+
+        def add(batches, limits=limits):
+            total = np.zeros((len(start), len(sizes), 1 + len(columns)))
+            for part, i, h in hashes(batches):
+                g = np.searchsorted(limits[i], h, "left")
+                for c, w in enumerate((None, *(np.asarray(part.column(n), float) for n in columns))):
+                    total[i, :, c] += np.bincount(g, w, len(sizes))
+            i, g = np.nonzero(total[:, :, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(g), *(pa.array(total[i, g, c]) for c in range(1 + len(columns)))], names=["_run", "_g", "n", *columns])
+
+        shape = ", ".join(["_run long, _g long, n double", *(f"`{c}` double" for c in columns)])
+        yield own.mapInArrow(add, shape).groupBy("_run", "_g").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns))
+
+
 def permutation_profile(df: DataFrame, key: str, group: str, columns: list[str], n_perm: int = 999, seed: int = 42) -> dict:
     """(observed pseudo-F, p): p = (number of relabellings at least as high + 1) / (n_perm + 1). Null below five rows.
 
@@ -154,8 +233,11 @@ def permutation_profile(df: DataFrame, key: str, group: str, columns: list[str],
     observed = pseudo_f(rows, group, columns).first()["f"]
     total = rows.agg(sum((F.sum(F.col(c) ** 2) for c in columns), F.lit(0.0)), sum((F.sum(c) ** 2 / F.count(F.lit(1)) for c in columns), F.lit(0.0))).first()
     at_least = 0
-    for mixed in _relabelled(rows, key, group, columns, n_perm, seed):
-        cell = mixed.groupBy("_run", "_g").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in columns))
+    if dict(rows.dtypes)[key] == "bigint":
+        cells = _relabelled_sums(rows, key, group, columns, n_perm, seed)
+    else:
+        cells = (mixed.groupBy("_run", "_g").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in columns)) for mixed in _relabelled(rows, key, group, columns, n_perm, seed))
+    for cell in cells:
         between = cell.groupBy("_run").agg(F.sum(sum((F.col(c) ** 2 for c in columns), F.lit(0.0)) / F.col("n")).alias("b"), F.count(F.lit(1)).alias("k"))
         f = ((F.col("b") - total[1]) / (F.col("k") - 1)) / ((total[0] - F.col("b")) / (n - F.col("k")))
         at_least += between.where(f >= observed * (1 - 1e-12)).count()
