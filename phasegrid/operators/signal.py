@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import waves as w
-from ..functions.convex import decompose
+from ..functions.convex import decompose_many
 
 # Gates and bands of the domain.
 REJECT_SNR, STRONG_SNR, MEDIUM_SNR = -25.0, -15.0, -10.0
@@ -20,28 +20,66 @@ FILTERS = {"strong": (5, 1.0, 35.0, 10), "medium": (4, 0.7, 40.0, 15), "standard
 KEYS = ["subject", "condition"]
 
 
+#: Samples of recordings, about, that a task hands to a kernel at once.
+SAMPLES = 1 << 18
+
+
 def per_recording(df: DataFrame, keys: list[str], schema: str, kernel: Callable[[np.ndarray, np.ndarray], dict | None], time: str = "t_sec", value: str = "value") -> DataFrame:
     """One row for each recording: keys, the kernel's values by name, and a status; a kernel that raises ValueError gives its reason."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = dict(df.dtypes)
-
-    def run(rows: pa.Table) -> pa.Table:
-        t, x = rows[time].to_numpy(zero_copy_only=False), rows[value].to_numpy(zero_copy_only=False).astype(float)
-        order = np.argsort(t, kind="stable")
-        t, x = t[order], x[order]
-        try:
-            got, status = kernel(t[np.isfinite(x)], x[np.isfinite(x)]) or {}, "ok"
-        except ValueError as e:
-            got, status = {}, str(e)
-        own = {k: [rows[k][0].as_py()] for k in keys} | {n: [got.get(n)] for n in names} | {"status": [status]}
-        return pa.table(own, schema=target)
-
-    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), schema, "status string"])
+
+    def each(recordings: list[tuple[np.ndarray, np.ndarray]]) -> list[dict | ValueError | None]:
+        out = []
+        for t, x in recordings:
+            try:
+                out.append(kernel(t, x))
+            except ValueError as e:
+                out.append(e)
+        return out
+
+    held = df.select(*keys, time, value).groupBy(*keys).agg(held_samples(time, value))
+    return measured(held, schema, each)
+
+
+def held_samples(time: str, value: str) -> Column:
+    """The samples of one recording, whose length is bounded, as one value for measured()."""
+    return F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).cast("double").alias("x"))).alias("_samples")
+
+
+def measured(held: DataFrame, schema: str, kernel: Callable[[list[tuple[np.ndarray, np.ndarray]]], list[dict | ValueError | None]]) -> DataFrame:
+    """held with the kernel's values by name and a status in place of `_samples`; the kernel is given many recordings at once, each in order of time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    names = [x.split()[0] for x in schema.split(", ")]
+    kept = [c for c in held.columns if c != "_samples"]
+    kinds = dict(held.dtypes)
+    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), schema, "status string"])
     target = to_arrow_schema(_parse_datatype_string(out))
-    return df.select(*keys, time, value).groupBy(*keys).applyInArrow(run, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.asarray(batch.column(batch.schema.get_field_index("_samples")).offsets)
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + SAMPLES, "right")) - 1)
+                yield some(batch.slice(first, last - first))
+                first = last
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(batch.schema.get_field_index("_samples"))
+        flat, size = lists.flatten(), np.asarray(lists.value_lengths())
+        t, x = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("t", "x"))
+        order = np.lexsort((t, np.repeat(np.arange(len(size)), size)))
+        t, x = t[order], x[order].astype(float)
+        fine = np.isfinite(x)
+        ends = np.r_[0, np.cumsum(size)]
+        got = kernel([(t[a:b][fine[a:b]], x[a:b][fine[a:b]]) for a, b in zip(ends, ends[1:])])
+        status = [str(g) if isinstance(g, ValueError) else "ok" for g in got]
+        got = [{} if g is None or isinstance(g, ValueError) else g for g in got]
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array([g.get(n) for g in got], target.field(n).type) for n in names] + [pa.array(status)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target)], schema=target)
+
+    return held.mapInArrow(run, out)
 
 
 def rate(t: np.ndarray, fallback: float | None = None) -> float:
@@ -164,7 +202,7 @@ def skin_parts(df: DataFrame, keys: list[str] = KEYS, target: float = 10.0, conv
     no energy, the filters decide; `method` names what was taken. With convex=False only the filters are tried.
     """
 
-    def kernel(t: np.ndarray, x: np.ndarray) -> dict:
+    def prepared(t: np.ndarray, x: np.ndarray) -> tuple:
         fs = rate(t)
         if len(x) < 4 * fs:
             raise ValueError("shorter than four seconds")
@@ -173,23 +211,42 @@ def skin_parts(df: DataFrame, keys: list[str] = KEYS, target: float = 10.0, conv
         y, at = y[::step], t[::step]
         y = np.maximum(y - y.min() + 1e-6, 1e-6)
         scale = 1000.0 if np.ptp(y) < 0.01 else 100.0 if np.ptp(y) < 0.1 else 1.0
-        z = np.clip((y - y.min()) / (np.ptp(y) or 1.0), 0.001, 0.999)
-        if convex:
-            try:
-                got = decompose(z, fs / step)
-                fast, slow = np.maximum(got["phasic"], 0.0), np.maximum(got["tonic"], 0.0)
-                if np.isfinite(fast).all() and np.isfinite(slow).all() and (fast**2).sum() + (slow**2).sum() >= 1e-10:
-                    return {"method": "convex", "scale": scale, "t": at.tolist(), "tonic": slow.tolist(), "phasic": fast.tolist()}
-            except (ArithmeticError, ValueError, np.linalg.LinAlgError):
-                pass  # the filters below
+        return at, np.clip((y - y.min()) / (np.ptp(y) or 1.0), 0.001, 0.999), fs / step, scale
+
+    def parted(at: np.ndarray, z: np.ndarray, scale: float, got: dict | Exception | None) -> dict:
+        if isinstance(got, dict):
+            fast, slow = np.maximum(got["phasic"], 0.0), np.maximum(got["tonic"], 0.0)
+            if np.isfinite(fast).all() and np.isfinite(slow).all() and (fast**2).sum() + (slow**2).sum() >= 1e-10:
+                return {"method": "convex", "scale": scale, "t": at, "tonic": slow, "phasic": fast}
         for method, tonic in (("low 0.5 Hz", lambda: w.filtered(z, target, "low", (0.5,), 2)), ("low 0.1 Hz", lambda: w.filtered(z, target, "low", (0.1,), 2)), ("polynomial", lambda: w.savitzky_golay(z, 101)), ("moving average", lambda: w.moving_average(z, 50)), ("none", lambda: z)):
             slow = tonic()
             fast = z - slow
             if (fast**2).sum() >= 1e-10 or method == "none":
-                return {"method": method, "scale": scale, "t": at.tolist(), "tonic": slow.tolist(), "phasic": fast.tolist()}
+                return {"method": method, "scale": scale, "t": at, "tonic": slow, "phasic": fast}
         return {}
 
-    got = per_recording(df, keys, "method string, scale double, t array<double>, tonic array<double>, phasic array<double>", kernel)
+    def kernel(recordings: list[tuple[np.ndarray, np.ndarray]]) -> list[dict | ValueError]:
+        """Recordings of one length and rate go through the programme together."""
+        ready, alike = [], {}
+        for r, (t, x) in enumerate(recordings):
+            try:
+                ready.append(prepared(t, x))
+                alike.setdefault((len(ready[r][1]), ready[r][2]), []).append(r)
+            except ValueError as e:
+                ready.append(e)
+        found = [None] * len(ready)
+        for (_, fs), rows in alike.items() if convex else ():
+            for r, got in zip(rows, decompose_many(np.stack([ready[r][1] for r in rows]), fs)):
+                found[r] = got
+        out = []
+        for x, got in zip(ready, found):
+            try:
+                out.append(x if isinstance(x, ValueError) else parted(x[0], x[1], x[3], got))
+            except ValueError as e:
+                out.append(e)
+        return out
+
+    got = measured(df.groupBy(*keys).agg(held_samples("t_sec", "value")), "method string, scale double, t array<double>, tonic array<double>, phasic array<double>", kernel)
     rows = F.explode_outer(F.arrays_zip("t", "tonic", "phasic")).alias("_s")
     return got.select(*keys, "method", "status", rows).select(*keys, "method", "status", F.col("_s.t").alias("t_sec"), "_s.tonic", "_s.phasic")
 
@@ -202,14 +259,14 @@ def skin_measures(parts: DataFrame, keys: list[str] = KEYS, first: float = 0.0,
     rows = parts.where((F.col("t_sec") >= first) & (F.col("t_sec") < last))
     rows = rows.withColumn("_d", F.col("phasic") - F.lag("phasic").over(o))
     rows = rows.withColumn("_i", F.row_number().over(o))
-    most = rows.groupBy(*keys).agg(F.regr_slope("tonic", "_i").alias("tonic_slope"), F.avg("phasic").alias("phasic_mean"), F.stddev_pop("phasic").alias("phasic_sd"), F.max("phasic").alias("phasic_max"), F.stddev_pop("_d").alias("derivative_sd"))
+    # One pass: the samples go along with the aggregates, so the parts are made once.
+    most = rows.groupBy(*keys).agg(F.regr_slope("tonic", "_i").alias("tonic_slope"), F.avg("phasic").alias("phasic_mean"), F.stddev_pop("phasic").alias("phasic_sd"), F.max("phasic").alias("phasic_max"), F.stddev_pop("_d").alias("derivative_sd"), held_samples("t_sec", "phasic"))
 
-    def kernel(t: np.ndarray, x: np.ndarray) -> dict:
-        found = w.peaks(x, height=0.05, distance=10)
-        return {"n_peaks": len(found), "peak_mean": float(x[found].mean()) if len(found) else None}
+    def kernel(recordings: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
+        tops = [x[w.peaks(x, height=0.05, distance=10)] for _, x in recordings]
+        return [{"n_peaks": len(x), "peak_mean": float(x.mean()) if len(x) else None} for x in tops]
 
-    tops = per_recording(rows, keys, "n_peaks long, peak_mean double", kernel, value="phasic").drop("status")
-    return most.join(tops, keys, "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(0).cast("long")))
+    return measured(most, "n_peaks long, peak_mean double", kernel).drop("status")
 
 
 def method_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
