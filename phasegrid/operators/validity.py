@@ -234,26 +234,28 @@ def subsamples(ids: DataFrame, key: str, runs: int, share: float = 0.8, seed: in
     return placed.where(F.col("_p") - F.col("run") * n <= int(share * n)).select("run", key)
 
 
-#: Rows of all, and rows asked for, that one step of a comparison of pairs holds.
-TOLD, ASKED = 2048, 256
+#: Rows of all, and rows asked for, that one step of a comparison of pairs holds; and pairs that a task is to compare.
+TOLD, ASKED, PAIRS = 2048, 256, 4_194_304
 
 
 def _pairs(asked: DataFrame, told: DataFrame, shape: str, compare) -> DataFrame:
     """Rows asked for beside all rows (both id, v), in blocks of either: compare(ids, values, ids, values) gives batches of pairs, which are not shuffled.
 
     The blocks asked for go to every block of the rest; at most about `TOLD` rows are one block, so what is sent is the rows asked for times the blocks.
+    Both sides are dealt over tasks, so that a task has about `PAIRS` pairs however many rows are asked for.
     """
     n, m = told.count(), asked.count()
 
-    def blocks(df: DataFrame, rows: int, size: int, names: tuple[str, str]) -> DataFrame:
+    def blocks(df: DataFrame, rows: int, size: int, parts: int, names: tuple[str, str]) -> DataFrame:
         at = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows // size))))
-        return df.groupBy(at.alias("_at")).agg(F.collect_list(F.struct("id", "v")).alias("_l")).select(F.col("_l.id").alias(names[0]), F.col("_l.v").alias(names[1]))
+        held = df.groupBy(at.alias("_at")).agg(F.collect_list(F.struct("id", "v")).alias("_l")).repartitionByRange(parts, "_at")
+        return held.select(F.col("_l.id").alias(names[0]), F.col("_l.v").alias(names[1]))
 
     # Blocks of all rows are few in a few tasks, however many the rows: their number, not that of the pairs, grows what is sent.
     size = max(TOLD, -(-n // 256))
-    left, right = blocks(asked, m, ASKED, ("_ia", "_va")), blocks(told, n, size, ("_ib", "_vb"))
     count = min(256, max(1, -(-n // size)))
-    right = right.repartition(count, "_ib")
+    parts = min(max(1, -(-m // ASKED)), max(-(-32 // count), -(-n * m // (count * PAIRS))))
+    left, right = blocks(asked, m, ASKED, parts, ("_ia", "_va")), blocks(told, n, size, count, ("_ib", "_vb"))
 
     def run(batches):
         for batch in batches:
@@ -302,10 +304,10 @@ def coclustering(runs: DataFrame, key: str = "id", wanted: Column | None = None)
             held.append(there), each.append(sure), same.append(label)
         n_runs, n_sure, together = (x[0] @ x[1].T for x in (held, each, same))
         ok = n_runs > 0
-        left, right = ia.to_pylist(), ib.to_pylist()
         if every:
-            ok &= np.array([[x <= y for y in right] for x in left])
-        for i in range(len(left)):
+            right = ib.to_pylist()
+            ok &= np.array([[x <= y for y in right] for x in ia.to_pylist()])
+        for i in range(len(ia)):
             j = np.flatnonzero(ok[i])
             share = np.divide(together[i, j].astype(float), n_sure[i, j], out=np.zeros(len(j)), where=n_sure[i, j] > 0)
             yield pa.RecordBatch.from_arrays([ia.take(pa.array(np.full(len(j), i))), ib.take(pa.array(j)), pa.array(share, mask=n_sure[i, j] == 0), pa.array(n_runs[i, j].astype(np.int64))], names=["id_a", "id_b", "together", "n_runs"])
